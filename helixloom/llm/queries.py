@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm import fixity, media, mixing, urlfilter
+from helixloom.llm import fixity, langid, media, mixing, quality, urlfilter
+from helixloom.llm._shared import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,23 @@ def draw(*key: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(*[k if isinstance(k, Column) else F.lit(k) for k in key])), 1, 8), 16, 10).cast("long")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from two thirds of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(langid.fold(3) != 1))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (langid.fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text; folds 0 and 1 fit, 3 calibrates, 2 is held out."""
+    measured = written(quality.statistics(table(spark, sf_dir, "documents")), "quality-statistics")
+    known = quality.labelled(measured.filter(langid.fold(4) != 2), table(spark, sf_dir, "labels"))
+    model = quality.fit(known.filter(langid.fold(4) < 2), known.filter(langid.fold(4) == 3))
+    scored = quality.score(measured, model)
+    return scored.select("doc_id", (langid.fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damage between the archive of pages and a replica, located by Merkle trees."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -38,7 +56,8 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every capture against the list entries active on its fetch day."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("fetched_on", F.date_add(F.lit("2024-01-01").cast("date"), (draw("fetch", F.col("url")) % 366).cast("int")))
-    return urlfilter.evaluate(captures, list_entries(pages))
+    found = urlfilter.evaluate(captures, list_entries(pages))
+    return found.withColumns({c: F.col(c).cast("string") for c in ("fetched_on", "rule_from")})
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +71,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
+    "op2_quality": op2_quality,
     "op4_fixity": op4_fixity,
     "op6_url_filter": op6_url_filter,
     "op7_media": op7_media,
@@ -96,7 +117,7 @@ hits AS (
   SELECT k.page_id, k.kind, k.pattern, s.rank AS verdict, s.listed_on, row_number() OVER (PARTITION BY k.page_id ORDER BY k.rank DESC) AS place
   FROM keys k JOIN parsed p USING (page_id) JOIN spans s ON s.kind = k.kind AND s.pattern = k.pattern
     AND p.fetched_on >= s.listed_on AND (s.until IS NULL OR p.fetched_on < s.until) WHERE s.rank < 2)
-SELECT p.page_id, p.url, p.fetched_on, CASE WHEN h.verdict = 0 THEN 'block' ELSE 'allow' END AS verdict,
-  h.kind AS rule_kind, h.pattern AS rule_pattern, h.listed_on AS rule_from
+SELECT p.page_id, p.url, p.fetched_on::varchar AS fetched_on, CASE WHEN h.verdict = 0 THEN 'block' ELSE 'allow' END AS verdict,
+  h.kind AS rule_kind, h.pattern AS rule_pattern, h.listed_on::varchar AS rule_from
 FROM parsed p LEFT JOIN (SELECT * FROM hits WHERE place = 1) h USING (page_id)
 """
