@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm import decontam, fixity, langid, media, mixing, quality, urlfilter
+from helixloom.llm import decontam, fixity, langid, linededup, media, mixing, quality, urlfilter
 from helixloom.llm._shared import written
 
 
@@ -52,6 +52,13 @@ def list_entries(pages: DataFrame) -> DataFrame:
     return dated.select("kind", "pattern", verdict.alias("verdict"), F.date_add(F.lit("2024-01-01").cast("date"), (draw("day", F.col("k")) % 366).cast("int")).alias("listed_on"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines, how many repeat an earlier run, and the digest of what is kept."""
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
+    return found.select("doc_id", "n_lines", "n_removed", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_bytes"), kept.alias("kept_sha256"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every capture against the list entries active on its fetch day."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_quality": op2_quality,
     "op4_fixity": op4_fixity,
+    "op5_line_dedup": op5_line_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_media": op7_media,
     "op9_mixing": op9_mixing,
