@@ -115,3 +115,12 @@ def per_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of values between the bounds in ``first``."""
     sums = np.concatenate([[0], np.cumsum(values)])
     return sums[first[1:]] - sums[first[:-1]]
+
+
+def grams(token: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word n-grams inside rows, and the places of their first words."""
+    at = np.flatnonzero(np.repeat(first[1:], np.diff(first)) - np.arange(len(token)) >= n)
+    total = np.zeros(len(at), np.uint64)
+    for i in range(n):
+        total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + token[at + i])
+    return total, at

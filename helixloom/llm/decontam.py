@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixloom.llm._shared import written
-from helixloom.llm._text import chunks, lower, mix64, span_hashes, words
+from helixloom.llm._text import chunks, grams, lower, span_hashes, words
 
 SEED_WORDS = 3
 RARE_COUNT = 16
@@ -55,15 +55,6 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return span_hashes(plain, starts, ends), first
 
 
-def grams(token: np.ndarray, first: np.ndarray, n: int = SEED_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the word n-grams inside rows, and the places of their first words."""
-    at = np.flatnonzero(np.repeat(first[1:], np.diff(first)) - np.arange(len(token)) >= n)
-    total = np.zeros(len(at), np.uint64)
-    for i in range(n):
-        total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + token[at + i])
-    return total, at
-
-
 @dataclass(frozen=True)
 class Lookup:
     """A set of hashes with a bitmap that turns most strangers away before the search."""

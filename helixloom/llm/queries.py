@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm import decontam, fixity, langid, linededup, media, mixing, quality, urlfilter
+from helixloom.llm import decontam, fixity, jaccard, langid, linededup, media, mixing, quality, urlfilter
 from helixloom.llm._shared import written
 
 
@@ -37,6 +37,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (langid.fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by sets of 4-word shingles, at 85 % of their union."""
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"), jaccard.Measure(words=4, percent=85))
+
+
 def op4_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damage between the archive of pages and a replica, located by Merkle trees."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -85,6 +90,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_quality": op2_quality,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_fixity": op4_fixity,
     "op5_line_dedup": op5_line_dedup,
     "op6_url_filter": op6_url_filter,
