@@ -171,11 +171,12 @@ def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
     """The columns in ``keep`` (doc_id), lang_pred and score of every row; only text is looked at."""
     keep = ["doc_id"] if keep is None else keep
-    picked = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    text = "text" if "text" in keep else "__text"
+    picked = docs.select(*keep) if text in keep else docs.select(*keep, F.col("text").cast("string").alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, offsets in chunks(batch, "__text", rows=1024):
+            for part, raw, offsets in chunks(batch, text, rows=1024):
                 lettered = has_letter(raw, offsets)
                 if model is None:
                     langs, score = [None] * part.num_rows, np.zeros(part.num_rows)
@@ -184,9 +185,9 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
                     langs, score = model.predict(features(raw, offsets))
                 langs = [lang if ok else "und" for lang, ok in zip(langs, lettered, strict=True)]
                 score = np.where(lettered, score, 0.0)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[:-1]]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[: len(keep)]]
     return picked.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
 
 
