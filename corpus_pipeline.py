@@ -1,25 +1,68 @@
-"""The corpus pipeline: STAGES applied in turn to the documents, each reading what the last one wrote."""
+"""The corpus pipeline: STAGES applied in turn to the documents, each reading what the last one wrote.
+
+Every stage but the last returns rows with the columns of documents. Rows without a
+letter of any language go at the first; a document all of whose lines repeat earlier
+ones goes at the second; of a group of near duplicates (five-word shingles, similarity 0.8)
+the one with the smallest doc_id stays; documents with a passage of a benchmark item go.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixloom.llm import decontam, jaccard, langid, linededup, mixing
+from helixloom.llm._shared import join_small, written
+
+#: A language predicted with a lower score than this is as good as none.
+LEAST_SCORE = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages learned from two thirds of the labelled rows."""
+    model = langid.fit(docs.filter(langid.fold(3) != 1))
+    found = langid.identify(docs, model, docs.columns)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+
 
-from helixloom.llm import mixing
-from helixloom.llm._shared import written
+def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later repeated runs of lines."""
+    found = linededup.dedup_lines(docs)
+    left = found.filter((F.col("n_lines") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    groups = written(jaccard.similar_groups(docs), "pipeline-groups")
+    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    left = join_small(docs, gone, ["doc_id"], "left_anti")
+    again = groups.groupBy("doc_id").count().filter("count > 1").head(1)
+    return left.dropDuplicates(["doc_id"]) if again else left
+
+
+def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return join_small(docs, written(found.select("doc_id").distinct(), "pipeline-leaks"), ["doc_id"], "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies that each kept document gets in the mix; its last stage."""
+    """Copies that each kept document gets in the mix; the last stage."""
     return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("mix_sources", mix_sources),
+    ("language_id", identify_language),
+    ("line_dedup", remove_repeated_lines),
+    ("jaccard_join", join_near_duplicates),
+    ("decontamination", remove_benchmark_passages),
+    ("mixing", mix_sources),
 ]
 
-#: Language identification and the rounding of copies have no SQL form; the tests use brute force.
+#: SQL can't express the first and the last stage; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
@@ -29,6 +72,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
-
-
-__all__ = ["ORACLE_SQL", "STAGES", "run"]
