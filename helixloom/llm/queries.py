@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm import decontam, fixity, jaccard, langid, linededup, media, mixing, quality, urlfilter
+from helixloom.llm import decontam, fixity, jaccard, langid, linededup, media, mixing, quality, suffixdedup, urlfilter
 from helixloom.llm._shared import written
 
 
@@ -77,6 +77,11 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.media_features(media.store_texts(table(spark, sf_dir, "documents"))))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each text without 50-byte strings of earlier documents."""
+    return suffixdedup.dedup_bytes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of each document so that sources take their target words."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_media": op7_media,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
 }
