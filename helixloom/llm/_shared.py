@@ -2,36 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixloom.tables import shared_dir, written
+
 #: Rows up to which a table is broadcast; beyond it the join is left to shuffles.
 BROADCAST_ROWS = 20_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where none is set."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="helixloom-")
-        context.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder: computed once, safe when executors go."""
-    path = f"{shared_dir(df.sparkSession)}/helixloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def join_small(left: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """Null-safe join that broadcasts ``small`` only when a count shows it has at most ``most`` rows."""
     held = small.select([F.col(c).alias(f"__{c}") for c in on] + [c for c in small.columns if c not in on])
     fits = len(held.limit(most + 1).select(F.lit(1)).take(most + 1)) <= most
     same = [left[c].eqNullSafe(held[f"__{c}"]) for c in on]
     return left.join(F.broadcast(held) if fits else held, same, how).drop(*[f"__{c}" for c in on])
+
+
+__all__ = ["join_small", "shared_dir", "written"]

@@ -181,6 +181,8 @@ def _search(docs: DataFrame, rows: list[tuple[int, str]], n_docs: int, threshold
                     found.append((np.repeat(at[hit], many), item[slot], place[slot]))
                 at, item, place = (np.concatenate([f[j] for f in found]) for j in range(3))
                 row = np.searchsorted(first, at, side="right") - 1
+                if not len(at):
+                    continue
                 start = at - place
                 order = np.lexsort((start, item, row))
                 row, item, start = row[order], item[order], start[order]
