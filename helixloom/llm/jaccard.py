@@ -269,7 +269,7 @@ def similar_groups(docs: DataFrame, measure: Measure | None = None) -> DataFrame
 
     lists = listed(docs, measure, sketch, least, small)
     firsts = classes.select(F.col("first").alias("node"), "n", "s1")
-    lists = written(lists.join(firsts, ["node", "n", "s1"], "left_semi").dropDuplicates(["node", "s1"]), "jaccard-lists")
+    lists = written(lists.join(firsts, ["node", "n", "s1"], "left_semi").dropDuplicates(["node", "n", "s1"]), "jaccard-lists")
 
     keys = lists.filter(F.size("subsets") > 0).select("node", "n", F.explode("subsets").alias("s")).select("node", "n", "s.lo", "s.hi", "s.key").distinct()
     centres = keys.filter("n = lo").groupBy("lo", "hi", "key").agg(F.min("node").alias("a"))
@@ -277,19 +277,19 @@ def similar_groups(docs: DataFrame, measure: Measure | None = None) -> DataFrame
 
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / measure.percent)).cast("int")
     places = lists.select("node", "n", F.posexplode("prefix").alias("i", "shingle"))
-    alone = Window.partitionBy("shingle")
-    shared = places.withColumn("members", F.count(F.lit(1)).over(alone)).filter("members > 1").withColumn("band", band).drop("members")
+    # One exchange by shingle serves all windows. A list of two in one band is done with when its members have met.
+    whole, near = Window.partitionBy("shingle"), Window.partitionBy("shingle", "band")
+    lead = F.min(F.struct("node", F.col("n").alias("m"), F.col("i").alias("j"))).over(near)
+    met = places.withColumn("band", band).withColumn("lead", lead).withColumn("near", F.count(F.lit(1)).over(near)).withColumn("members", F.count(F.lit(1)).over(whole)).filter("members > 1")
+    shared = met.select("shingle", "node", "n", "i", (F.col("near") != 2) | (F.col("members") != 2), F.col("lead.node").alias("a"), "lead.m", "lead.j").toDF("shingle", "node", "n", "i", "open", "a", "m", "j")
     shared = written(shared, "jaccard-shared")
-
-    leaders = shared.groupBy("shingle", "band").agg(F.min(F.struct("node", F.col("n").alias("m"), F.col("i").alias("j"))).alias("lead"))
-    leaders = written(leaders.select("shingle", "band", F.col("lead.node").alias("a"), "lead.m", "lead.j"), "jaccard-leaders")
-    first_pairs = shared.join(leaders, ["shingle", "band"]).filter((F.col("node") != F.col("a")) & _possible(measure, "n", "i", "m", "j")).select("a", F.col("node").alias("b")).distinct()
+    first_pairs = shared.filter((F.col("node") != F.col("a")) & _possible(measure, "n", "i", "m", "j")).select("a", F.col("node").alias("b")).distinct()
     first_pairs = written(first_pairs, "jaccard-pairs")
     heavy = verify(docs, first_pairs, measure)
     links = written(equal.unionByName(light).unionByName(heavy).distinct(), "jaccard-links")
 
     of = components(links)
-    placed = shared.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = shared.filter("open").select("shingle", "node", "n", "i").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.mode("component", True).alias("main")).filter("lo != hi").select("shingle", "main")
     mixed = written(placed.join(mixed, "shingle"), "jaccard-mixed")
     outside = mixed.filter("component != main").select("shingle", F.col("node").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("component").alias("other"))
