@@ -243,7 +243,7 @@ def verify(docs: DataFrame, pairs: DataFrame, measure: Measure) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
     picked = docs.select(F.expr(_ID).alias("node"), F.col("text").cast("string").alias("text")).withColumn("bit", F.pmod(F.xxhash64("node"), F.lit(1 << FILTER_BITS)))
-    asked = picked.mapInArrow(sets, "node long, items binary").join(wants, "node").select("node", "items", F.explode("wants").alias("want")).select("want.to", "want.salt", "want.own", "node", "items")
+    asked = picked.mapInArrow(sets, "node long, items binary").join(wants.hint("shuffle_hash"), "node").select("node", "items", F.explode("wants").alias("want")).select("want.to", "want.salt", "want.own", "node", "items")
     return asked.repartition("to", "salt").sortWithinPartitions("to", "salt", "own").mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -269,14 +269,15 @@ def similar_groups(docs: DataFrame, measure: Measure | None = None) -> DataFrame
 
     lists = listed(docs, measure, sketch, least, small)
     firsts = classes.select(F.col("first").alias("node"), "n", "s1")
-    lists = written(lists.join(firsts, ["node", "n", "s1"], "left_semi").dropDuplicates(["node", "n", "s1"]), "jaccard-lists")
+    lists = written(lists.join(firsts.hint("shuffle_hash"), ["node", "n", "s1"], "left_semi").dropDuplicates(["node", "n", "s1"]), "jaccard-lists")
 
     keys = lists.filter(F.size("subsets") > 0).select("node", "n", F.explode("subsets").alias("s")).select("node", "n", "s.lo", "s.hi", "s.key").distinct()
     centres = keys.filter("n = lo").groupBy("lo", "hi", "key").agg(F.min("node").alias("a"))
     light = keys.join(centres, ["lo", "hi", "key"]).filter("node != a").select("a", F.col("node").alias("b")).distinct()
 
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / measure.percent)).cast("int")
-    places = lists.select("node", "n", F.posexplode("prefix").alias("i", "shingle"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = lists.select("node", "n", F.posexplode("prefix").alias("i", "shingle")).repartition(parts, "shingle")
     # One exchange by shingle serves all windows. A list of two in one band is done with when its members have met.
     whole, near = Window.partitionBy("shingle"), Window.partitionBy("shingle", "band")
     lead = F.min(F.struct("node", F.col("n").alias("m"), F.col("i").alias("j"))).over(near)
