@@ -240,8 +240,10 @@ def merge(runs: list[tuple[np.ndarray, bytes]]) -> tuple[np.ndarray, np.ndarray]
 
 def _pack(values: np.ndarray) -> bytes:
     """Compressed, byte planes apart."""
+    if not values.size:
+        return b""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
-    return pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
+    return pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes, n: int, kind: str, width: int = 1) -> np.ndarray:
@@ -454,21 +456,23 @@ def dedup_bytes(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     twice = bool(picked.groupBy("doc_id").count().filter("count > 1").head(1))
     version = F.xxhash64("text") if twice else F.lit(0).cast("long")
-    texts = picked.select(F.expr(_KEY).alias("key"), version.alias("version"), "text").repartition(parts, "key", "version")
+    on = ["key", "version"] if twice else ["key"]
+    texts = picked.select(F.expr(_KEY).alias("key"), version.alias("version"), "text").repartition(parts, *on)
 
     digests = picked.filter(F.octet_length("text") >= MATCH).select(F.expr(_KEY).alias("key"), version.alias("version"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
     copies = digests.join(firsts, "digest").filter("key != first").select("key", "version").distinct()
 
+    # The three joins below read one exchange of the texts: it is dealt by just their keys, and no filter is pushed under it.
     cuts = borders(picked, parts, sample_rows)
-    fresh = texts.join(copies.hint("shuffle_hash"), ["key", "version"], "left_anti")
-    again = recurring(gram_runs(fresh, parts).repartitionById(parts, F.col("part").cast("int")))
-    numbers = again.groupBy("key", "version").agg(F.collect_list("number").alias("numbers"))
-    found = texts.join(numbers.hint("shuffle_hash"), ["key", "version"])
+    marked = texts.join(copies.select(*on, F.lit(True).alias("copy")).hint("shuffle_hash"), on, "left")
+    again = recurring(gram_runs(marked.filter("copy IS NULL").select("key", texts["version"], "text"), parts).repartitionById(parts, F.col("part").cast("int")))
+    numbers = again.groupBy(*on).agg(F.collect_list("number").alias("numbers"))
+    found = texts.join(numbers.hint("shuffle_hash"), on)
     spans_of = covered(suffix_runs(found, cuts).repartitionById(len(cuts) + 1, F.col("part").cast("int")))
     spans_of = spans_of.unionByName(copies.withColumn("span", F.lit(-1).cast("long")))
-    lists = spans_of.groupBy("key", "version").agg(F.collect_list("span").alias("spans"))
-    done = texts.join(lists.hint("shuffle_hash"), ["key", "version"], "left")
+    lists = spans_of.groupBy(*on).agg(F.collect_list("span").alias("spans"))
+    done = texts.join(lists.hint("shuffle_hash"), on, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
