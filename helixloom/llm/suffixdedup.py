@@ -41,7 +41,8 @@ REACH = MATCH - GRAM
 #: Rows from which the borders of the sorted ranges are taken, on average.
 SAMPLE_ROWS = 2000
 _KEY = "coalesce(cast(doc_id as bigint), -9223372036854775808)"
-_TOP = np.uint64(2**64 - 1)
+#: Bytes of text for which a task holds hashes and masks at one time; a longer text is a chunk of its own.
+_CHUNK = 1 << 19
 
 
 def _sliding(values: np.ndarray, width: int, least) -> np.ndarray:
@@ -279,7 +280,7 @@ def gram_runs(texts: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, docs, rows = _Held(3), _Held(2), 0
         for batch in batches:
-            for part, raw, offsets in chunks(batch):
+            for part, raw, offsets in chunks(batch, most=_CHUNK):
                 at, key = anchors(raw, offsets)
                 row = np.searchsorted(offsets, at, side="right") - 1
                 first = np.searchsorted(at, offsets)
@@ -346,7 +347,7 @@ def suffix_runs(found: DataFrame, borders: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held(7)
         for batch in batches:
-            for part, raw, offsets in chunks(batch):
+            for part, raw, offsets in chunks(batch, most=_CHUNK):
                 at, key = anchors(raw, offsets)
                 first = np.searchsorted(at, offsets)
                 lists = part.column("numbers")
@@ -437,7 +438,7 @@ def borders(docs: DataFrame, parts: int, sample_rows: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, raw, offsets in chunks(batch):
+            for _, raw, offsets in chunks(batch, most=_CHUNK):
                 at = anchors(raw, offsets)[0][::5]
                 gram = raw[at[:, None] + np.arange(GRAM)]
                 yield pa.RecordBatch.from_arrays([pa.array([g.tobytes() for g in gram], pa.binary())], ["gram"])
@@ -476,7 +477,7 @@ def dedup_bytes(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, offsets in chunks(batch):
+            for part, raw, offsets in chunks(batch, most=_CHUNK):
                 rows = []
                 lists = part.column("spans")
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
