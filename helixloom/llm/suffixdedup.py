@@ -41,6 +41,9 @@ REACH = MATCH - GRAM
 #: Rows from which the borders of the sorted ranges are taken, on average.
 SAMPLE_ROWS = 2000
 _KEY = "coalesce(cast(doc_id as bigint), -9223372036854775808)"
+#: Anchors and suffixes of one sorted run; a task starts another run when it holds so many.
+RUN_ANCHORS = 1 << 19
+RUN_SUFFIXES = 1 << 17
 #: Bytes of text for which a task holds hashes and masks at one time; a longer text is a chunk of its own.
 _CHUNK = 1 << 19
 
@@ -277,8 +280,24 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def gram_runs(texts: DataFrame, parts: int) -> DataFrame:
     """Sorted runs of anchor hashes with the documents they come from, dealt by ranges of the hash."""
 
+    def flush(held: _Held, docs: _Held) -> Iterator[pa.RecordBatch]:
+        key, row, number = held.all()
+        order = np.argsort(key, kind="stable")
+        key, row, number = key[order], row[order], number[order]
+        ids, versions = docs.all()
+        bounds = np.searchsorted(key, np.array([(p << 40) // parts for p in range(parts + 1)], np.uint64))
+        for p in range(parts):
+            a, b = bounds[p], bounds[p + 1]
+            if a < b:
+                used, mine = np.unique(row[a:b], return_inverse=True)
+                step = np.diff(key[a:b], prepend=np.uint64(0))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v]) for v in (p, int(b - a), len(used))] + [pa.array([_pack(x)], pa.binary()) for x in (step, mine.astype(np.uint32), number[a:b], np.diff(ids[used], prepend=0), versions[used])],
+                    ["part", "n", "docs", "hashes", "rows", "numbers", "ids", "versions"],
+                )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs, rows = _Held(3), _Held(2), 0
+        held, docs, rows, full = _Held(3), _Held(2), 0, 0
         for batch in batches:
             for part, raw, offsets in chunks(batch, most=_CHUNK):
                 at, key = anchors(raw, offsets)
@@ -286,22 +305,12 @@ def gram_runs(texts: DataFrame, parts: int) -> DataFrame:
                 first = np.searchsorted(at, offsets)
                 held.add(key >> np.uint64(24), (row + rows).astype(np.uint32), (np.arange(len(at)) - first[row]).astype(np.uint32))
                 docs.add(*_ids(part))
-                rows += part.num_rows
-        got = held.all()
-        if got:
-            order = np.argsort(got[0], kind="stable")
-            key, row, number = (x[order] for x in got)
-            ids, versions = docs.all()
-            bounds = np.searchsorted(key, np.array([(p << 40) // parts for p in range(parts + 1)], np.uint64))
-            for p in range(parts):
-                a, b = bounds[p], bounds[p + 1]
-                if a < b:
-                    used, mine = np.unique(row[a:b], return_inverse=True)
-                    step = np.diff(key[a:b], prepend=np.uint64(0))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([v]) for v in (p, int(b - a), len(used))] + [pa.array([_pack(x)], pa.binary()) for x in (step, mine.astype(np.uint32), number[a:b], np.diff(ids[used], prepend=0), versions[used])],
-                        ["part", "n", "docs", "hashes", "rows", "numbers", "ids", "versions"],
-                    )
+                rows, full = rows + part.num_rows, full + len(at)
+                if full >= RUN_ANCHORS:
+                    yield from flush(held, docs)
+                    held, docs, rows, full = _Held(3), _Held(2), 0, 0
+        if full:
+            yield from flush(held, docs)
 
     return texts.mapInArrow(run, "part long, n long, docs long, hashes binary, rows binary, numbers binary, ids binary, versions binary")
 
@@ -344,25 +353,8 @@ def _suffixes(raw: np.ndarray, offsets: np.ndarray, place: np.ndarray, high: np.
 def suffix_runs(found: DataFrame, borders: np.ndarray) -> DataFrame:
     """Front-coded sorted runs of the suffixes that the task can't settle, and the spans it can, by range."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(7)
-        for batch in batches:
-            for part, raw, offsets in chunks(batch, most=_CHUNK):
-                at, key = anchors(raw, offsets)
-                first = np.searchsorted(at, offsets)
-                lists = part.column("numbers")
-                row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-                again = np.zeros(len(at), bool)
-                again[first[row] + lists.flatten().to_numpy(zero_copy_only=False)] = True
-                own, low, high = owners(at, key, again, len(raw), offsets)
-                place = at[own]
-                doc = np.searchsorted(offsets, place, side="right") - 1
-                ids, versions = _ids(part)
-                right, left = _suffixes(raw, offsets, place, high) if len(own) else (np.zeros((0, MATCH), np.uint8), np.zeros((0, REACH), np.uint8))
-                held.add(right, left, low, high, ids[doc], versions[doc], place - offsets[doc])
+    def flush(held: _Held) -> Iterator[pa.RecordBatch]:
         got = held.all()
-        if not got or not len(got[0]):
-            return
         order = np.argsort(got[0].view(f"S{MATCH}").ravel(), kind="stable")
         right, left, low, high, ids, versions, place = (x[order] for x in got)
         equal = right[1:] == right[:-1]
@@ -393,6 +385,31 @@ def suffix_runs(found: DataFrame, borders: np.ndarray) -> DataFrame:
             values = [shared, tails, left[mine], low[mine], high[mine], row.ravel().astype(np.uint32), spot, size[done].astype(np.uint8), np.diff(table[:, 0], prepend=0), table[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array([int(v)]) for v in (p, len(mine), len(done), len(tails), len(table))] + [pa.array([_pack(v)], pa.binary()) for v in values], _RUN)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, full = _Held(7), 0
+        for batch in batches:
+            for part, raw, offsets in chunks(batch, most=_CHUNK):
+                at, key = anchors(raw, offsets)
+                first = np.searchsorted(at, offsets)
+                lists = part.column("numbers")
+                row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                again = np.zeros(len(at), bool)
+                again[first[row] + lists.flatten().to_numpy(zero_copy_only=False)] = True
+                own, low, high = owners(at, key, again, len(raw), offsets)
+                if not len(own):
+                    continue
+                place = at[own]
+                doc = np.searchsorted(offsets, place, side="right") - 1
+                ids, versions = _ids(part)
+                right, left = _suffixes(raw, offsets, place, high)
+                held.add(right, left, low, high, ids[doc], versions[doc], place - offsets[doc])
+                full += len(own)
+                if full >= RUN_SUFFIXES:
+                    yield from flush(held)
+                    held, full = _Held(7), 0
+        if full:
+            yield from flush(held)
+
     _RUN = ["part", "n", "done", "bytes", "docs", "common", "tails", "left", "low", "high", "rows", "places", "sizes", "ids", "versions"]
     return found.mapInArrow(run, ", ".join(f"{c} {'long' if i < 5 else 'binary'}" for i, c in enumerate(_RUN)))
 
@@ -452,7 +469,8 @@ def borders(docs: DataFrame, parts: int, sample_rows: int) -> np.ndarray:
 def dedup_bytes(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A task holds the texts of its partition as one Arrow batch, so partitions are half as large as the session's.
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     twice = bool(picked.groupBy("doc_id").count().filter("count > 1").head(1))
@@ -462,17 +480,18 @@ def dedup_bytes(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
     digests = picked.filter(F.octet_length("text") >= MATCH).select(F.expr(_KEY).alias("key"), version.alias("version"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    copies = digests.join(firsts, "digest").filter("key != first").select("key", "version").distinct()
+    copies = digests.join(firsts, "digest").filter("key != first").select("key", "version").distinct().repartition(parts, *on)
 
-    # The three joins below read one exchange of the texts: it is dealt by just their keys, and no filter is pushed under it.
+    # The three joins below read one exchange of the texts: it is dealt by just their keys, as
+    # the other sides are, and no filter is pushed under it.
     cuts = borders(picked, parts, sample_rows)
     marked = texts.join(copies.select(*on, F.lit(True).alias("copy")).hint("shuffle_hash"), on, "left")
     again = recurring(gram_runs(marked.filter("copy IS NULL").select("key", texts["version"], "text"), parts).repartitionById(parts, F.col("part").cast("int")))
-    numbers = again.groupBy(*on).agg(F.collect_list("number").alias("numbers"))
+    numbers = again.repartition(parts, *on).groupBy(*on).agg(F.collect_list("number").alias("numbers"))
     found = texts.join(numbers.hint("shuffle_hash"), on)
     spans_of = covered(suffix_runs(found, cuts).repartitionById(len(cuts) + 1, F.col("part").cast("int")))
     spans_of = spans_of.unionByName(copies.withColumn("span", F.lit(-1).cast("long")))
-    lists = spans_of.groupBy(*on).agg(F.collect_list("span").alias("spans"))
+    lists = spans_of.repartition(parts, *on).groupBy(*on).agg(F.collect_list("span").alias("spans"))
     done = texts.join(lists.hint("shuffle_hash"), on, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
