@@ -303,7 +303,8 @@ def gram_runs(texts: DataFrame, parts: int) -> DataFrame:
                 at, key = anchors(raw, offsets)
                 row = np.searchsorted(offsets, at, side="right") - 1
                 first = np.searchsorted(at, offsets)
-                held.add(key >> np.uint64(24), (row + rows).astype(np.uint32), (np.arange(len(at)) - first[row]).astype(np.uint32))
+                # Anchors have the least hashes of their windows; mixed again, they are spread evenly.
+                held.add(mix64(key + np.uint64(1)) >> np.uint64(24), (row + rows).astype(np.uint32), (np.arange(len(at)) - first[row]).astype(np.uint32))
                 docs.add(*_ids(part))
                 rows, full = rows + part.num_rows, full + len(at)
                 if full >= RUN_ANCHORS:
