@@ -1,15 +1,14 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by hashes of short runs of lines.
 
-A document is the sequence of its lines that are not blank, each trimmed and hashed.
-Hashes of GRAM successive lines are winnowed: of every WINDOW successive grams the least
-(the last of equals) is a fingerprint, so any run of GRAM + WINDOW - 1 = MIN_LINES lines
-that occurs twice has a fingerprint in common. A line of MIN_WORDS words or more is a
-fingerprint by itself. Every fingerprint's occurrences are joined with its first one (in
-the order of doc_id, then line) and the match is extended both ways, line by line. If
-the run has MIN_LINES lines or MIN_WORDS words, the later run is deleted.
+A document is the sequence of its lines that are not blank, each trimmed and hashed. A
+run of lines that occurred earlier (in the order of doc_id, then line) is deleted if it
+has MIN_LINES lines or MIN_WORDS words. Every such run is a union of grams that are
+such runs themselves: of MIN_LINES lines, or of fewer lines with MIN_WORDS words
+together. So every gram is keyed by the hash of its content, each key's first place is
+one minimum, and every gram that has an earlier place is deleted. Each gram is decided
+by its content, whatever stands around it here or there, and the work is linear in lines.
 
 The first copy of a line is never deleted: what is deleted equals an earlier line.
-Occurrences meet their first one only, never each other, so the work is linear in them.
 
 Nulls and ties: null or blank text has no lines and stays as it is; a null doc_id comes
 before all others. Rows with one doc_id and equal texts are one document and get the
@@ -29,9 +28,7 @@ from pyspark.sql import functions as F
 from helixloom.llm._shared import written
 from helixloom.llm._text import chunks, lines, mix64, per_row, span_hashes, words
 
-GRAM = 2
-WINDOW = 2
-MIN_LINES = GRAM + WINDOW - 1
+MIN_LINES = 3
 MIN_WORDS = 50
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
@@ -68,24 +65,8 @@ def line_table(docs: DataFrame) -> DataFrame:
     return picked.mapInArrow(run, "doc long, version long, hashes array<long>, counts array<int>")
 
 
-def winnow(key: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Places of the least of each WINDOW keys inside rows, the last of equals; shorter rows give one."""
-    n = len(key)
-    last = np.repeat(first[1:], np.diff(first)) - 1
-    chosen = np.zeros(n, bool)
-    at = np.arange(n)
-    best = at.copy()
-    for step in range(1, WINDOW):
-        to = np.minimum(at + step, last)
-        best = np.where(key[to] <= key[best], to, best)
-    head = np.zeros(n, bool)
-    head[first[:-1][np.diff(first) > 0]] = True
-    chosen[best[(at + WINDOW - 1 <= last) | head]] = True
-    return np.flatnonzero(chosen)
-
-
 def fingerprints(table: DataFrame) -> DataFrame:
-    """fingerprint, doc, version and line (its place among the lines that are not blank)."""
+    """fingerprint, doc, version, line (its place among the lines that are not blank) and size of every gram, in lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,60 +76,32 @@ def fingerprints(table: DataFrame) -> DataFrame:
             size = hashes.value_lengths().to_numpy(zero_copy_only=False)
             first = np.concatenate([[0], np.cumsum(size)])
             row = np.repeat(np.arange(len(size)), size)
-            inside = np.flatnonzero(row[1:] == row[:-1])
-            gram = mix64(mix64(key[inside] + np.uint64(1)) + key[inside + 1])
-            picks = winnow(gram, np.searchsorted(inside, first))
-            alone = np.flatnonzero(count >= MIN_WORDS)
-            at = np.concatenate([inside[picks], alone])
-            code = np.concatenate([gram[picks], mix64(key[alone] + np.uint64(2))]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(code), batch.column("doc").take(pa.array(row[at])), batch.column("version").take(pa.array(row[at])), pa.array((at - first[row[at]]).astype(np.int32))], ["fingerprint", "doc", "version", "line"])
-
-    return table.mapInArrow(run, "fingerprint long, doc long, version long, line int")
-
-
-def extend(a: np.ndarray, b: np.ndarray, count: np.ndarray, seeds: list[tuple[int, int]], same: bool) -> list[int]:
-    """Lines of ``a`` in runs equal to runs of ``b`` through the seeds (line of a, line of b)."""
-    out: set[int] = set()
-    reach: dict[int, int] = {}
-    for i, j in sorted(seeds):
-        if reach.get(i - j, -1) >= i or same and i <= j:
-            continue
-        n = min(len(a) - i, len(b) - j)
-        differ = np.flatnonzero(a[i : i + n] != b[j : j + n])
-        right = i + (int(differ[0]) if len(differ) else n)
-        m = min(i, j)
-        differ = np.flatnonzero(a[i - m : i] != b[j - m : j])
-        left = i - m + (int(differ[-1]) + 1 if len(differ) else 0)
-        reach[i - j] = max(reach.get(i - j, -1), right - 1)
-        if right - left >= MIN_LINES or count[left:right].sum() >= MIN_WORDS:
-            out.update(range(left, right))
-    return sorted(out)
+            left = np.repeat(first[1:], size) - np.arange(len(key))
+            total = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+            parts = []
+            for n in range(1, MIN_LINES + 1):
+                at = np.flatnonzero(left >= n)
+                if n < MIN_LINES:
+                    at = at[total[at + n] - total[at] >= MIN_WORDS]
+                code = np.full(len(at), n, np.uint64)
+                for i in range(n):
+                    code = mix64(code + key[at + i])
+                parts.append((code.view(np.int64), at, np.full(len(at), n, np.int32)))
+            code, at, n = (np.concatenate([p[j] for p in parts]) for j in range(3))
+            of = pa.array(row[at])
+            yield pa.RecordBatch.from_arrays([pa.array(code), batch.column("doc").take(of), batch.column("version").take(of), pa.array((at - first[row[at]]).astype(np.int32)), pa.array(n)], ["fingerprint", "doc", "version", "line", "size"])
+
+    return table.mapInArrow(run, "fingerprint long, doc long, version long, line int, size int")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """doc, version and lines: places, among its lines that are not blank, of what is repeated from earlier."""
-    table = written(line_table(docs).dropDuplicates(["doc", "version"]), "lines")
-    prints = fingerprints(table)
+    prints = written(fingerprints(line_table(docs)), "line-grams")
     place = F.struct("doc", "version", "line")
-    first = written(prints.groupBy("fingerprint").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "line-firsts")
-    pairs = prints.join(first.select("fingerprint", "first"), "fingerprint").filter(place != F.col("first"))
-    grouped = pairs.groupBy("doc", "version", F.col("first.doc").alias("b_doc"), F.col("first.version").alias("b_version")).agg(F.collect_set(F.struct("line", F.col("first.line").alias("b_line"))).alias("seeds"))
-    mine = table.select("doc", "version", "hashes", "counts")
-    theirs = table.select(F.col("doc").alias("b_doc"), F.col("version").alias("b_version"), F.col("hashes").alias("b_hashes"))
-    both = grouped.join(mine, ["doc", "version"]).join(theirs, ["b_doc", "b_version"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            columns = [batch.column(c) for c in ("hashes", "b_hashes", "counts")]
-            same = [(x == y) for x, y in zip(zip(batch.column("doc").to_pylist(), batch.column("version").to_pylist(), strict=True), zip(batch.column("b_doc").to_pylist(), batch.column("b_version").to_pylist(), strict=True), strict=True)]
-            for i, seeds in enumerate(batch.column("seeds").to_pylist()):
-                a, b, count = (c[i].values.to_numpy(zero_copy_only=False) for c in columns)
-                found.append(extend(a, b, count, [(s["line"], s["b_line"]) for s in seeds], same[i]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("version"), pa.array(found, pa.list_(pa.int32()))], ["doc", "version", "lines"])
-
-    runs = both.select("doc", "version", "b_doc", "b_version", "hashes", "b_hashes", "counts", "seeds").mapInArrow(run, "doc long, version long, lines array<int>")
-    return runs.filter(F.size("lines") > 0).groupBy("doc", "version").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
+    first = prints.groupBy("fingerprint").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    later = prints.join(first.select("fingerprint", "first"), "fingerprint").filter(place != F.col("first"))
+    spans = later.groupBy("doc", "version").agg(F.collect_set(F.struct("line", "size")).alias("spans"))
+    return spans.select("doc", "version", F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["line"], s["line"] + s["size"] - 1)))).alias("lines"))
 
 
 RESULTS = ["n_lines", "n_removed"]

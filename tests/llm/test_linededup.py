@@ -59,6 +59,41 @@ def test_every_repeated_run_of_three_shares_a_fingerprint(spark):
     assert whole == {k: len(a) for k, a in docs}
 
 
+def whole_rule(rows):
+    """Every pair of places, extended both ways: what a run of 3 lines or 50 words deletes."""
+    docs = brute(rows)
+    gone = {key: set() for key, _ in docs}
+    for n, (key, a) in enumerate(docs):
+        for m in range(n + 1):
+            b = docs[m][1]
+            for i in range(len(a)):
+                for j in range(i if m == n else len(b)):
+                    if a[i] == b[j]:
+                        run = run_of(a, b, i, j)
+                        if len(run) >= 3 or sum(len(a[x].split()) for x in run) >= 50:
+                            gone[key].update(run)
+    return {key: lines for key, lines in gone.items() if lines}
+
+
+def test_removed_lines_are_those_of_the_whole_rule(spark):
+    import random
+
+    rng = random.Random(11)
+    kinds = [" ".join([f"k{k}"] * n) for k, n in enumerate([2, 3, 4, 5, 20, 25, 28, 30, 45, 49, 50, 60])]
+    rows = [(i, "\n".join(rng.choice(kinds) + rng.choice(["", "", "", f" own{i}"]) for _ in range(rng.randrange(0, 9)))) for i in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc"]: set(r["lines"]) for r in linededup.repeated(df).collect()} == whole_rule(rows)
+
+
+def test_runs_of_two_lines_of_fifty_words(spark):
+    half = [" ".join([f"h{k}"] * 26) for k in range(12)]
+    rows = [(i, f"head {i}\n{half[2 * i]}\n{half[2 * i + 1]}\ntail {i}") for i in range(6)]
+    rows += [(10 + i, f"other {i}\n{half[2 * i]}\n{half[2 * i + 1]}\nend {i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {10 + i: {1, 2} for i in range(6)}
+    assert {r["doc"]: set(r["lines"]) for r in linededup.repeated(df).collect()} == want == whole_rule(rows)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert linededup.dedup_lines(df).collect() == []
