@@ -94,6 +94,12 @@ def test_runs_of_two_lines_of_fifty_words(spark):
     assert {r["doc"]: set(r["lines"]) for r in linededup.repeated(df).collect()} == want == whole_rule(rows)
 
 
+def test_run_shared_with_a_second_holder_only(spark):
+    rows = [(20, "x\ny\nelse"), (21, "x\ny\nz"), (22, "x\ny\nz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc"]: set(r["lines"]) for r in linededup.repeated(df).collect()} == {22: {0, 1, 2}} == whole_rule(rows)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert linededup.dedup_lines(df).collect() == []
