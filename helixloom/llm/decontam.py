@@ -1,14 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, then Smith-Waterman.
-
-Words are runs of ASCII letters and digits and of non-ASCII characters, in lower case. The SEED_WORDS-grams of
-the items are counted over the whole corpus; an item's seeds are its rare grams: those with
-at most RARE_COUNT occurrences (or RARE_SHARE of the documents, if that is more), and in
-any case those no more frequent than its lower quartile, so a passage that leaked into
-every second document still has seeds. Hits of an item's seeds in a document that lie
-within its length of each other are one passage; a Smith-Waterman alignment over words
+"""Benchmark decontamination: n-gram seeds join passages to test items, then Smith-Waterman.
+
+Words are runs of ASCII letters and digits and of non-ASCII characters, in lower case. Every
+SEED_WORDS-gram of an item is a seed, however often the corpus holds it: counts taken over a
+corpus that holds the leaks say nothing about which grams matter. Hits of an item's seeds in a document that lie
+within its length of each other are one passage. A passage with too few words of the item to
+reach the threshold even if all of them matched is left at that, which costs no result; for the
+others a Smith-Waterman alignment over words
 (match 2, mismatch and gap -1) of the whole item against the passage gives the score, as
 a share of the item's perfect score, or of that of FULL_WORDS words for a longer item, so
-that the half of 26 words counts as a leak however long the item is.
+that the half of 26 words counts as a leak however long the item is. What shares no
+SEED_WORDS successive words with an item is not compared with it.
 
 The benchmark is worked through in blocks of BLOCK_ITEMS items, each broadcast with its
 seeds to one pass over the documents, so what is broadcast is bounded whatever the size of the
@@ -30,16 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixloom.llm._shared import written
-from helixloom.llm._text import chunks, grams, lower, span_hashes, words
+from helixloom.llm._text import chunks, grams, lower, mix64, span_hashes, words
 
 SEED_WORDS = 3
-RARE_COUNT = 16
-RARE_SHARE = 0.0005
 BLOCK_ITEMS = 2000
 ITEM_WORDS = 400
 FULL_WORDS = 26
 THRESHOLD = 0.5
 _CELLS = 1 << 20
+_CHUNK = 1 << 19
 _BITS = 20
 
 _PLAIN = np.full(256, 32, np.uint8)
@@ -126,51 +126,45 @@ def _block(rows: list[tuple[int, str]]) -> tuple[list[int], list[np.ndarray], li
     return ids, seqs, keys, places
 
 
-def _counts(docs: DataFrame, lookups: dict[int, Lookup]) -> dict[int, np.ndarray]:
-    """How often each key of each gram length occurs in the corpus: one sum for each key and partition."""
+def _salted(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Hashes of words as words of their items."""
+    return mix64(words + mix64(item.astype(np.uint64) + np.uint64(1)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {n: np.zeros(len(x.keys), np.int64) for n, x in lookups.items()}
-        for batch in batches:
-            for _, raw, offsets in chunks(batch):
-                token, first = tokens(raw, offsets)
-                for n, lookup in lookups.items():
-                    np.add.at(total[n], lookup.find(grams(token, first, n)[0])[1], 1)
-        for n, sums in total.items():
-            some = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), n), pa.int32()), pa.array(some, pa.int64()), pa.array(sums[some], pa.int64())], ["words", "at", "n"])
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "words int, at long, n long").groupBy("words", "at").agg(F.sum("n").alias("n"))
-    out = {n: np.zeros(len(x.keys), np.int64) for n, x in lookups.items()}
-    for row in found.toArrow().to_pylist():
-        out[row["words"]][row["at"]] = row["n"]
-    return out
+def _common(lookup: Lookup, token: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How many words between low and high are words of the item."""
+    total, size = np.zeros(len(item), np.int64), high - low
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(item):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + _CELLS, side="right")))
+        which = np.repeat(np.arange(at, to), size[at:to])
+        place = np.arange(len(which)) - (ends[which] - size[which] - (ends[at] - size[at])) + low[which]
+        held = lookup.find(_salted(token[place], item[which]))[0]
+        total[at:to] = np.bincount(which[held] - at, minlength=to - at)
+        at = to
+    return total
 
 
-def _search(docs: DataFrame, rows: list[tuple[int, str]], n_docs: int, threshold: float) -> DataFrame:
+def _search(docs: DataFrame, rows: list[tuple[int, str]], threshold: float) -> DataFrame:
     ids, seqs, keys, places = _block(rows)
-    lengths = [min(SEED_WORDS, len(s)) for s in seqs]
-    lookups = {n: Lookup.of(np.concatenate([k for k, m in zip(keys, lengths, strict=True) if m == n])) for n in sorted(set(lengths))}
-    counts = _counts(docs, lookups)
-    rare = max(RARE_COUNT, RARE_SHARE * n_docs)
-    seeds: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {n: [] for n in lookups}
-    for i, (key, place, n) in enumerate(zip(keys, places, lengths, strict=True)):
-        count = counts[n][np.searchsorted(lookups[n].keys, key)]
-        chosen = count <= max(rare, np.quantile(count, 0.25))
-        seeds[n].append((key[chosen], np.full(chosen.sum(), i), place[chosen]))
+    seeds: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for i, (key, place) in enumerate(zip(keys, places, strict=True)):
+        seeds.setdefault(min(SEED_WORDS, len(seqs[i])), []).append((key, np.full(len(key), i), place))
     index = {}
     for n, parts in seeds.items():
         key, item, place = (np.concatenate([p[j] for p in parts]) for j in range(3))
         order = np.argsort(key, kind="stable")
         lookup = Lookup.of(key)
         index[n] = (lookup, np.append(np.searchsorted(key[order], lookup.keys), len(key)), item[order], place[order])
-    held = docs.sparkSession.sparkContext.broadcast((ids, seqs, index))
+    own = Lookup.of(_salted(np.concatenate(seqs), np.repeat(np.arange(len(seqs)), [len(x) for x in seqs])))
+    held = docs.sparkSession.sparkContext.broadcast((ids, seqs, index, own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, seqs, index = held.value
+        ids, seqs, index, own = held.value
         size = np.array([len(s) for s in seqs])
         for batch in batches:
-            for part, raw, offsets in chunks(batch):
+            for part, raw, offsets in chunks(batch, most=_CHUNK):
                 token, first = tokens(raw, offsets)
                 found = []
                 for n, (lookup, bounds, item, place) in index.items():
@@ -194,6 +188,8 @@ def _search(docs: DataFrame, rows: list[tuple[int, str]], n_docs: int, threshold
                 pad = size[item] // 2 + 4
                 low = np.maximum(start[head] - pad, first[row])
                 high = np.minimum(start[tail] + size[item] + pad, first[row + 1])
+                able = _common(own, token, item, low, high) >= threshold * np.minimum(size[item], FULL_WORDS)
+                row, item, low, high = row[able], item[able], low[able], high[able]
                 share = align([seqs[i] for i in item], [token[a:b] for a, b in zip(low, high, strict=True)]) / np.maximum(2 * np.minimum(size[item], FULL_WORDS), 1)
                 share = np.minimum(share, 1.0)
                 ok = share >= threshold
@@ -212,7 +208,6 @@ def passages(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD
     spark: SparkSession = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().filter("text != ''").distinct()
     n_items = items.count()
-    n_docs = docs.count() if n_items else 0
     n_blocks = -(-n_items // block_items)
     out = None
     for b in range(n_blocks):
@@ -220,7 +215,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD
         rows = sorted((r["item_id"], r["text"]) for r in mine.collect())
         rows = [r for r in rows if len(tokens(np.frombuffer(r[1].encode(), np.uint8), np.array([0, len(r[1].encode())]))[0])]
         if rows:
-            found = _search(docs, rows, n_docs, threshold)
+            found = _search(docs, rows, threshold)
             found = found if n_blocks == 1 else written(found, "decontam-block")
             out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], "doc_id long, item_id long, score double, from_word long, to_word long") if out is None else out

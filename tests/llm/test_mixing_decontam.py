@@ -105,6 +105,26 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert decontam.contaminated(df.filter("false"), bench).collect() == []
 
 
+def test_a_part_that_leaked_often_is_found_in_every_document(spark):
+    rng = random.Random(4)
+    items = {k: [f"i{k}w{j}" for j in range(n)] for k, n in enumerate((40, 24, 60))}
+    rows = []
+    for d in range(150):
+        item = items[d % 3]
+        half = item[: len(item) // 2 + 2]
+        if d % 2:
+            half[rng.randrange(4, len(half))] = "edited"
+        if d % 5 == 0:
+            half = half[:6]
+        rows.append((d, [f"d{d}"] * rng.randrange(9) + half + [f"e{d}"] * rng.randrange(9)))
+    best = lambda words, item: min(1.0, smith_waterman(item, words) / (2 * min(len(item), 26)))
+    want = {(d, k): s for d, words in rows for k, item in items.items() if (s := best(words, item)) >= 0.5}
+    assert 60 < len(want) < 150
+    docs = spark.createDataFrame([(d, " ".join(words)) for d, words in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in items.items()], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.passages(docs, bench).collect()} == pytest.approx(want)
+
+
 def test_long_item_is_cut_in_parts(spark):
     words = [f"u{i}" for i in range(1500)]
     bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
