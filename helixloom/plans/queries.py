@@ -346,11 +346,11 @@ def q22_set_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q23_gibbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expression of four candidates in each of 50 loci, with short chains."""
-    shares = _weights(spark, sf_dir).withColumn("p", F.round("p", 1)).filter("p > 0")
+    """Expression of four candidates in each of 50 loci."""
+    shares = _weights(spark, sf_dir)
     grouped = likelihood.classes(shares)
     survivors = shares.select("locus_id", F.col("locus_id").alias("subgraph"), "cand_idx").distinct().withColumn("effective", F.lit(500.0) + F.col("cand_idx") * 100)
-    options = Options(base_iterations=40, iterations_per_candidate=5)
+    options = Options()
     total = float(table(spark, sf_dir, "orders").count())
     return sampler.confident(sampler.estimate(grouped, survivors, options, total), options, total)
 
