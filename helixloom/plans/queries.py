@@ -379,20 +379,15 @@ def q25_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("o_orderstatus", F.col("return_code").alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_SHORT = Options(frag_mean=125.0, frag_sd=15.0, pre_mrna=False, base_iterations=20, iterations_per_candidate=2)
-
-
-def _assembled(spark: SparkSession, sf_dir: str, only_single: bool) -> DataFrame:
-    lineitem = table(spark, sf_dir, "lineitem")
-    lineitem = lineitem.filter("l_suppkey % 3 != 0") if only_single else lineitem
-    done = assemble(synthetic.alignments(lineitem), *synthetic.splice_graphs(lineitem), _SHORT)
-    return done.transcripts
+#: The defaults; the derived transcripts are shorter than those that the length model is trained on by default.
+_WHOLE = Options(min_training_length=4 * synthetic.EXON)
 
 
 @query()
 def q26_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole run over fragments derived from the order lines; loci of two candidates are sampled."""
-    found = _assembled(spark, sf_dir, False)
+    lineitem = table(spark, sf_dir, "lineitem")
+    found = assemble(synthetic.alignments(lineitem), *synthetic.splice_graphs(lineitem), _WHOLE).transcripts
     return found.select("ref", "strand", F.col("subgraph").alias("gene_id"), F.col("name").alias("transcript_id"), F.size("exons").alias("n_exons"), "length", "confidence", "mean_fpkm", "sd_fpkm", "expected_count")
 
 
@@ -403,5 +398,7 @@ SELECT 'g' || l_suppkey::varchar AS gene_id, 4 AS n_exons, 800 AS length, 1.0::d
 """)
 def q27_assembly_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loci with one candidate: every distinct fragment counts."""
-    found = _assembled(spark, sf_dir, True)
+    lineitem = table(spark, sf_dir, "lineitem").filter("l_suppkey % 3 != 0")
+    options = Options(frag_mean=125.0, frag_sd=15.0, pre_mrna=False, base_iterations=20, iterations_per_candidate=2)
+    found = assemble(synthetic.alignments(lineitem), *synthetic.splice_graphs(lineitem), options).transcripts
     return found.select(F.col("subgraph").alias("gene_id"), F.size("exons").alias("n_exons"), "length", "confidence", F.round("expected_count", 4).alias("expected_count"))

@@ -27,3 +27,20 @@ def test_single_fragments_are_drawn_as_a_class_of_several():
     runs = [sampler.sample(m, k, 1.0, 200, 20000, np.random.default_rng(2), pi=0.5) for m, k in ((matrix, n), (apart, np.ones(len(apart), np.int64)))]
     assert np.allclose(runs[0][0] / 20000, runs[1][0] / 20000, atol=0.03)
     assert np.allclose(runs[0][1], runs[1][1], atol=0.01)
+
+
+def assembled_with(monkeypatch, query, spark):
+    seen = {}
+    real = queries.assemble
+
+    def held(alignments, graph_table, segments, path_rows, options):
+        seen.update(options=options, loci=graph_table.count())
+        return real(alignments, graph_table, segments, path_rows, options)
+
+    monkeypatch.setattr(queries, "assemble", held)
+    return query(spark, SMALL), seen
+
+
+def test_the_whole_run_has_the_default_settings(spark, monkeypatch):
+    _, seen = assembled_with(monkeypatch, queries.q26_assembly, spark)
+    assert seen["options"] == Options(min_training_length=800)
