@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -397,8 +398,10 @@ u AS (SELECT DISTINCT * FROM f), n AS (SELECT l_suppkey, count(*) AS n, bool_or(
 SELECT 'g' || l_suppkey::varchar AS gene_id, 4 AS n_exons, 800 AS length, 1.0::double AS confidence, round(n::double, 4) AS expected_count FROM n WHERE n >= 12 AND ends
 """)
 def q27_assembly_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loci with one candidate: every distinct fragment counts."""
-    lineitem = table(spark, sf_dir, "lineitem").filter("l_suppkey % 3 != 0")
-    options = Options(frag_mean=125.0, frag_sd=15.0, pre_mrna=False, base_iterations=20, iterations_per_candidate=2)
-    found = assemble(synthetic.alignments(lineitem), *synthetic.splice_graphs(lineitem), options).transcripts
+    """Single-path loci of a run over all lines without pre-mRNA, so with one candidate: every distinct fragment counts."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    graph_table, segments, path_rows = synthetic.splice_graphs(lineitem)
+    single = graphs.single_path(graphs.junctions(path_rows, graphs.kept_segments(segments))).filter("single_path").select(F.col("graph_id").alias("subgraph"))
+    done = assemble(synthetic.alignments(lineitem), graph_table, segments, path_rows, replace(_WHOLE, pre_mrna=False))
+    found = done.transcripts.join(single, "subgraph", "left_semi")
     return found.select(F.col("subgraph").alias("gene_id"), F.size("exons").alias("n_exons"), "length", "confidence", F.round("expected_count", 4).alias("expected_count"))

@@ -44,3 +44,16 @@ def assembled_with(monkeypatch, query, spark):
 def test_the_whole_run_has_the_default_settings(spark, monkeypatch):
     _, seen = assembled_with(monkeypatch, queries.q26_assembly, spark)
     assert seen["options"] == Options(min_training_length=800)
+
+
+def test_single_loci_come_from_a_run_over_all(spark, monkeypatch):
+    found, seen = assembled_with(monkeypatch, queries.q27_assembly_single, spark)
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    assert seen["loci"] == lines.select("l_suppkey").distinct().count()
+    lines.createOrReplaceTempView("lines_of_q27")
+    want = spark.sql("""
+        WITH u AS (SELECT DISTINCT l_suppkey, (l_partkey * 37 + l_orderkey) % 650 AS t, 100 + int(l_quantity) AS len FROM lines_of_q27 WHERE l_suppkey % 3 <> 0)
+        SELECT 'g' || l_suppkey AS gene_id, 4 AS n_exons, 800 AS length, 1.0D AS confidence, double(count(*)) AS expected_count
+        FROM u GROUP BY l_suppkey HAVING count(*) >= 12 AND bool_or(t < 200) AND bool_or(t + len > 600)""")
+    rows = sorted(map(tuple, found.collect()))
+    assert rows == sorted(map(tuple, want.collect())) and rows
