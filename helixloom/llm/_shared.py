@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixloom.tables import shared_dir, written
+from helixloom.tables import discard, shared_dir, written
 
 #: Rows up to which a table is broadcast; beyond it the join is left to shuffles.
 BROADCAST_ROWS = 20_000
@@ -19,4 +19,4 @@ def join_small(left: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     return left.join(F.broadcast(held) if fits else held, same, how).drop(*[f"__{c}" for c in on])
 
 
-__all__ = ["join_small", "shared_dir", "written"]
+__all__ = ["discard", "join_small", "shared_dir", "written"]
