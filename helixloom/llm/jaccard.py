@@ -334,7 +334,12 @@ def similar_groups(docs: DataFrame, measure: Measure | None = None) -> DataFrame
     shared = met.select("shingle", "node", "n", "i", opened, F.col("lead.node").alias("a"), "lead.m", "lead.j", F.col("node") == F.col("head"), "members", F.when(F.col("salt") < 0, F.col("who").cast("string"))).toDF("shingle", "node", "n", "i", "open", "a", "m", "j", "heads", "members", "who")
     shared = written(shared, "jaccard-shared")
     discard(lists)
-    first_pairs = shared.filter((F.col("node") != F.col("a")) & _possible(measure, "n", "i", "m", "j")).select("a", F.col("node").alias("b")).distinct()
+    # Leaders of the parts of a list that was dealt out meet the first of them, as the others met their leaders.
+    leaders = shared.filter("who IS NULL AND node = a").select("shingle", "node", "n", "i", band.alias("band"))
+    first = leaders.groupBy("shingle", "band").agg(F.min(F.struct("node", F.col("n").alias("m"), F.col("i").alias("j"))).alias("first"))
+    met = leaders.join(first, ["shingle", "band"]).select("node", "n", "i", F.col("first.node").alias("a"), "first.m", "first.j")
+    met = met.unionByName(shared.select("node", "n", "i", "a", "m", "j"))
+    first_pairs = met.filter((F.col("node") != F.col("a")) & _possible(measure, "n", "i", "m", "j")).select("a", F.col("node").alias("b")).distinct()
     first_pairs = written(first_pairs, "jaccard-pairs")
     heavy = verify(docs, first_pairs, measure)
     links = written(light.unionByName(heavy).distinct(), "jaccard-links")
