@@ -16,8 +16,8 @@ costs in proportion to its size, and no link between components is lost. Of list
 the same members only the one of the rarest shingle is looked at in the second round: it
 is the first in which they meet. Candidates are compared by whole sets of 48-bit hashes.
 
-Shingles that the sketch shows in very many documents are dealt over several tasks in the
-first round, each part with leaders of its own; the second round sees the list as a whole.
+Shingles that the sketch shows in very many documents are dealt over several tasks, each
+part of which learns the leader of the whole list.
 
 Nulls and ties: null text, or text without a word, has the empty set and no links. Rows
 that share a doc_id are versions of one document and belong to one component; a null
@@ -331,14 +331,16 @@ def similar_groups(docs: DataFrame, measure: Measure | None = None) -> DataFrame
     head = F.min("node").over(whole)
     met = places.withColumn("band", band).withColumn("lead", lead).withColumn("near", F.count(F.lit(1)).over(near)).withColumn("members", F.count(F.lit(1)).over(whole)).withColumn("head", head).withColumn("who", F.sum(F.xxhash64("node", "n").cast("decimal(20,0)")).over(whole)).filter("members > 1 OR salt >= 0")
     opened = (F.col("near") != 2) | (F.col("members") != 2) | (F.col("salt") >= 0)
-    shared = met.select("shingle", "node", "n", "i", opened, F.col("lead.node").alias("a"), "lead.m", "lead.j", F.col("node") == F.col("head"), "members", F.when(F.col("salt") < 0, F.col("who").cast("string"))).toDF("shingle", "node", "n", "i", "open", "a", "m", "j", "heads", "members", "who")
+    shared = met.select("shingle", "node", "n", "i", opened, F.col("lead.node").alias("a"), "lead.m", "lead.j", F.col("node") == F.col("head"), "members", F.when(F.col("salt") < 0, F.col("who").cast("string")), "salt").toDF("shingle", "node", "n", "i", "open", "a", "m", "j", "heads", "members", "who", "salt")
     shared = written(shared, "jaccard-shared")
     discard(lists)
-    # Leaders of the parts of a list that was dealt out meet the first of them, as the others met their leaders.
-    leaders = shared.filter("who IS NULL AND node = a").select("shingle", "node", "n", "i", band.alias("band"))
-    first = leaders.groupBy("shingle", "band").agg(F.min(F.struct("node", F.col("n").alias("m"), F.col("i").alias("j"))).alias("first"))
-    met = leaders.join(first, ["shingle", "band"]).select("node", "n", "i", F.col("first.node").alias("a"), "first.m", "first.j")
-    met = met.unionByName(shared.select("node", "n", "i", "a", "m", "j"))
+    # A list that was dealt out has one leader for all its parts, which goes to each of them.
+    dealt = shared.filter("salt >= 0").withColumn("band", band)
+    parts_of = dealt.filter("node = a").select("shingle", "band", "salt", "node", "n", "i")
+    first = parts_of.groupBy("shingle", "band").agg(F.min(F.struct("node", F.col("n").alias("m"), F.col("i").alias("j"))).alias("first"))
+    first = parts_of.join(first, ["shingle", "band"]).select("shingle", "band", "salt", "first")
+    met = dealt.join(first, ["shingle", "band", "salt"]).select("node", "n", "i", F.col("first.node").alias("a"), "first.m", "first.j")
+    met = met.unionByName(shared.filter("salt < 0").select("node", "n", "i", "a", "m", "j"))
     first_pairs = met.filter((F.col("node") != F.col("a")) & _possible(measure, "n", "i", "m", "j")).select("a", F.col("node").alias("b")).distinct()
     first_pairs = written(first_pairs, "jaccard-pairs")
     heavy = verify(docs, first_pairs, measure)
