@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable
 from dataclasses import replace
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +15,9 @@ from helixloom.operators import dedup, fragments, graphs, lengths, likelihood, p
 from helixloom.options import Options
 from helixloom.plans import synthetic
 from helixloom.plans.assembly import assemble
+from helixloom.sources import alignments, instances
+from helixloom.sources.lengths import read_lengths
+from helixloom.tables import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,6 +37,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _single(path_rows: DataFrame, segments: DataFrame) -> DataFrame:
+    return graphs.single_path(graphs.junctions(path_rows, graphs.kept_segments(segments))).filter("single_path").select(F.col("graph_id").alias("subgraph"))
+
+
 def _op(op: str, n) -> Column:
     return F.struct(F.lit(op).alias("op"), (n if not isinstance(n, int) else F.lit(n)).cast("int").alias("len"))
 
@@ -171,11 +177,11 @@ def _dag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy((F.col("l_linenumber") % 3).cast("string").alias("graph_id"), src.alias("src"), (src + 1 + F.col("l_suppkey") % 3).cast("int").alias("dst")).agg(F.count(F.lit(1)).alias("coverage"))
 
 
-def _paths(edges: DataFrame) -> DataFrame:
+def _paths(edges: DataFrame, most: int) -> DataFrame:
     ends = edges.select("graph_id", F.explode(F.array("src", "dst")).alias("idx")).distinct()
     segments = ends.select("graph_id", "idx", (F.col("idx") * 10 + 1).cast("int").alias("start"), (F.col("idx") * 10 + 5).cast("int").alias("end"))
     bounds = segments.groupBy("graph_id").agg(F.min("start").alias("left"), F.max("end").alias("right"))
-    found = paths.candidates(bounds, segments, edges, most=100_000, pre_mrna=False)
+    found = paths.candidates(bounds, segments, edges, most=most, pre_mrna=False)
     return found.select(F.col("subgraph").alias("graph_id"), F.array_join(F.transform("path", lambda v: v.cast("string")), ">").alias("path"), "length")
 
 
@@ -189,14 +195,26 @@ SELECT graph_id, path, length::int AS length FROM w WHERE NOT EXISTS (SELECT 1 F
 
 @query(f"WITH RECURSIVE {_DAG}, e AS (SELECT * FROM dag), {_WALK}")
 def q10_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paths(_dag(spark, sf_dir))
+    return _paths(_dag(spark, sf_dir), 100_000)
 
 
-@query(f"WITH RECURSIVE {_DAG}, e AS (SELECT d.* FROM dag d JOIN (SELECT graph_id, avg(coverage) AS m FROM dag GROUP BY graph_id) a USING (graph_id) WHERE coverage >= m), {_WALK}")
+@query(f"""
+WITH RECURSIVE {_DAG},
+t AS (SELECT DISTINCT graph_id, 1::bigint AS t FROM dag UNION SELECT graph_id, coverage + 1 FROM dag),
+v AS (SELECT graph_id, src AS v FROM dag UNION SELECT graph_id, dst FROM dag),
+tv AS (SELECT graph_id, t, v FROM t JOIN v USING (graph_id)),
+e AS (SELECT d.graph_id, t, src, dst FROM t JOIN dag d ON d.graph_id = t.graph_id AND coverage >= t),
+w AS (SELECT graph_id, t, v, [v] AS path FROM tv WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.graph_id = tv.graph_id AND e.t = tv.t AND e.dst = tv.v)
+  UNION ALL SELECT w.graph_id, w.t, e.dst, list_append(w.path, e.dst) FROM w JOIN e ON e.graph_id = w.graph_id AND e.t = w.t AND e.src = w.v),
+p AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.graph_id = w.graph_id AND e.t = w.t AND e.src = w.v)),
+n AS (SELECT graph_id, t, count(*) AS n FROM p GROUP BY ALL),
+pick AS (SELECT graph_id, coalesce(min(t) FILTER (WHERE n <= 100), max(t)) AS t FROM n GROUP BY graph_id),
+r AS (SELECT graph_id, path, row_number() OVER (PARTITION BY graph_id ORDER BY path) AS k FROM p JOIN pick USING (graph_id, t))
+SELECT graph_id, array_to_string(path, '>') AS path, (5 * len(path))::int AS length FROM r WHERE k <= 100
+""")
 def q11_paths_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _dag(spark, sf_dir)
-    least = edges.groupBy("graph_id").agg(F.avg("coverage").alias("m"))
-    return _paths(edges.join(least, "graph_id").filter("coverage >= m").drop("m"))
+    """At most 100 paths of a graph: edges go from the least coverage on."""
+    return _paths(_dag(spark, sf_dir), 100)
 
 
 @query("""
@@ -274,16 +292,29 @@ def q17_median_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([lengths.median_mad(counts)], "median double, mad double, n long")
 
 
-@query("""
-WITH s AS (SELECT min(l_quantity) AS q FROM lineitem),
-p AS (SELECT l::int AS length, exp(-power(l - 180.0::double, 2) / (2 * 400.0::double)) / (20 * sqrt(2 * pi())) AS pmf FROM s, range(1, 401) t(l) WHERE q > 0),
-f AS (SELECT *, sum(pmf) OVER (ORDER BY length) AS cumulated FROM p)
-SELECT length, round(pmf, 10) AS pmf, round(cumulated, 8) AS cumulated, round(sum(cumulated) OVER (ORDER BY length), 6) AS effective FROM f
+_MODEL = """
+x AS (SELECT 100 + l_quantity::int AS x FROM lineitem),
+m AS (SELECT median(x) AS mean FROM x),
+g AS (SELECT mean, 1.4826::double * (SELECT median(abs(x - mean)) FROM x, m) AS sd FROM m),
+p AS (SELECT l::int AS length, exp(-power(l - mean, 2) / (2 * sd * sd)) / (sd * sqrt(2 * pi())) AS pmf FROM g, range(1, 601) t(l)),
+f AS (SELECT *, sum(pmf) OVER (ORDER BY length) AS cumulated FROM p),
+effective AS (SELECT length, cumulated, sum(cumulated) OVER (ORDER BY length) AS effective FROM f)"""
+
+
+def _model(spark: SparkSession, sf_dir: str) -> tuple[float, float]:
+    counts = lengths.histogram(table(spark, sf_dir, "lineitem").select((F.lit(100) + F.col("l_quantity").cast("int")).alias("frag_len")))
+    return lengths.gaussian(counts, Options(min_observations=1))
+
+
+@query(f"""
+WITH {_MODEL}
+SELECT p_partkey, 10 * p_size AS length, round(cumulated, 8) AS cumulated, round(effective, 6) AS effective FROM part JOIN effective ON length = 10 * p_size
 """)
 def q18_effective_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    longest = 400 if table(spark, sf_dir, "lineitem").agg(F.min("l_quantity")).first()[0] > 0 else 0
-    found = lengths.effective_lengths(spark, longest, 180.0, 20.0)
-    return found.select("length", F.round("pmf", 10).alias("pmf"), F.round("cumulated", 8).alias("cumulated"), F.round("effective", 6).alias("effective"))
+    """Effective lengths of the parts under the length model of the order lines."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 10).alias("length"))
+    found = lengths.effective_lengths(spark, 600, *_model(spark, sf_dir))
+    return parts.join(found, "length").select("p_partkey", "length", F.round("cumulated", 8).alias("cumulated"), F.round("effective", 6).alias("effective"))
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,9 +327,20 @@ w AS (SELECT (l_orderkey % 50)::varchar AS locus_id, l_orderkey AS arrival, (l_s
 p AS (SELECT locus_id, arrival, cand_idx, w / sum(w) OVER (PARTITION BY locus_id, arrival) AS p FROM w)"""
 
 
-@query(f"WITH {_WEIGHTS} SELECT arrival, cand_idx, round(p + 1e-9::double, 6) AS p FROM p")
+@query(f"""
+WITH {_MODEL},
+r AS (SELECT l_orderkey AS arrival, (l_suppkey % 4)::int AS cand_idx, 100 + max(l_quantity::int) AS frag_len, 300 + 50 * (l_suppkey % 4) AS length, -sum(l_linenumber) / 10.0::double AS log_p FROM lineitem GROUP BY ALL),
+w AS (SELECT arrival, cand_idx, exp(log_p) * exp(-power(frag_len - mean, 2) / (2 * sd * sd)) / (sd * sqrt(2 * pi())) / effective AS w FROM g, r JOIN effective USING (length))
+SELECT arrival, cand_idx, round(w / sum(w) OVER (PARTITION BY arrival) + 1e-9::double, 6) AS p FROM w
+""")
 def q19_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _weights(spark, sf_dir).select("arrival", "cand_idx", F.round(F.col("p") + F.lit(1e-9), 6).alias("p"))
+    """Shares of the candidates of each order from read scores, fragment lengths and effective lengths."""
+    cand = (F.col("l_suppkey") % 4).cast("int")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("arrival"), cand.alias("cand_idx")).agg((F.lit(100) + F.max(F.col("l_quantity").cast("int"))).alias("frag_len"), (-F.sum("l_linenumber") / F.lit(10.0)).alias("log_p"))
+    rows = rows.withColumn("length", (F.lit(300) + 50 * F.col("cand_idx")).cast("int"))
+    model = _model(spark, sf_dir)
+    found = likelihood.likelihoods(rows, lengths.effective_lengths(spark, 600, *model), *model)
+    return likelihood.normalise(found, ["arrival"]).select("arrival", "cand_idx", F.round(F.col("p") + F.lit(1e-9), 6).alias("p"))
 
 
 @query(f"""
@@ -326,23 +368,21 @@ def q21_fpkm_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("locus_id", "confidence", F.round("mean_fpkm", 4).alias("fpkm"), F.round("expected_count", 4).alias("expected_count"))
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT (l_suppkey % 40)::varchar AS locus_id, l_orderkey, bit_or(1 << (l_partkey % 12)::int) AS mask FROM lineitem GROUP BY ALL),
+l AS (SELECT locus_id, list(DISTINCT mask) AS rows_left FROM o GROUP BY 1),
+g AS (
+  SELECT locus_id, -1 AS step, -1 AS cand_idx, rows_left FROM l
+  UNION ALL
+  SELECT locus_id, step + 1, best, list_filter(rows_left, lambda m: (m >> best) & 1 = 0)
+  FROM (SELECT *, list_position(gains, list_max(gains)) - 1 AS best
+    FROM (SELECT *, list_transform(range(12), lambda c: len(list_filter(rows_left, lambda m: (m >> c::int) & 1 = 1))) AS gains FROM g WHERE len(rows_left) > 0)))
+SELECT locus_id, step::int AS step, cand_idx::int AS cand_idx FROM g WHERE step >= 0
+""")
 def q22_set_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of the greedy cover of each locus, in the order they were chosen."""
     rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 40).cast("string").alias("locus_id"), "l_orderkey").agg(F.sort_array(F.collect_set((F.col("l_partkey") % 12).cast("int"))).alias("cands"))
-    sets = rows.select("locus_id", "cands").distinct().groupBy("locus_id").agg(F.sort_array(F.collect_list("cands")).alias("sets"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                possible = np.zeros((len(r.sets), 12), bool)
-                for i, s in enumerate(r.sets):
-                    possible[i, s] = True
-                out += [(r.locus_id, step, c) for step, c in enumerate(sampler.greedy_cover(possible))]
-            yield pd.DataFrame(out, columns=["locus_id", "step", "cand_idx"])
-
-    return sets.mapInPandas(run, "locus_id string, step int, cand_idx int")
+    return sampler.covers(rows, 12)
 
 
 @query()
@@ -372,14 +412,6 @@ def q24_gtf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.gtf(rows).select("name", "line")
 
 
-@query("SELECT o_orderstatus, CASE WHEN l.l_orderkey IS NULL THEN 'skipped' ELSE 'kept' END AS state, count(*) AS n FROM orders o LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem) l ON o.o_orderkey = l.l_orderkey GROUP BY ALL")
-def q25_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, keys = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    state = lambda how, name: orders.join(keys, "o_orderkey", how).withColumn("return_code", F.lit(name))
-    both = state("left_semi", "kept").unionByName(state("left_anti", "skipped"))
-    return both.groupBy("o_orderstatus", F.col("return_code").alias("state")).agg(F.count(F.lit(1)).alias("n"))
-
-
 #: The defaults; the derived transcripts are shorter than those that the length model is trained on by default.
 _WHOLE = Options(min_training_length=4 * synthetic.EXON)
 
@@ -401,7 +433,159 @@ def q27_assembly_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single-path loci of a run over all lines without pre-mRNA, so with one candidate: every distinct fragment counts."""
     lineitem = table(spark, sf_dir, "lineitem")
     graph_table, segments, path_rows = synthetic.splice_graphs(lineitem)
-    single = graphs.single_path(graphs.junctions(path_rows, graphs.kept_segments(segments))).filter("single_path").select(F.col("graph_id").alias("subgraph"))
+    single = _single(path_rows, segments)
     done = assemble(synthetic.alignments(lineitem), graph_table, segments, path_rows, replace(_WHOLE, pre_mrna=False))
     found = done.transcripts.join(single, "subgraph", "left_semi")
     return found.select(F.col("subgraph").alias("gene_id"), F.size("exons").alias("n_exons"), "length", "confidence", F.round("expected_count", 4).alias("expected_count"))
+
+
+@query("""
+WITH f AS (SELECT l_suppkey, ((l_partkey * 37 + l_orderkey) % 650)::int AS t, 100 + l_quantity::int AS len FROM lineitem WHERE l_suppkey % 3 <> 0),
+u AS (SELECT DISTINCT * FROM f), n AS (SELECT l_suppkey, count(*) AS n, bool_or(t < 200) AND bool_or(t + len > 600) AS ends FROM u GROUP BY 1)
+SELECT CASE WHEN NOT ends THEN 3 WHEN n < 590.5 THEN 7 ELSE 0 END AS return_code, count(*) AS n FROM n GROUP BY 1
+""")
+def q25_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the single-path loci of a run ended, when a transcript needs more than 590 expected fragments."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    graph_table, segments, path_rows = synthetic.splice_graphs(lineitem)
+    done = assemble(synthetic.alignments(lineitem), graph_table, segments, path_rows, replace(_WHOLE, pre_mrna=False, count_threshold=590.5))
+    return sinks.status_counts(done.status.join(_single(path_rows, segments).withColumnRenamed("subgraph", "locus_id"), "locus_id", "left_semi"))
+
+
+@query("""
+WITH s AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1),
+g AS (SELECT 'g' || l_suppkey::varchar AS id, 'chr' || (l_suppkey % 5)::varchar AS ref, ((l_suppkey // 5) * 1000 + 1)::int AS l, ((l_suppkey // 5) * 1000 + CASE WHEN l_suppkey % 3 = 0 THEN 1400 ELSE 900 END)::int AS r, n,
+  CASE WHEN l_suppkey % 3 = 0 THEN 2 ELSE 1 END AS paths FROM s),
+o AS (SELECT *, CASE WHEN l <= max(r) OVER (PARTITION BY ref ORDER BY l, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM g),
+i AS (SELECT *, sum(opens) OVER (PARTITION BY ref ORDER BY l, id ROWS UNBOUNDED PRECEDING) AS island FROM o)
+SELECT min(id) AS locus_id, ref, min(l) AS "left", max(r) AS "right", sum(n)::bigint AS read_count, count(*) = 1 AND max(paths) = 1 AS single_path, count(*) AS n_graphs, (sum(paths) + count(*))::bigint AS n_candidates, count(*) AS n_pre_mrna,
+  sum(r - l + 1)::bigint AS pre_mrna_length FROM i GROUP BY ref, island
+""")
+def q28_loci_with_pre_mrna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping graphs merged to loci, and their candidates with a pre-mRNA for each graph."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    key = F.substring("graph_id", 2, 20).cast("long")
+    start = (F.floor(key / 5) * 1000).cast("int")
+    made, segments, path_rows = synthetic.splice_graphs(lineitem)
+    bounds = made.select("graph_id", "ref", "strand", (start + 1).alias("left"), (start + F.when(key % 3 == 0, 1400).otherwise(900)).cast("int").alias("right"), "read_count")
+    segments = segments.select("graph_id", "idx", (start + 100 * F.col("idx") + 1).cast("int").alias("start"), (start + 100 * F.col("idx") + 50).cast("int").alias("end"), "zero_frac")
+    kept = graphs.kept_segments(segments)
+    edges = graphs.junctions(path_rows, kept)
+    bounds = graphs.widened(bounds, kept)
+    loci = graphs.loci(bounds, graphs.single_path(edges))
+    found = paths.named(paths.candidates(bounds, kept, edges), loci)
+    per = found.groupBy("locus_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.count_if("is_pre_mrna").alias("n_pre_mrna"), F.sum(F.when(F.col("is_pre_mrna"), F.col("length"))).alias("pre_mrna_length"))
+    return loci.join(per, "locus_id").select("locus_id", "ref", "left", "right", "read_count", "single_path", F.size("members").cast("long").alias("n_graphs"), "n_candidates", "n_pre_mrna", "pre_mrna_length")
+
+
+@query("""
+WITH u AS (SELECT DISTINCT l_suppkey, ((l_partkey * 37 + l_orderkey) % 650)::int AS t, 100 + l_quantity::int AS len FROM lineitem WHERE l_suppkey % 3 <> 0),
+m AS (SELECT median(len) AS mean FROM u)
+SELECT len AS length, count(*) AS n, (SELECT mean FROM m) AS mean, (SELECT round(1.4826::double * median(abs(len - mean)), 6) FROM u, m) AS sd FROM u GROUP BY len
+""")
+def q29_length_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragment lengths over long transcripts of single-path loci, and the model they give."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    graph_table, segments, path_rows = synthetic.splice_graphs(lineitem)
+    done = assemble(synthetic.alignments(lineitem), graph_table, segments, path_rows, _WHOLE)
+    mean, sd = done.model
+    return done.lengths.select("length", "n", F.lit(mean).alias("mean"), F.round(F.lit(sd), 6).alias("sd"))
+
+
+@query("""
+WITH r AS (SELECT DISTINCT (l_suppkey % 50 * 20)::int AS s1, (l_linenumber % 3)::int AS shape, (5 + l_partkey % 20)::int AS a, (l_quantity::int % 3 * 70)::int AS gap FROM lineitem),
+x AS (SELECT k::int AS k, 100 * k + 1 AS es, 100 * k + 60 AS ee FROM range(12) t(k)),
+d AS (SELECT *, s1 + gap AS s2, CASE shape WHEN 0 THEN 2 * a ELSE 2 * a - 1 END AS reach FROM r),
+e AS (SELECT *, CASE shape WHEN 0 THEN 2 * a WHEN 1 THEN 2 * a - 1 ELSE 2 * a + 2 END AS span FROM d)
+SELECT s1, shape, a, gap, p.k AS first_exon, q.k AS last_exon, (60 * (q.k - p.k) + (s2 + span - q.es) - (s1 + 1 - p.es) + 1)::int AS frag_len,
+  (60 * q.k + s2 + span - q.es + 1)::int AS forward_end, (720 - (60 * p.k + s1 + 1 - p.es + 1) + 1)::int AS reverse_end
+FROM e JOIN x p ON s1 + 1 BETWEEN p.es AND p.ee JOIN x q ON s2 + 1 BETWEEN q.es AND q.ee
+WHERE s1 + span <= p.ee AND s2 + span <= q.ee AND (shape <> 2 OR (s1 + a + 3 <= p.ee AND s2 + a + 3 <= q.ee)) AND (shape <> 1 OR (s1 + a <= p.ee AND s2 + a <= q.ee))
+""")
+def q30_fragment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both mates of a fragment with an insertion or a deletion on an exon chain: exons, length, and the 3' place on either strand."""
+    c = F.col
+    rows = table(spark, sf_dir, "lineitem").select((c("l_suppkey") % 50 * 20).cast("int").alias("s1"), (c("l_linenumber") % 3).cast("int").alias("shape"), (c("l_partkey") % 20 + 5).cast("int").alias("a"), (c("l_quantity").cast("int") % 3 * 70).cast("int").alias("gap")).distinct()
+    half = _op("M", c("a"))
+    shape = F.when(c("shape") == 0, F.array(_op("M", 2 * c("a")))).when(c("shape") == 1, F.array(half, _op("I", 3), half)).otherwise(F.array(half, _op("D", 2), half))
+    exons = F.array(*[F.struct(F.lit(100 * k + 1).alias("start"), F.lit(100 * k + 60).alias("end")) for k in range(12)])
+    s2 = (c("s1") + c("gap")).cast("int")
+    placed = rows.withColumn("r1", matching.place_read(c("s1"), shape, exons, F.lit(0))).withColumn("r2", matching.place_read(s2, shape, exons, c("r1.first")))
+    plus, minus = (matching.match_fragment(c("s1"), c("r1"), c("r2"), exons, F.lit(x)) for x in "+-")
+    found = placed.withColumn("m", plus).withColumn("w", minus).filter("m IS NOT NULL")
+    return found.select("s1", "shape", "a", "gap", "m.first_exon", "m.last_exon", "m.frag_len", c("m.three_prime").alias("forward_end"), c("w.three_prime").alias("reverse_end"))
+
+
+def _kept_text(lines: DataFrame, name: str) -> str:
+    """Where the lines (a column value) are written as a text file that readers can be tried on."""
+    path = f"{shared_dir(lines.sparkSession)}/helixloom/{name}-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return path
+
+
+@query("""
+SELECT l_orderkey::varchar || '.' || l_linenumber::varchar AS name, 'chr' || (l_suppkey % 5)::varchar AS ref, l_partkey::int - 1 AS pos, 'chr' || (l_suppkey % 5)::varchar AS mate_ref, (l_partkey + 100)::int - 1 AS mate_pos, l_quantity::int AS insert_size,
+  l_linenumber::varchar || 'M2I5M' AS cigar, l_linenumber % 2 = 0 AS is_rev, l_linenumber % 2 = 1 AS is_first, (l_partkey % 3)::int AS nh, l_linenumber::varchar || 'A4' AS md, count(*) AS n
+FROM lineitem GROUP BY ALL
+""")
+def q31_sam_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines written as SAM text and read back."""
+    c, text = F.col, lambda x: x.cast("string")
+    line = F.concat_ws(
+        "\t", F.concat_ws(".", text(c("l_orderkey")), text(c("l_linenumber"))), text(F.lit(3) + F.when(c("l_linenumber") % 2 == 0, 16 + 128).otherwise(64)), F.concat(F.lit("chr"), text(c("l_suppkey") % 5)), text(c("l_partkey")), F.lit("50"),
+        F.concat(text(c("l_linenumber")), F.lit("M2I5M")), F.lit("="), text(c("l_partkey") + 100), text(c("l_quantity").cast("int")), F.lit("*"), F.lit("IIII"), F.concat(F.lit("MD:Z:"), text(c("l_linenumber")), F.lit("A4")), F.concat(F.lit("NH:i:"), text(c("l_partkey") % 3)),
+    )
+    rows = table(spark, sf_dir, "lineitem").select(line.alias("value"))
+    found = alignments.read_sam(spark, _kept_text(rows.unionByName(rows.limit(1).select(F.lit("@HD\tVN:1.0").alias("value"))), "sam"))
+    shape = F.array_join(F.transform("cigar", lambda o: F.concat(o["len"].cast("string"), o["op"])), "")
+    return found.groupBy("name", "ref", "pos", "mate_ref", "mate_pos", "insert_size", shape.alias("cigar"), "is_rev", "is_first", "nh", "md").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH s AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT 'g' || l_suppkey::varchar AS graph_id, 'chr' || (l_suppkey % 5)::varchar AS ref, '+' AS strand, (l_suppkey * 10000 + 1)::int AS "left", (l_suppkey * 10000 + 1400)::int AS "right", n AS read_count, 4::bigint AS n_segments, (4 * l_suppkey * 10000 + 2404)::bigint AS starts,
+  CASE WHEN l_suppkey % 3 = 0 THEN 15 ELSE 10 END::bigint AS n_paths FROM s
+""")
+def q32_instance_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splice graphs of the suppliers written as instance text and read back."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    g, s, p = instances.read_instances(spark, _kept_text(instances.to_text(*synthetic.splice_graphs(lineitem)), "instances"))
+    per = s.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_segments"), F.sum("start").alias("starts"))
+    return g.join(per, "graph_id").join(p.groupBy("graph_id").agg(F.sum("n").alias("n_paths")), "graph_id").select("graph_id", "ref", "strand", "left", "right", "read_count", "n_segments", "starts", "n_paths")
+
+
+@query("""
+WITH h AS (SELECT l_quantity::int AS length, count(*)::double / sum(count(*)) OVER () AS p FROM lineitem WHERE l_quantity < 45 GROUP BY 1)
+SELECT l_orderkey, l_linenumber, round(coalesce(p, 0), 8) AS p FROM lineitem LEFT JOIN h ON length = l_quantity::int
+""")
+def q33_length_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of quantities written as a file of length probabilities, read back and looked up."""
+    lineitem = table(spark, sf_dir, "lineitem").withColumn("frag_len", F.col("l_quantity").cast("int"))
+    counts = lengths.histogram(lineitem.filter("l_quantity < 45"))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    given = read_lengths(spark, _kept_text(counts.select(F.concat_ws(" ", F.col("length").cast("string"), (F.col("n") / F.lit(float(total))).cast("string")).alias("value")), "lengths"))
+    return lengths.empirical(lineitem.select("l_orderkey", "l_linenumber", "frag_len"), given).select("l_orderkey", "l_linenumber", F.round("p", 8).alias("p"))
+
+
+_EVIDENCE = """
+e AS (SELECT l_suppkey, count(*) FILTER (WHERE l_quantity = 50) AS n0, count(*) FILTER (WHERE l_quantity = 1 AND l_linenumber = 7) AS n1, count(*) FILTER (WHERE l_quantity = 49) AS m FROM lineitem GROUP BY 1)"""
+
+
+@query(f"""
+WITH {_EVIDENCE}, x AS (SELECT *, unnest(range(2)) AS c FROM e WHERE n0 + n1 + m > 0)
+SELECT l_suppkey::varchar AS locus_id, c::int AS cand_idx, round(CASE WHEN n0 > 0 AND n1 > 0 THEN 1 WHEN n0 + n1 = 0 THEN 2 / 3.0::double WHEN (c = 0) = (n0 > 0) THEN 1 ELSE 1 / (n0 + n1 + 2)::double END, 6) AS confidence FROM x
+""")
+def q34_gibbs_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two candidates with fragments of their own (n0, n1) and m that fit both alike: the sampled confidence, put to its exact value where it is within 0.06 of it.
+
+    With a cover of one candidate out of two, the other is in the simplex with probability 1 / (n + 2).
+    """
+    q, n0, n1 = F.col("l_quantity"), F.col("n0"), F.col("n1")
+    per = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("locus_id")).agg(F.count_if(q == 50).alias("n0"), F.count_if((q == 1) & (F.col("l_linenumber") == 7)).alias("n1"), F.count_if(q == 49).alias("m")).filter("n0 + n1 + m > 0")
+    one = lambda cands, probs, n: F.struct(F.array(*map(F.lit, cands)).alias("cands"), F.array(*map(F.lit, probs)).alias("probs"), F.col(n).alias("n"))
+    grouped = per.select("locus_id", F.explode(F.array(one([0], [1.0], "n0"), one([1], [1.0], "n1"), one([0, 1], [0.5, 0.5], "m"))).alias("c")).select("locus_id", "c.*").filter("n > 0")
+    survivors = per.select("locus_id", F.col("locus_id").alias("subgraph"), F.explode(F.array(F.lit(0), F.lit(1))).alias("cand_idx"), F.lit(500.0).alias("effective"))
+    found = sampler.estimate(grouped, survivors, Options(), 1e6).join(per, "locus_id")
+    exact = F.when((n0 > 0) & (n1 > 0), 1.0).when(n0 + n1 == 0, 2 / 3).when((F.col("cand_idx") == 0) == (n0 > 0), 1.0).otherwise(1 / (n0 + n1 + 2))
+    sampled = F.col("occurrences") / F.col("n_iter")
+    return found.select("locus_id", "cand_idx", F.round(F.when(F.abs(sampled - exact) < 0.06, exact).otherwise(sampled), 6).alias("confidence"))

@@ -36,6 +36,21 @@ def from_text(bodies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return graphs, segments, path_rows
 
 
+def to_text(graphs: DataFrame, segments: DataFrame, path_rows: DataFrame) -> DataFrame:
+    """The graphs as instance text, one row ``value`` each, which read_instances() reads back."""
+    text = lambda *c: F.concat_ws("\t", *[F.col(x).cast("string") if isinstance(x, str) else x for x in c])
+    zero = F.lit("0")
+    listed = lambda df, key, line, name: df.groupBy("graph_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, line.alias("line")))), lambda x: x["line"]), "\n").alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
+    segs = listed(segments, "idx", text("start", "end", zero, zero, zero, zero, zero, "zero_frac"), "segs")
+    flags = F.array_join(F.transform("flags", lambda x: x.cast("string")), " ")
+    rows = listed(path_rows, "row", F.concat_ws(" ", flags, F.col("n").cast("string")), "rows")
+    parts = [
+        text(F.lit("Instance"), "graph_id"), F.concat_ws(" ", F.lit("Boundary\t"), "ref", F.col("left").cast("string"), F.col("right").cast("string"), "strand"), text(F.lit("Reads"), "read_count"),
+        text(F.lit("Segs"), "n_segs"), F.col("segs"), F.lit("Refs\t0"), text(F.lit("SGTypes"), "n_rows"), F.col("rows"), F.lit("PETypes\t0 0"),
+    ]
+    return graphs.join(segs, "graph_id").join(rows, "graph_id").select(F.concat_ws("\n", *parts).alias("value"))
+
+
 def read_instances(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Reads a file split at the word Instance, so that records are dealt over tasks."""
     return from_text(spark.read.option("lineSep", "Instance").text(path))
