@@ -1,10 +1,12 @@
 """WARC fixity audit with Merkle trees.
 
 Pages are serialised as WARC response records. Leaves of a tree are the digests of the
-records of one id, inner nodes the digest of at most FAN_OUT children in the order of
-ids, which is the order of the records and so of their offsets. Replicas are compared
+records of one id and the bytes they take, inner nodes the digest of at most 16 children in the order of
+ids, which is the order of the records, and of the range of offsets that each child has
+in its parent. So a root vouches for every record and for where it stands, while a lost or longer
+record changes its own ancestors and not what follows it. Replicas are compared
 from the roots; at each level only children of nodes that differ are looked at, until
-the leaves that differ, with their offset ranges in the primary replica, remain.
+the leaves that differ remain, with their offsets in both replicas.
 
 Ids need not be dense: a node covers a range of ids, so a lost record changes its own
 leaf and ancestors alone. Nulls: a null url or html is an empty string; records with a
@@ -15,8 +17,6 @@ columns are fine.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,11 +50,17 @@ def leaves(records: DataFrame, replica: str) -> DataFrame:
 
 
 def grow(below: DataFrame) -> DataFrame:
-    """The next level: a node's hash covers its children's ids and hashes in order."""
-    children = F.sort_array(F.collect_list(F.struct("node", "hash")))
-    up = below.groupBy("replica", F.shiftright("node", FAN_OUT_BITS).alias("up")).agg(children.alias("children"))
-    text = F.array_join(F.transform("children", lambda c: F.concat(c["node"].cast("string"), F.lit(":"), c["hash"])), "|")
-    return up.select("replica", F.col("up").alias("node"), F.sha2(text, 256).alias("hash"))
+    """The next level: a node's hash covers its children's ids, offset ranges in the node, and hashes, in order."""
+    children = F.sort_array(F.collect_list(F.struct("node", "bytes", "hash")))
+    up = below.groupBy("replica", F.shiftright("node", FAN_OUT_BITS).alias("up")).agg(children.alias("children"), F.sum("bytes").alias("bytes"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def add(s: Column, c: Column) -> Column:
+        part = F.concat_ws(":", c["node"].cast("string"), s["at"].cast("string"), c["bytes"].cast("string"), c["hash"])
+        return F.struct((s["at"] + c["bytes"]).alias("at"), F.concat(s["parts"], F.array(part)).alias("parts"))
+
+    text = F.array_join(F.aggregate("children", start, add, lambda s: s["parts"]), "|")
+    return up.select("replica", F.col("up").alias("node"), "bytes", F.sha2(text, 256).alias("hash"))
 
 
 def differing(level: DataFrame) -> DataFrame:
@@ -65,10 +71,10 @@ def differing(level: DataFrame) -> DataFrame:
 
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
-    """Leaves that differ: page_id, status, file_no, record_offset, record_bytes, replica_bytes, sha256."""
+    """Leaves that differ: page_id, status (changed, missing, extra), file_no, record_offset, record_bytes, replica_offset, replica_bytes, sha256."""
     base = written(leaves(primary, "a").unionByName(leaves(replica, "b")), "fixity-leaves")
     low, high = base.filter(F.col("node") != _NO_ID).agg(F.min("node"), F.max("node")).first()
-    levels, top = [base.select("replica", "node", "hash")], max(abs(low or 0), abs(high or 0))
+    levels, top = [base.select("replica", "node", "bytes", "hash")], max(abs(low or 0), abs(high or 0))
     while top:
         top >>= FAN_OUT_BITS
         levels.append(written(grow(levels[-1]), "fixity-level"))
@@ -76,26 +82,20 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     for level in reversed(levels[:-1]):
         parents = bad.select(F.col("node").alias("parent"))
         bad = differing(level.join(parents, F.shiftright(level["node"], FAN_OUT_BITS) == F.col("parent"), "left_semi")).select("node")
-    in_file = Window.partitionBy(F.shiftright("node", FILE_BITS)).orderBy("node")
-    of_a = base.filter("replica = 'a'").withColumn("record_offset", F.sum("bytes").over(in_file) - F.col("bytes"))
-    a = of_a.select("node", "record_offset", F.col("bytes").alias("record_bytes"), F.col("records").alias("records_a"), F.col("sha").alias("sha256"))
-    b = base.filter("replica = 'b'").select("node", F.col("bytes").alias("replica_bytes"), F.col("records").alias("records_b"))
+    in_file = Window.partitionBy("replica", F.shiftright("node", FILE_BITS)).orderBy("node")
+    placed = base.withColumn("offset", F.sum("bytes").over(in_file) - F.col("bytes"))
+    a = placed.filter("replica = 'a'").select("node", F.col("offset").alias("record_offset"), F.col("bytes").alias("record_bytes"), F.col("records").alias("records_a"), F.col("sha").alias("sha256"))
+    b = placed.filter("replica = 'b'").select("node", F.col("offset").alias("replica_offset"), F.col("bytes").alias("replica_bytes"), F.col("records").alias("records_b"))
     status = F.when(F.col("records_a").isNull(), "extra").when(F.col("records_b").isNull(), "missing").otherwise("changed")
     found = bad.join(a, "node", "left").join(b, "node", "left")
     page_id = F.when(F.col("node") != _NO_ID, F.col("node"))
-    return found.select(page_id.alias("page_id"), status.alias("status"), F.shiftright(page_id, FILE_BITS).alias("file_no"), "record_offset", "record_bytes", "replica_bytes", "sha256")
+    return found.select(page_id.alias("page_id"), status.alias("status"), F.shiftright(page_id, FILE_BITS).alias("file_no"), "record_offset", "record_bytes", "replica_offset", "replica_bytes", "sha256")
 
 
 def damaged(records: DataFrame, every: int = 31) -> DataFrame:
-    """A replica with deterministic damage: of every so many ids one is lost, cut short or altered."""
+    """A replica with deterministic damage: of every so many ids one is lost, cut short, altered, or there a second time under an id below 0."""
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("replica"), F.col("page_id").cast("string"))), 1, 8), 16, 10).cast("long")
-    kind = F.when(draw % every == 0, F.floor(draw / every) % 3).otherwise(F.lit(-1))
+    kind = F.when(draw % every == 0, F.floor(draw / every) % 4).otherwise(F.lit(-1))
     html = F.when(kind == 0, F.substring("html", 1, 40)).when(kind == 1, F.concat(F.lit("?"), F.col("html"))).otherwise(F.col("html"))
-    return records.filter((kind != 2) | F.col("page_id").isNull()).withColumn("html", html)
-
-
-def root(records: DataFrame) -> DataFrame:
-    """Root hashes of the tree over the records (one for each sign of the ids)."""
-    base = leaves(records, "a")
-    ends = base.filter(F.col("node") != _NO_ID).agg(F.max(F.abs("node"))).first()[0] or 0
-    return reduce(lambda level, _: grow(level), range(-(-int(ends).bit_length() // FAN_OUT_BITS)), base.select("replica", "node", "hash")).select("node", "hash")
+    extra = records.filter(kind == 3).withColumn("page_id", -F.col("page_id") - 1)
+    return records.filter((kind != 2) | F.col("page_id").isNull()).withColumn("html", html).unionByName(extra)

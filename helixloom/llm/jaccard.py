@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixloom.llm._shared import discard, join_small, written
+from helixloom.llm._shared import discard, join_counted, join_small, written
 from helixloom.llm._text import chunks, grams, lower, mix64, per_row, span_hashes, words
 from helixloom.llm.components import components
 
@@ -352,8 +352,9 @@ def similar_groups(docs: DataFrame, measure: Measure | None = None) -> DataFrame
     same = same.unionByName(shared.filter("open AND who IS NULL").select("shingle").distinct())
     few = shared.filter("open").select("shingle", "node", "n", "i").join(same, "shingle", "left_semi")
     placed = written(few.join(of, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-placed")
-    mixed = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.mode("component", True).alias("main")).filter("lo != hi").select("shingle", "main")
-    mixed = written(placed.join(mixed, "shingle"), "jaccard-mixed")
+    mixed = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.mode("component", True).alias("main"), F.count(F.lit(1)).alias("rows")).filter("lo != hi").select("shingle", "main", "rows")
+    mixed = written(mixed, "jaccard-lists")
+    mixed = written(join_counted(placed, mixed, ["shingle"], "rows"), "jaccard-mixed")
     discard(placed, shared)
     outside = mixed.filter("component != main").select("shingle", F.col("node").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("component").alias("other"))
     crossing = mixed.join(outside, "shingle").filter("component != other AND (component = main OR node < a)").filter(_possible(measure, "n", "i", "m", "j"))

@@ -7,7 +7,7 @@ the language that wins the most (ties: by summed margins) is predicted.
 
 The models are fitted on the driver from a sample of at most SAMPLE_ROWS labelled texts
 in expectation, spread evenly over the languages; prediction reads whole texts of all
-rows. Null text, or text without a letter, gives ``und`` with score 0. Without any
+rows. Where there are more languages than SAMPLE_ROWS, the most frequent are learned. Null text, or text without a letter, gives ``und`` with score 0. Without any
 labelled row all are ``und``. Repeated rows get the same result each; rows with null
 lang are never learned from; extra columns are kept where a caller asks for them.
 """
@@ -169,8 +169,8 @@ def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """The columns in ``keep`` (doc_id), lang_pred and score of every row; only text is looked at."""
-    keep = ["doc_id"] if keep is None else keep
+    """The columns in ``keep`` (doc_id), lang_pred and score of every row; only text is looked at. Columns named like the results are replaced."""
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
     text = "text" if "text" in keep else "__text"
     picked = docs.select(*keep) if text in keep else docs.select(*keep, F.col("text").cast("string").alias(text))
 

@@ -1,12 +1,16 @@
-"""Line dedup by hashes of short runs of lines.
+"""Line dedup by winnowing over line hashes.
 
 A document is the sequence of its lines that are not blank, each trimmed and hashed. A
 run of lines that occurred earlier (in the order of doc_id, then line) is deleted if it
-has MIN_LINES lines or MIN_WORDS words. Every such run is a union of grams that are
-such runs themselves: of MIN_LINES lines, or of fewer lines with MIN_WORDS words
-together. So every gram is keyed by the hash of its content, each key's first place is
-one minimum, and every gram that has an earlier place is deleted. Each gram is decided
-by its content, whatever stands around it here or there, and the work is linear in lines.
+has MIN_LINES lines or MIN_WORDS words. Its windows are its parts of MIN_LINES lines, or
+of fewer with MIN_WORDS words together; the least line hash of a window is its
+fingerprint, so equal windows have the same one at the same place, and about every second line
+is none. Fingerprints that stand at one place only drop out. The places of the others
+are joined, and matches extended from the fingerprint both ways over the windows that it
+is the minimum of: each extension is keyed by its content, and the first place of every
+key is one minimum, so a run is compared with all its earlier holders, whatever stands
+around it there, without forming pairs. Windows with an earlier holder are deleted; a
+longer run is the union of its windows.
 
 The first copy of a line is never deleted: what is deleted equals an earlier line.
 
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixloom.llm._shared import written
+from helixloom.llm._shared import join_counted, written
 from helixloom.llm._text import chunks, lines, mix64, per_row, span_hashes, words
 
 MIN_LINES = 3
@@ -46,60 +50,60 @@ def trimmed_lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return begin, end, first, some
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc, version, and arrays of hashes and word counts of each text's lines that are not blank."""
+def windows(key: np.ndarray, count: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of the lines: place of its fingerprint, start, size and hash of its content; in the order of fingerprints."""
+    left = np.repeat(first[1:], np.diff(first)) - np.arange(len(key))
+    total = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+    parts = []
+    for n in range(1, MIN_LINES + 1):
+        at = np.flatnonzero(left >= n)
+        if n < MIN_LINES:
+            at = at[total[at + n] - total[at] >= MIN_WORDS]
+        code, least = np.full(len(at), n, np.uint64), at.copy()
+        for i in range(n):
+            code = mix64(code + key[at + i])
+            least = np.where(key[at + i] < key[least], at + i, least)
+        parts.append((least, at, np.full(len(at), n, np.int64), code))
+    least, at, n, code = (np.concatenate([p[j] for p in parts]) for j in range(4))
+    order = np.argsort(least, kind="stable")
+    return least[order], at[order], n[order], code[order]
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """fingerprint, doc, version, line (its place among the lines that are not blank) and the windows (code, shift, size) it is the minimum of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, offsets in chunks(batch):
-                begin, end, first, some = trimmed_lines(raw, offsets)
+                begin, end, bounds, some = trimmed_lines(raw, offsets)
                 word_starts = words(raw, offsets)[0]
                 count = (np.searchsorted(word_starts, end) - np.searchsorted(word_starts, begin))[some]
-                at = np.concatenate([[0], np.cumsum(per_row(some, first))]).astype(np.int32)
-                key = span_hashes(raw, begin[some], end[some]).view(np.int64)
-                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(v)) for v in (key, count.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("version"), *lists], ["doc", "version", "hashes", "counts"])
+                first = np.concatenate([[0], np.cumsum(per_row(some, bounds))])
+                key = span_hashes(raw, begin[some], end[some])
+                least, start, size, code = windows(key, count, first)
+                head = np.flatnonzero(np.diff(least, prepend=-1))
+                at = least[head]
+                row = np.searchsorted(first, at, side="right") - 1
+                of, cut = pa.array(row), pa.array(np.append(head, len(least)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cut, pa.array(v)) for v in (code.view(np.int64), (start - least).astype(np.int32), size.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), part.column("doc").take(of), part.column("version").take(of), pa.array((at - first[row]).astype(np.int32)), *lists], ["fingerprint", "doc", "version", "line", "codes", "shifts", "sizes"])
 
     text = F.col("text").cast("string")
     picked = docs.select(F.expr(_KEY).alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
-    return picked.mapInArrow(run, "doc long, version long, hashes array<long>, counts array<int>")
-
-
-def fingerprints(table: DataFrame) -> DataFrame:
-    """fingerprint, doc, version, line (its place among the lines that are not blank) and size of every gram, in lines."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = batch.column("hashes")
-            key = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            count = batch.column("counts").flatten().to_numpy(zero_copy_only=False)
-            size = hashes.value_lengths().to_numpy(zero_copy_only=False)
-            first = np.concatenate([[0], np.cumsum(size)])
-            row = np.repeat(np.arange(len(size)), size)
-            left = np.repeat(first[1:], size) - np.arange(len(key))
-            total = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
-            parts = []
-            for n in range(1, MIN_LINES + 1):
-                at = np.flatnonzero(left >= n)
-                if n < MIN_LINES:
-                    at = at[total[at + n] - total[at] >= MIN_WORDS]
-                code = np.full(len(at), n, np.uint64)
-                for i in range(n):
-                    code = mix64(code + key[at + i])
-                parts.append((code.view(np.int64), at, np.full(len(at), n, np.int32)))
-            code, at, n = (np.concatenate([p[j] for p in parts]) for j in range(3))
-            of = pa.array(row[at])
-            yield pa.RecordBatch.from_arrays([pa.array(code), batch.column("doc").take(of), batch.column("version").take(of), pa.array((at - first[row[at]]).astype(np.int32)), pa.array(n)], ["fingerprint", "doc", "version", "line", "size"])
-
-    return table.mapInArrow(run, "fingerprint long, doc long, version long, line int, size int")
+    return picked.mapInArrow(run, "fingerprint long, doc long, version long, line int, codes array<long>, shifts array<int>, sizes array<int>")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """doc, version and lines: places, among its lines that are not blank, of what is repeated from earlier."""
-    prints = written(fingerprints(line_table(docs)), "line-grams")
+    prints = written(fingerprints(docs), "line-prints")
     place = F.struct("doc", "version", "line")
-    first = prints.groupBy("fingerprint").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = prints.join(first.select("fingerprint", "first"), "fingerprint").filter(place != F.col("first"))
+    several = lambda df, key: df.groupBy(key).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")).filter("first != last").select(key, "first", "n")
+    again = written(several(prints, "fingerprint").drop("first"), "line-again")
+    met = join_counted(prints, again, ["fingerprint"], "n")
+    each = met.select("doc", "version", F.col("line").alias("at"), F.explode(F.arrays_zip("codes", "shifts", "sizes")).alias("w"))
+    extended = written(each.select(F.col("w.codes").alias("code"), "doc", "version", (F.col("at") + F.col("w.shifts")).alias("line"), F.col("w.sizes").alias("size")), "line-windows")
+    firsts = written(several(extended, "code"), "line-firsts")
+    later = join_counted(extended, firsts, ["code"], "n").filter(place != F.col("first"))
     spans = later.groupBy("doc", "version").agg(F.collect_set(F.struct("line", "size")).alias("spans"))
     return spans.select("doc", "version", F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["line"], s["line"] + s["size"] - 1)))).alias("lines"))
 

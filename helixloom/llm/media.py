@@ -1,9 +1,11 @@
 """Media columns: Netpbm and BMP images as numpy arrays, area-resized NPY tiles, difference hashes.
 
 Images are resized by integral images: the integral is interpolated at the fractional
-edges of each output cell, which is exact for pixels of constant value.
+edges of each output cell, which is exact for pixels of constant value. Only those of its
+rows are worked out that have an edge in them, so a tall image costs no more memory than itself.
 
-Nulls and odd input: null or undecodable content gives null features and a message in
+Batches are worked through in slices of bounded size, or of one row. Nulls and odd input:
+null or undecodable content gives null features and a message in
 ``error``; nothing raises. Repeated rows give repeated results, an empty table gives an
 empty one, and other columns of the input pass by unread.
 """
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixloom.llm._text import column_bytes
+from helixloom.llm._text import chunks
 
 #: Samples in a row of a stored payload.
 ROW = 64
@@ -109,16 +111,20 @@ def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean of each output cell's area, by an integral image."""
     grey = image if image.ndim == 2 else image.mean(axis=2)
     rows, cols = grey.shape
-    total = np.zeros((rows + 1, cols + 1))
-    np.cumsum(np.cumsum(grey, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
-
-    def edges(values: np.ndarray, n: int, parts: int) -> np.ndarray:
-        at = np.arange(parts + 1) * (n / parts)
-        low = np.minimum(at.astype(np.int64), n - 1)
-        part = (at - low)[:, None]
-        return values[low] * (1 - part) + values[low + 1] * part
-
-    cut = edges(edges(total, rows, height).T, cols, width).T
+    at = np.arange(height + 1) * (rows / height)
+    low = np.minimum(at.astype(np.int64), rows - 1)
+    cuts = np.unique(np.concatenate([low, low + 1]))  # from 0 to rows
+    total = np.zeros((len(cuts), cols + 1))
+    np.cumsum(np.add.reduceat(grey, cuts[:-1], axis=0, dtype=np.float64), axis=0, out=total[1:, 1:])
+    np.cumsum(total, axis=1, out=total)
+
+    def between(values: np.ndarray, first: np.ndarray, after: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return values[first] * (1 - part)[:, None] + values[after] * part[:, None]
+
+    down = between(total, np.searchsorted(cuts, low), np.searchsorted(cuts, low + 1), at - low)
+    at = np.arange(width + 1) * (cols / width)
+    low = np.minimum(at.astype(np.int64), cols - 1)
+    cut = between(down.T, low, low + 1, at - low).T
     return np.diff(np.diff(cut, axis=0), axis=1) / ((rows / height) * (cols / width))
 
 
@@ -141,67 +147,72 @@ def payload(text: np.ndarray) -> bytes:
     return text.tobytes() + bytes(max(ROW, -(-len(text) // ROW) * ROW) - len(text))
 
 
-def store_texts(docs: DataFrame, form: str = "pgm") -> DataFrame:
-    """doc_id, n_bytes and media: each text (null: empty) as the samples of a "pgm" or "bmp" image."""
+def _store(batches: Iterator[pa.RecordBatch], form: str) -> Iterator[pa.RecordBatch]:
     encode = {"pgm": encode_pgm, "bmp": encode_bmp}[form]
+    for batch in batches:
+        for part, raw, offsets in chunks(batch):
+            media = [encode(np.frombuffer(payload(raw[offsets[i] : offsets[i + 1]]), np.uint8).reshape(-1, ROW)) for i in range(part.num_rows)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = column_bytes(batch.column("text"))
-            for at in range(0, batch.num_rows, 256):
-                part = range(at, min(at + 256, batch.num_rows))
-                media = [encode(np.frombuffer(payload(raw[offsets[i] : offsets[i + 1]]), np.uint8).reshape(-1, ROW)) for i in part]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), pa.array(np.diff(offsets[at : at + len(part) + 1]), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def store_texts(docs: DataFrame, form: str = "pgm") -> DataFrame:
+    """doc_id, n_bytes and media: each text (null: empty) as the samples of a "pgm" or "bmp" image."""
+    return _texts(docs).mapInArrow(lambda batches: _store(batches, form), "doc_id long, n_bytes long, media binary")
 
 
 FEATURES = "width int, height int, payload binary, tile binary, difference_hash string, error string"
+_NAMES = [f.split()[0] for f in FEATURES.split(", ")]
+
+
+def features(content: bytes | None) -> tuple:
+    """FEATURES of one stored image."""
+    if content is None:
+        return None, None, None, None, None, None
+    try:
+        image = decode(content)
+        return image.shape[1], image.shape[0], image.tobytes(), npy_tile(image), difference_hash(image), None
+    except (ValueError, struct.error, IndexError) as e:
+        return None, None, None, None, None, str(e)
+
+
+def _featured(batches: Iterator[pa.RecordBatch], media: str) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.string()]
+    for batch in batches:
+        for part, _, _ in chunks(batch, media):
+            rows = [features(x.as_py()) for x in part.column(media)]
+            made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *_NAMES])
 
 
 def media_features(stored: DataFrame, media: str = "media") -> DataFrame:
     """The input's columns and, decoded from ``media``: width, height, payload, tile, difference_hash, error."""
-    clash = {f.split()[0] for f in FEATURES.split(", ")}
-    kept = stored.select([c for c in stored.columns if c not in clash])
+    kept = stored.select([c for c in stored.columns if c.lower() not in _NAMES])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [FEATURES])
+    return kept.mapInArrow(lambda batches: _featured(batches, media), schema)
 
-    def features(content: bytes | None) -> tuple:
-        if content is None:
-            return None, None, None, None, None, None
-        try:
-            image = decode(content)
-            return image.shape[1], image.shape[0], image.tobytes(), npy_tile(image), difference_hash(image), None
-        except (ValueError, struct.error, IndexError) as e:
-            return None, None, None, None, None, str(e)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.string()]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [features(x.as_py()) for x in part.column(media)]
-                made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *(f.split()[0] for f in FEATURES.split(", "))])
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string"
 
-    return kept.mapInArrow(run, schema)
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sha = lambda column: pa.array([None if x is None else hashlib.sha256(x).hexdigest() for x in column], pa.string())
+    size = lambda column: pa.array([None if x is None else len(x) for x in column], pa.int64())
+    for batch in batches:
+        for part, _, _ in chunks(batch, "media"):
+            pay, media, tile = (part.column(c).to_pylist() for c in ("payload", "media", "tile"))
+            crc = pa.array([None if x is None else zlib.crc32(x[-ROW:]) for x in pay], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), size(pay), sha(pay), crc, size(media), sha(media), part.column("difference_hash"), sha(tile)], [f.split()[0] for f in DIGEST.split(", ")])
 
 
 def digest(featured: DataFrame) -> DataFrame:
-    """Sizes and digests of payload and stored form, read back from the media column."""
-
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pay, media = batch.column("payload").to_pylist(), batch.column("media").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), batch.column("n_bytes"),
-                    pa.array([len(x) for x in pay], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in pay]), pa.array([zlib.crc32(x[-64:]) for x in pay], pa.int64()),
-                    pa.array([len(x) for x in media], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in media]), batch.column("difference_hash"),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in batch.column("tile").to_pylist()]),
-                ],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256"],
-            )
-
-    picked = featured.select("doc_id", "n_bytes", "media", "payload", "tile", "difference_hash")
-    return picked.mapInArrow(crc, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string")
+    """Sizes and digests of payload and stored form, read back from the media column; null where it couldn't be."""
+    return featured.select("doc_id", "n_bytes", "media", "payload", "tile", "difference_hash").mapInArrow(_digested, DIGEST)
+
+
+def digest_texts(docs: DataFrame, form: str = "pgm") -> DataFrame:
+    """digest(media_features(store_texts(docs, form))) with one trip of each text to Python instead of three."""
+    return _texts(docs).mapInArrow(lambda batches: _digested(_featured(_store(batches, form), "media")), DIGEST)

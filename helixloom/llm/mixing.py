@@ -8,8 +8,10 @@ the source never change; what is left over of a chunk of documents goes up a red
 tree of fixed fan-in until one fractional document of each source remains; that one is rounded to the nearer.
 
 Nulls and ties: null text has size 0 and null source is a source of its own, ordered
-last. Repeated rows are separate documents. Documents of size 0, or with a null
-doc_id, take part like any other (the draw depends on doc_id and size only). An empty
+last. Repeated rows are separate documents in the result; on the way those of one doc_id, source
+and text are one row with their number, since as many of them as their probabilities
+add up to can be taken whichever they are, and only what is left over is drawn. Documents of size 0, or with a null
+doc_id, take part like any other (the draw depends on doc_id, text and size only). An empty
 table gives an empty result. Other columns of the input are ignored.
 """
 
@@ -28,19 +30,21 @@ from helixloom.llm._text import chunks, words
 #: Documents of one leaf of the reduction tree, on average, and children of an inner node.
 CHUNK_ROWS = 256
 FAN_IN = 64
+#: Repeated rows that one task puts out.
+BLOCK_ROWS = 1 << 16
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of words of each text."""
+    """doc_id, source, a hash of the text and its number of words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, offsets in chunks(batch):
                 first = words(raw, offsets)[2]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(np.diff(first), pa.int64())], ["doc_id", "source", "size"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), part.column("mark"), pa.array(np.diff(first), pa.int64())], ["doc_id", "source", "mark", "size"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(count, "doc_id long, source string, size long")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
+    return picked.mapInArrow(count, "doc_id long, source string, mark long, size long")
 
 
 def allocate(per_source: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -108,21 +112,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
     The words taken of a source differ from its target by less than its largest document.
     """
-    sized = written(sizes(docs), "mix-sizes")
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
+    sized = written(sizes(docs).groupBy("doc_id", "source", "mark", "size").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
+    per = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     targets = written(allocate(per, weights, share, cap), "mix-targets")
     most = targets.agg(F.max("source_rows")).first()[0] or 0
     rows = join_small(sized, targets, ["source"])
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     n_chunks = F.ceil(F.col("source_rows") / chunk_rows)
-    rows = rows.withColumn("expected", F.least(expected, F.lit(float(cap)))).withColumn("base", F.floor("expected").cast("long")).withColumn("p", F.col("expected") - F.col("base"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), n_chunks)).withColumn("open", F.lit(True)).drop("expected", "source_rows")
+    rows = rows.withColumn("expected", F.least(expected, F.lit(float(cap)))).withColumn("base", F.floor("expected").cast("long")).withColumn("p", (F.col("expected") - F.col("base")) * F.col("n"))
+    rows = rows.withColumn("sure", F.floor("p").cast("long")).withColumn("p", F.col("p") - F.col("sure"))
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "mark")).withColumn("chunk", F.pmod(F.xxhash64("key"), n_chunks)).withColumn("open", F.lit(True)).drop("expected", "source_rows", "mark")
     schema = rows.schema
 
     def level(part: DataFrame, number: int, last: bool) -> DataFrame:
         def round_group(table: pa.Table) -> pa.Table:
-            table = table.sort_by([("size", "descending"), ("doc_id", "ascending")])
-            ids = [x or 0 for x in table.column("doc_id").to_pylist()]
+            table = table.sort_by([("size", "descending"), ("key", "ascending")])
+            ids = table.column("key").to_pylist()
             size, p = table.column("size").to_pylist(), table.column("p").to_pylist()
             p, rest = settle(ids, size, p, seed + number)
             if last and rest >= 0:
@@ -143,5 +148,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         left = out.filter("open").withColumn("chunk", F.floor(F.col("chunk") / FAN_IN).cast("long"))
         out = written(level(left, number, now <= 1), "mix-rounded")
         done = done.unionByName(out.filter(~F.col("open")))
-    copies = (F.col("base") + F.col("p").cast("long")).cast("long")
-    return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    blocks = done.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK_ROWS))))
+    blocks = blocks.filter(F.col("n") <= BLOCK_ROWS).unionByName(blocks.filter(F.col("n") > BLOCK_ROWS).repartition("key", "block"))
+    each = blocks.withColumn("j", F.explode(F.sequence(F.col("block") * BLOCK_ROWS, F.least("n", (F.col("block") + 1) * BLOCK_ROWS) - 1)))
+    copies = (F.col("base") + (F.col("j") < F.col("sure") + F.col("p").cast("long")).cast("long")).cast("long")
+    return each.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))

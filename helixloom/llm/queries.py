@@ -74,7 +74,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts stored as greymaps, read back, resized and hashed."""
-    return media.digest(media.media_features(media.store_texts(table(spark, sf_dir, "documents"))))
+    return media.digest_texts(table(spark, sf_dir, "documents")).drop("tile_sha256")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,14 +114,15 @@ ORACLE_SQL: dict[str, str] = {}
 _record = "'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::varchar, '') || '>' || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(coalesce(html, '')))::varchar || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)"
 ORACLE_SQL["op4_fixity"] = f"""
 WITH drawn AS (SELECT *, {_DRAW.format("'replica' || page_id::varchar")} AS d FROM pages),
-kinds AS (SELECT *, CASE WHEN d % 31 = 0 THEN (d // 31) % 3 ELSE -1 END AS kind FROM drawn),
-spoilt AS (SELECT page_id, url, CASE kind WHEN 0 THEN substr(html, 1, 40) WHEN 1 THEN '?' || html ELSE html END AS html FROM kinds WHERE kind <> 2),
+kinds AS (SELECT *, CASE WHEN d % 31 = 0 THEN (d // 31) % 4 ELSE -1 END AS kind FROM drawn),
+spoilt AS (SELECT page_id, url, CASE kind WHEN 0 THEN substr(html, 1, 40) WHEN 1 THEN '?' || html ELSE html END AS html FROM kinds WHERE kind <> 2 UNION ALL SELECT -page_id - 1, url, html FROM kinds WHERE kind = 3),
 a AS (SELECT page_id, sha256({_record}) AS sha, octet_length(encode({_record})) AS n FROM pages),
 b AS (SELECT page_id, sha256({_record}) AS sha, octet_length(encode({_record})) AS n FROM spoilt),
-placed AS (SELECT *, sum(n) OVER (PARTITION BY page_id >> 12 ORDER BY page_id) - n AS record_offset FROM a)
-SELECT p.page_id, CASE WHEN b.page_id IS NULL THEN 'missing' ELSE 'changed' END AS status, (p.page_id >> 12)::bigint AS file_no,
-  p.record_offset::bigint AS record_offset, p.n::bigint AS record_bytes, b.n::bigint AS replica_bytes, p.sha AS sha256
-FROM placed p LEFT JOIN b USING (page_id) WHERE b.sha IS DISTINCT FROM p.sha
+pa AS (SELECT *, sum(n) OVER (PARTITION BY floor(page_id / 4096.0) ORDER BY page_id) - n AS o FROM a),
+pb AS (SELECT *, sum(n) OVER (PARTITION BY floor(page_id / 4096.0) ORDER BY page_id) - n AS o FROM b)
+SELECT coalesce(pa.page_id, pb.page_id) AS page_id, CASE WHEN pb.page_id IS NULL THEN 'missing' WHEN pa.page_id IS NULL THEN 'extra' ELSE 'changed' END AS status, floor(coalesce(pa.page_id, pb.page_id) / 4096.0)::bigint AS file_no,
+  pa.o::bigint AS record_offset, pa.n::bigint AS record_bytes, pb.o::bigint AS replica_offset, pb.n::bigint AS replica_bytes, pa.sha AS sha256
+FROM pa FULL JOIN pb ON pa.page_id = pb.page_id WHERE pb.sha IS DISTINCT FROM pa.sha
 """
 
 ORACLE_SQL["op6_url_filter"] = f"""
@@ -147,3 +148,47 @@ SELECT p.page_id, p.url, p.fetched_on::varchar AS fetched_on, CASE WHEN h.verdic
   h.kind AS rule_kind, h.pattern AS rule_pattern, h.listed_on::varchar AS rule_from
 FROM parsed p LEFT JOIN (SELECT * FROM hits WHERE place = 1) h USING (page_id)
 """
+
+#: Payload and stored form; the checksum bit by bit; and the cells of the difference hash as overlaps of sample rows and columns with an 8 x 9 grid.
+ORACLE_SQL["op7_media"] = """
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, octet_length(b) AS n, greatest(1, (octet_length(b) + 63) // 64) AS h, hex(b) || repeat('00', (greatest(1, (octet_length(b) + 63) // 64) * 64 - octet_length(b))::int) AS x FROM t),
+f AS (SELECT *, unhex(x) AS payload, encode('P5' || chr(10) || '64 ' || h::varchar || chr(10) || '255' || chr(10)) || unhex(x) AS media FROM p),
+rows_of AS (SELECT doc_id, h, r, substr(x, (r * 128 + 1)::int, 128) AS line FROM p, unnest(range(h)) u(r)),
+sums AS (SELECT doc_id, h, r, list_transform(range(9), lambda j: list_sum(list_transform(range(64), lambda i: ('0x' || substr(line, (2 * i + 1)::int, 2))::int * greatest(0, least((j + 1) * 64, (i + 1) * 9) - greatest(j * 64, i * 9))))) AS across FROM rows_of),
+grid AS (SELECT doc_id, k, j, sum(across[j + 1] * greatest(0, least((k + 1) * h, (r + 1) * 8) - greatest(k * h, r * 8))) AS v FROM sums, range(8) g(k), range(9) c(j) WHERE greatest(k * h, r * 8) < least((k + 1) * h, (r + 1) * 8) GROUP BY ALL),
+bits AS (SELECT a.doc_id, a.k, sum(CASE WHEN a.v < b.v THEN 1 << (7 - a.j)::int ELSE 0 END) AS byte FROM grid a JOIN grid b ON a.doc_id = b.doc_id AND a.k = b.k AND b.j = a.j + 1 GROUP BY ALL),
+hash AS (SELECT doc_id, string_agg(printf('%02x', byte::int), '' ORDER BY k) AS feature FROM bits GROUP BY doc_id),
+crc AS (SELECT doc_id, list_reduce(list_prepend(4294967295::bigint, list_transform(range(64), lambda i: ('0x' || substr(x, (length(x) - 127 + 2 * i)::int, 2))::bigint)),
+  lambda c, v: list_reduce(list_prepend(xor(c, v), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda q, z: CASE WHEN q & 1 = 1 THEN xor(q >> 1, 3988292384::bigint) ELSE q >> 1 END)) AS c FROM p)
+SELECT f.doc_id, n AS n_bytes, h * 64 AS payload_bytes, sha256(payload) AS payload_sha256, xor(c, 4294967295::bigint) AS tail_crc32, octet_length(media) AS media_bytes, sha256(media) AS media_sha256, feature
+FROM f JOIN crc ON crc.doc_id = f.doc_id JOIN hash ON hash.doc_id = f.doc_id
+"""
+_trim = "regexp_replace({0}, '^[ \\x09-\\x0D]+|[ \\x09-\\x0D]+$', '', 'g')"
+ORACLE_SQL["op5_line_dedup"] = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents WHERE text IS NOT NULL),
+t AS (SELECT *, {_trim.format("line")} AS x FROM l),
+k AS (SELECT doc_id, place, x, len(regexp_extract_all(x, '[^ \\x09-\\x0D]+')) AS words FROM t WHERE x <> ''),
+o AS (SELECT *, row_number() OVER w AS i, lead(x) OVER w AS x2, lead(x, 2) OVER w AS x3, lead(words) OVER w AS w2 FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+g AS (
+  SELECT doc_id, i, 1 AS size, x AS a, NULL AS b, NULL AS c FROM o WHERE words >= 50
+  UNION ALL SELECT doc_id, i, 2, x, x2, NULL FROM o WHERE x2 IS NOT NULL AND words + w2 >= 50
+  UNION ALL SELECT doc_id, i, 3, x, x2, x3 FROM o WHERE x3 IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY size, a, b, c ORDER BY doc_id, i) AS nth FROM g),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(size)) AS i FROM r WHERE nth > 1),
+m AS (SELECT t.doc_id, t.place, t.line, o.i, gone.i IS NOT NULL AS cut FROM t LEFT JOIN o USING (doc_id, place) LEFT JOIN gone ON gone.doc_id = o.doc_id AND gone.i = o.i),
+d AS (SELECT doc_id, count(i) AS n_lines, count(*) FILTER (WHERE cut) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT cut), '') AS kept FROM m GROUP BY doc_id)
+SELECT x.doc_id, coalesce(n_lines, 0)::int AS n_lines, coalesce(n_removed, 0)::int AS n_removed, octet_length(encode(coalesce(kept, ''))) AS kept_bytes, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents x LEFT JOIN d USING (doc_id)
+"""
+
+ORACLE_SQL["op3_jaccard_join"] = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(list_slice(w, i, i + 3)) AS s FROM w, unnest(range(1, greatest(2, len(w) - 2))) u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+k AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r AS (SELECT a AS doc_id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id WHERE r.root < e.b),
+m AS (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(root, d.doc_id)) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""

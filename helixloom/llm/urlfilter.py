@@ -6,8 +6,10 @@ and every capture is evaluated against the entries active on its fetch day. A ca
 looks up its host, each domain it ends in (itself included) and host plus first path segment; of the active
 entries found, the most specific decides (prefix, then host, then the longest domain).
 
-Intervals are cut at month borders, so the join's key is pattern and month and at most
-31 intervals share it; captures of a hot pattern are salted besides. Nulls: a capture
+A pattern has at most one entry a day, so its intervals are one sorted array of bounded
+size. Patterns and days that captures ask for are made distinct first, with a map-side
+part, and each is looked up once in the array of its pattern (the as-of join); what is active then goes back to
+the captures by pattern and day, hot ones of which are broadcast. Nulls: a capture
 with a null url or day, or a url without host, is kept with verdict ``allow`` and no
 rule. Entries with a null pattern, kind, verdict or day are ignored. Of several entries
 for one pattern and day, removal beats allow and allow beats block. Repeated captures
@@ -20,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 8
+from helixloom.llm._shared import join_counted, written
+
 #: Order of verdicts on one day.
 RANK = {"block": 0, "allow": 1, "remove": 2}
 
@@ -63,24 +66,14 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     """The captures with verdict, rule_kind, rule_pattern and rule_from of the entry that decides."""
     results = ["verdict", "rule_kind", "rule_pattern", "rule_from"]
     kept = captures.select([c for c in captures.columns if c not in results])
-    last = kept.agg(F.max(F.col(day_col).cast("date"))).first()[0]
-    month = lambda day: F.year(day) * 12 + F.month(day)
-    ends = F.coalesce(F.date_sub("valid_to", 1), F.greatest(F.lit(last).cast("date"), F.col("valid_from")))
-    salted = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    active = (
-        intervals(entries).filter(F.col("valid_from") <= F.lit(last).cast("date"))
-        .withColumn("e_month", F.explode(F.sequence(month(F.col("valid_from")), F.greatest(month(ends), month(F.col("valid_from"))))))
-        .withColumn("e_salt", salted)
-        .select(F.col("kind").alias("e_kind"), F.col("pattern").alias("e_pattern"), "verdict", "valid_from", "valid_to", "e_month", "e_salt")
-    )
-    probes = (
-        kept.select(F.col(id_col).alias("p_id"), F.col(url_col).alias("p_url"), F.col(day_col).cast("date").alias("day"))
-        .distinct()
-        .withColumn("key", F.explode(lookup_keys(F.col("p_url"))))
-        .select("p_id", "p_url", "day", "key.kind", "key.pattern", "key.rank", month(F.col("day")).alias("month"), F.pmod(F.xxhash64("p_id", "p_url"), F.lit(SALTS)).cast("int").alias("salt"))
-    )
-    at = (F.col("pattern") == F.col("e_pattern")) & (F.col("kind") == F.col("e_kind")) & (F.col("month") == F.col("e_month")) & (F.col("salt") == F.col("e_salt"))
-    at &= (F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))
-    hits = probes.join(active, at).groupBy("p_id", "p_url", "day").agg(F.max_by(F.struct("verdict", "kind", "pattern", "valid_from"), "rank").alias("rule"))
+    dated = intervals(entries).groupBy("kind", "pattern").agg(F.sort_array(F.collect_list(F.struct("valid_from", "valid_to", "verdict"))).alias("dated"))
+    asked = kept.select(F.col(id_col).alias("p_id"), F.col(url_col).alias("p_url"), F.col(day_col).cast("date").alias("day")).distinct()
+    probes = asked.withColumn("key", F.explode(lookup_keys(F.col("p_url")))).select("p_id", "p_url", "day", "key.kind", "key.pattern", "key.rank")
+    days = probes.filter("day IS NOT NULL").groupBy("kind", "pattern", "day").agg(F.count(F.lit(1)).alias("n"))
+    begun = F.try_element_at(F.filter("dated", lambda x: x["valid_from"] <= F.col("day")), F.lit(-1))
+    active = days.join(dated, ["kind", "pattern"]).withColumn("entry", begun)
+    active = active.filter("entry IS NOT NULL").filter("entry.valid_to IS NULL OR day < entry.valid_to").select("kind", "pattern", "day", "n", "entry.verdict", "entry.valid_from")
+    active = written(active, "url-active")
+    hits = join_counted(probes, active, ["kind", "pattern", "day"], "n").groupBy("p_id", "p_url", "day").agg(F.max_by(F.struct("verdict", "kind", "pattern", "valid_from"), "rank").alias("rule"))
     out = kept.join(hits, kept[id_col].eqNullSafe(hits["p_id"]) & (kept[url_col] == hits["p_url"]) & (kept[day_col].cast("date") == hits["day"]), "left")
     return out.select(*kept.columns, F.coalesce("rule.verdict", F.lit("allow")).alias("verdict"), F.col("rule.kind").alias("rule_kind"), F.col("rule.pattern").alias("rule_pattern"), F.col("rule.valid_from").alias("rule_from"))

@@ -103,3 +103,28 @@ def test_run_shared_with_a_second_holder_only(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert linededup.dedup_lines(df).collect() == []
+
+
+def test_equal_windows_have_the_same_fingerprint():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    key = rng.integers(0, 30, 400).astype(np.uint64)
+    first = np.array([0, 100, 100, 103, 400])
+    least, start, size, code = linededup.windows(key, np.ones(400, int), first)
+    where = {}
+    for a, s, n, c in zip(least, start, size, code, strict=True):
+        assert s <= a < s + n and key[a] == key[s : s + n].min()
+        content = tuple(key[s : s + n].tolist())
+        assert where.setdefault(content, (a - s, c)) == (a - s, c)
+    assert len({c for _, c in where.values()}) == len(where)
+    assert sorted(start.tolist()) == [*range(98), 100, *range(103, 398)]
+
+
+def test_hot_keys_are_joined_apart(spark):
+    from helixloom.llm._shared import join_counted
+
+    left = spark.range(3000).selectExpr("if(id % 3 = 0, 7L, id) as k", "id as v")
+    counted = left.groupBy("k").count().withColumnRenamed("count", "n").filter("k % 2 = 1")
+    got = join_counted(left, counted, ["k"], "n", share=10, least=5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(counted, "k").select("k", "v", "n").collect()))
