@@ -13,8 +13,8 @@ SEED_WORDS successive words with an item is not compared with it. An item of few
 SHORT_WORDS words may be a common phrase, so it is a leak only where it stands word for word
 in a document of at most SHORT_SHARE times its words.
 
-The benchmark is worked through in blocks of BLOCK_ITEMS items, each broadcast with its
-seeds to one pass over the documents, so what is broadcast is bounded whatever the size of the
+The benchmark is worked through in blocks of about BLOCK_WORDS words, each broadcast with its
+seeds (some 24 bytes a word) to one pass over the documents, so what is broadcast is bounded whatever the size of the
 benchmark; an item of more than ITEM_WORDS words is cut into overlapping parts, which are items of their own here.
 
 Nulls: a document with null text has no passage, an item with null text or fewer than
@@ -36,7 +36,7 @@ from helixloom.llm._shared import written
 from helixloom.llm._text import chunks, grams, lower, mix64, span_hashes, words
 
 SEED_WORDS = 3
-BLOCK_ITEMS = 2000
+BLOCK_WORDS = 1 << 21
 ITEM_WORDS = 400
 FULL_WORDS = 26
 THRESHOLD = 0.5
@@ -210,12 +210,12 @@ def _search(docs: DataFrame, rows: list[tuple[int, str]], threshold: float) -> D
     return picked.mapInArrow(run, "doc_id long, item_id long, score double, from_word long, to_word long")
 
 
-def passages(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def passages(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, score, from_word and to_word of every passage that scores at least ``threshold``."""
     spark: SparkSession = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().filter("text != ''").distinct()
-    n_items = items.count()
-    n_blocks = -(-n_items // block_items)
+    n_words = items.agg(F.sum(F.size(F.split("text", r"[^A-Za-z0-9\x{80}-\x{10FFFF}]+")))).first()[0] or 0
+    n_blocks = -(-n_words // block_words)
     out = None
     for b in range(n_blocks):
         mine = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b)

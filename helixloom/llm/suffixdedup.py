@@ -16,7 +16,9 @@ is compared again. The merged order with its common-prefix lengths tells for eac
 length which suffixes agree; those whose bytes before the anchor agree too hold equal windows.
 
 No pairs are formed: each group of equal windows is reduced to its smallest doc_id. Copies of whole
-texts are settled before by a digest.
+texts are settled before by a digest. Suffixes of a gram that fills more than a range go to several by
+what its windows have on one side of it, so a gram that very many documents hold in
+different surroundings is not one task's work.
 
 Nulls and ties: null text is empty; a null doc_id comes before all others and shows as
 null. Rows that share a doc_id don't remove each other's bytes. Texts shorter than
@@ -33,11 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixloom.llm._shared import join_counted, written
 from helixloom.llm._text import _SPREAD, _powers, chunks, mix64
 
 MATCH = 50
 GRAM = 16
 REACH = MATCH - GRAM
+#: Windows that start farther before their anchor than this are told by what is before it.
+NEAR = 17
 #: Rows from which the borders of the sorted ranges are taken, on average.
 SAMPLE_ROWS = 2000
 _KEY = "coalesce(cast(doc_id as bigint), -9223372036854775808)"
@@ -278,23 +283,37 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_runs(texts: DataFrame, parts: int) -> DataFrame:
-    """Sorted runs of anchor hashes with the documents they come from, dealt by ranges of the hash."""
+    """Sorted runs of anchor hashes with the documents they come from, dealt by ranges of the hash.
+
+    Anchors whose gram a task itself sees in several documents are settled: they are dealt
+    evenly, and only those of the least and the largest document go to the range of the hash.
+    """
 
     def flush(held: _Held, docs: _Held) -> Iterator[pa.RecordBatch]:
         key, row, number = held.all()
-        order = np.argsort(key, kind="stable")
-        key, row, number = key[order], row[order], number[order]
         ids, versions = docs.all()
+        order = np.lexsort((ids[row], key))
+        key, row, number = key[order], row[order], number[order]
+
+        def record(part: int, settled: int, used: np.ndarray, mine: np.ndarray, step: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+            values = (step, mine.astype(np.uint32), number, np.diff(ids[used], prepend=0), versions[used])
+            return pa.RecordBatch.from_arrays([pa.array([v]) for v in (part, settled, len(mine), len(used))] + [pa.array([_pack(x)], pa.binary()) for x in values], ["part", "settled", "n", "docs", "hashes", "rows", "numbers", "ids", "versions"])
+
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        tail = np.append(head[1:], len(key)) - 1
+        several = np.repeat(ids[row[head]] != ids[row[tail]], tail - head + 1)
+        if several.any():
+            done, mine = np.unique(row[several], return_inverse=True)
+            yield record(int(mix64(ids[:1].view(np.uint64))[0] % np.uint64(parts)), 1, done, mine, key[:0], number[several])
+        send = ~several
+        send[head] = send[tail] = True
+        key, row, number = key[send], row[send], number[send]
         bounds = np.searchsorted(key, np.array([(p << 40) // parts for p in range(parts + 1)], np.uint64))
         for p in range(parts):
             a, b = bounds[p], bounds[p + 1]
             if a < b:
                 used, mine = np.unique(row[a:b], return_inverse=True)
-                step = np.diff(key[a:b], prepend=np.uint64(0))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([v]) for v in (p, int(b - a), len(used))] + [pa.array([_pack(x)], pa.binary()) for x in (step, mine.astype(np.uint32), number[a:b], np.diff(ids[used], prepend=0), versions[used])],
-                    ["part", "n", "docs", "hashes", "rows", "numbers", "ids", "versions"],
-                )
+                yield record(p, 0, used, mine, np.diff(key[a:b], prepend=np.uint64(0)), number[a:b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, docs, rows, full = _Held(3), _Held(2), 0, 0
@@ -313,7 +332,7 @@ def gram_runs(texts: DataFrame, parts: int) -> DataFrame:
         if full:
             yield from flush(held, docs)
 
-    return texts.mapInArrow(run, "part long, n long, docs long, hashes binary, rows binary, numbers binary, ids binary, versions binary")
+    return texts.mapInArrow(run, "part long, settled long, n long, docs long, hashes binary, rows binary, numbers binary, ids binary, versions binary")
 
 
 def recurring(runs: DataFrame) -> DataFrame:
@@ -325,7 +344,13 @@ def recurring(runs: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 row = _unpack(r["rows"], r["n"], "u4")
                 ids, versions = np.cumsum(_unpack(r["ids"], r["docs"], "i8")), _unpack(r["versions"], r["docs"], "i8")
-                held.add(np.cumsum(_unpack(r["hashes"], r["n"], "u8")), ids[row], versions[row], _unpack(r["numbers"], r["n"], "u4"))
+                number = _unpack(r["numbers"], r["n"], "u4")
+                if r["settled"]:
+                    for a in range(0, len(row), 1 << 17):
+                        of = row[a : a + (1 << 17)]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(versions[of]), pa.array(number[a : a + (1 << 17)].astype(np.int32))], ["key", "version", "number"])
+                else:
+                    held.add(np.cumsum(_unpack(r["hashes"], r["n"], "u8")), ids[row], versions[row], number)
         got = held.all()
         if got:
             order = np.argsort(got[0], kind="stable")
@@ -351,8 +376,32 @@ def _suffixes(raw: np.ndarray, offsets: np.ndarray, place: np.ndarray, high: np.
     return right, left
 
 
-def suffix_runs(found: DataFrame, borders: np.ndarray) -> DataFrame:
-    """Front-coded sorted runs of the suffixes that the task can't settle, and the spans it can, by range."""
+def _row_hashes(rows: np.ndarray) -> np.ndarray:
+    weights = mix64(np.arange(1, rows.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return mix64((rows.astype(np.uint64) + np.uint64(1)) @ weights)
+
+
+def split_hot(right: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.ndarray, part: np.ndarray, hot: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes (as indexes, in their order) with low, high and part, where those of hot grams are dealt over all parts.
+
+    A window that starts at most NEAR bytes before its anchor has the MATCH - NEAR bytes from
+    there on, any other has NEAR + 1 bytes before it: so a hot suffix goes by the hash of the
+    one for its near windows, and by that of the other, with the gram, for its far ones.
+    """
+    if not hot.any():
+        return np.arange(len(part)), low, high, part
+    near, far = np.flatnonzero(hot & (low <= NEAR)), np.flatnonzero(hot & (high > NEAR))
+    rest = np.flatnonzero(~hot)
+    to_near = (_row_hashes(right[near, : MATCH - NEAR]) % np.uint64(parts)).astype(np.int64)
+    to_far = (_row_hashes(np.concatenate([left[far, : NEAR + 1], right[far, :GRAM]], axis=1)) % np.uint64(parts)).astype(np.int64)
+    at = np.concatenate([rest, near, far])
+    order = np.argsort(at, kind="stable")
+    cat = lambda *x: np.concatenate(x)[order]
+    return at[order], cat(low[rest], low[near], np.maximum(low[far], NEAR + 1)), cat(high[rest], np.minimum(high[near], NEAR), high[far]), cat(part[rest], to_near, to_far)
+
+
+def suffix_runs(found: DataFrame, borders: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """Front-coded sorted runs of the suffixes that the task can't settle, and the spans it can, by range; suffixes of ``hot`` grams are dealt over all ranges."""
 
     def flush(held: _Held) -> Iterator[pa.RecordBatch]:
         got = held.all()
@@ -369,16 +418,18 @@ def suffix_runs(found: DataFrame, borders: np.ndarray) -> DataFrame:
         opened = open_bits[keep]
         low = np.log2((opened & (~opened + np.uint64(1))).astype(np.float64)).astype(np.uint8)
         high = np.floor(np.log2(opened.astype(np.float64))).astype(np.uint8)
-        right, left, part_of = right[keep], left[keep], dealt[keep]
+        right, left = right[keep], left[keep]
+        grams = right[:, :GRAM].copy().view(f"S{GRAM}").ravel()
+        at, low, high, part_of = split_hot(right, left, low, high, dealt[keep], np.isin(grams, hot), len(borders) + 1)
+        right, left, keep = right[at], left[at], keep[at]
         left[np.arange(REACH) >= high[:, None]] = 0
-        same = right[1:] == right[:-1]
-        common = np.concatenate([[0], np.where(same.all(axis=1), MATCH, same.argmin(axis=1))])[: len(keep)]
         for p in np.unique(np.concatenate([part_of, dealt[which]])):
             mine = np.flatnonzero(part_of == p)
             done = np.flatnonzero(dealt[which] == p)
-            shared = common[mine].astype(np.uint8)
-            shared[:1] = 0
-            tails = right[mine][np.arange(MATCH) >= shared[:, None]]
+            own = right[mine]
+            same = own[1:] == own[:-1]
+            shared = np.concatenate([[0], np.where(same.all(axis=1), MATCH, same.argmin(axis=1))])[: len(mine)].astype(np.uint8)
+            tails = own[np.arange(MATCH) >= shared[:, None]]
             e = keep[mine]
             docs = np.stack([np.concatenate([ids[e], ids[which[done]]]), np.concatenate([versions[e], versions[which[done]]])], axis=1)
             table, row = np.unique(docs, axis=0, return_inverse=True)
@@ -447,11 +498,11 @@ def covered(runs: DataFrame) -> DataFrame:
     return runs.mapInArrow(run, "key long, version long, span long")
 
 
-def borders(docs: DataFrame, parts: int, sample_rows: int) -> np.ndarray:
-    """Grams that cut the sorted order into ranges of about equal numbers of anchors."""
+def borders(docs: DataFrame, parts: int, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Grams that cut the sorted order into ranges of about equal numbers of anchors, and those that fill a range of their own."""
     n = docs.count()
     if not n or parts < 2:
-        return np.zeros(0, f"S{GRAM}")
+        return np.zeros(0, f"S{GRAM}"), np.zeros(0, f"S{GRAM}")
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, sample_rows / n) * (1 << 20)) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -463,8 +514,9 @@ def borders(docs: DataFrame, parts: int, sample_rows: int) -> np.ndarray:
 
     grams = np.sort(np.array(sample.select("text").mapInArrow(run, "gram binary").toArrow().column("gram").to_pylist(), f"S{GRAM}"))
     if not len(grams):
-        return grams
-    return np.unique(grams[(np.arange(1, parts) * len(grams)) // parts])
+        return grams, grams
+    cuts, times = np.unique(grams[(np.arange(1, parts) * len(grams)) // parts], return_counts=True)
+    return cuts, cuts[times > 1]
 
 
 def dedup_bytes(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -480,17 +532,18 @@ def dedup_bytes(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     texts = picked.select(F.expr(_KEY).alias("key"), version.alias("version"), "text").repartition(parts, *on)
 
     digests = picked.filter(F.octet_length("text") >= MATCH).select(F.expr(_KEY).alias("key"), version.alias("version"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
-    firsts = digests.groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    copies = digests.join(firsts, "digest").filter("key != first").select("key", "version").distinct().repartition(parts, *on)
+    digests = written(digests, "suffix-digests")
+    firsts = written(digests.groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-firsts")
+    copies = join_counted(digests, firsts, ["digest"], "n").filter("key != first").select("key", "version").distinct().repartition(parts, *on)
 
     # The three joins below read one exchange of the texts: it is dealt by just their keys, as
     # the other sides are, and no filter is pushed under it.
-    cuts = borders(picked, parts, sample_rows)
+    cuts, hot = borders(picked, parts, sample_rows)
     marked = texts.join(copies.select(*on, F.lit(True).alias("copy")).hint("shuffle_hash"), on, "left")
     again = recurring(gram_runs(marked.filter("copy IS NULL").select("key", texts["version"], "text"), parts).repartitionById(parts, F.col("part").cast("int")))
     numbers = again.repartition(parts, *on).groupBy(*on).agg(F.collect_list("number").alias("numbers"))
     found = texts.join(numbers.hint("shuffle_hash"), on)
-    spans_of = covered(suffix_runs(found, cuts).repartitionById(len(cuts) + 1, F.col("part").cast("int")))
+    spans_of = covered(suffix_runs(found, cuts, hot).repartitionById(len(cuts) + 1, F.col("part").cast("int")))
     spans_of = spans_of.unionByName(copies.withColumn("span", F.lit(-1).cast("long")))
     lists = spans_of.repartition(parts, *on).groupBy(*on).agg(F.collect_list("span").alias("spans"))
     done = texts.join(lists.hint("shuffle_hash"), on, "left")

@@ -2,6 +2,7 @@ import datetime
 import hashlib
 import io
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -48,7 +49,15 @@ def test_payload_and_features(spark):
         data += bytes(max(64, -(-len(data) // 64) * 64) - len(data))
         assert (got[i]["n_bytes"], got[i]["payload_bytes"]) == (len((t or "").encode()), len(data))
         assert got[i]["payload_sha256"] == hashlib.sha256(data).hexdigest()
+        stored = b"P5\n64 %d\n255\n" % (len(data) // 64) + data
+        assert (got[i]["media_bytes"], got[i]["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert got[i]["tail_crc32"] == zlib.crc32(data[-64:])
+        fine = np.kron(np.frombuffer(data, np.uint8).reshape(-1, 64).astype(float), np.ones((8, 9)))  # cells are whole blocks of it
+        cells = fine.reshape(8, len(fine) // 8, 9, 64).mean(axis=(1, 3))
+        assert got[i]["feature"] == np.packbits(cells[:, :-1] < cells[:, 1:] - 1e-9).tobytes().hex()
     assert got[3][1:] == got[6][1:] and got[0][1:] == got[1][1:]
+    one_pass = media.digest_texts(df).drop("tile").collect()
+    assert sorted(map(tuple, one_pass)) == sorted(map(tuple, got.values()))
     assert media.store_texts(df.filter("false")).collect() == []
 
 
@@ -76,6 +85,8 @@ def test_fixity_finds_each_damage(spark):
     before = [r for r in rows if r[0] is not None and r[0] >> 12 == lost[0] >> 12 and r[0] < lost[0]]
     size = lambda r: len(f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: {r[1] or ''}\r\nWARC-Record-ID: <urn:page:{r[0]}>\r\nContent-Length: {len(r[2] or '')}\r\n\r\n{r[2] or ''}\r\n\r\n")
     assert got[lost[0]]["record_offset"] == sum(map(size, before)) and got[lost[0]]["record_bytes"] == size(lost)
+    in_replica = [r for r in replica if r[0] is not None and r[0] >> 12 == changed[0] >> 12 and r[0] < changed[0]]
+    assert got[changed[0]]["replica_offset"] == sum(map(size, in_replica)) and got[lost[0]]["replica_offset"] is None and got[123_456]["record_offset"] is None
     shuffled = rows[:]
     rng.shuffle(shuffled)
     assert fixity.audit(pages(spark, rows), pages(spark, shuffled)).collect() == []
@@ -117,3 +128,12 @@ def test_url_plan_is_native(spark):
     lists = spark.createDataFrame([("host", "a.b", "block", datetime.date(2024, 1, 1))], "kind string, pattern string, verdict string, listed_on date")
     plan = urlfilter.evaluate(df, lists)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_roots_vouch_for_offsets_but_not_for_what_precedes(spark):
+    rows = [(i, "u", "x" * (i % 7)) for i in range(300)]
+    grown = lambda some: {r["node"]: (r["bytes"], r["hash"]) for r in fixity.grow(fixity.leaves(pages(spark, some), "a")).collect()}
+    whole, lost = grown(rows), grown([r for r in rows if r[0] != 100])
+    assert {n for n in whole if whole[n] != lost[n]} == {100 >> fixity.FAN_OUT_BITS}
+    longer = grown([(i, u, h + "!" * (i == 5)) for i, u, h in rows])
+    assert {n for n in whole if whole[n] != longer[n]} == {0} and longer[0][0] == whole[0][0] + 1

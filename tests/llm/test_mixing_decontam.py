@@ -98,8 +98,8 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     rows += [(200, None), (201, ""), (202, "tiny,"), (203, "say Two: words now"), (None, items[0][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit(1))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for blocks in (2000, 7):
-        got = {(r["doc_id"], r["item_id"]) for r in decontam.passages(df, bench, block_items=blocks).collect()}
+    for blocks in (1 << 21, 300):
+        got = {(r["doc_id"], r["item_id"]) for r in decontam.passages(df, bench, block_words=blocks).collect()}
         assert got == leaks | {(202, 30), (203, 34), (None, 0)}
     assert decontam.contaminated(df, bench.filter("false")).collect() == []
     assert decontam.contaminated(df.filter("false"), bench).collect() == []
@@ -130,3 +130,44 @@ def test_long_item_is_cut_in_parts(spark):
     bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     docs = spark.createDataFrame([(1, "before " + " ".join(words[900:1000]) + " after"), (2, "before after")], "doc_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()} == {(1, 1)}
+
+
+def test_short_items_need_short_documents(spark):
+    bench = spark.createDataFrame([(1, "the"), (2, "once upon a time"), (3, "one two three four five six seven eight")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "the"), (2, "the long story of the house"), (3, "so once upon a time it was"), (4, "once upon a time " + "word " * 30), (5, "once upon the time again"), (6, "x " * 40 + "one two three four five six")], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.passages(docs, bench).collect()} == {(1, 1), (3, 2), (6, 3)}
+
+
+def test_recall_against_alignments_of_all_pairs(spark):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    seq = lambda text: decontam.tokens(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())]))[0]
+    texts = [(r["doc_id"], seq(r["text"])) for r in docs.collect()]
+    texts = [(d, t) for d, t in texts if 0 < len(t) <= 600]
+    items = [(r["item_id"], seq(r["text"])) for r in bench.collect()]
+    pairs = [(d, i, a, t) for d, t in texts for i, a in items if len(np.intersect1d(a, t)) >= decontam.THRESHOLD * min(len(a), decontam.FULL_WORDS) / 2]
+    scores = decontam.align([p[2] for p in pairs], [p[3] for p in pairs])
+    want = {(d, i) for (d, i, a, _), s in zip(pairs, scores, strict=True) if s / (2 * min(len(a), decontam.FULL_WORDS)) >= decontam.THRESHOLD}
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.passages(docs.filter(F.col("doc_id").isin([d for d, _ in texts])), bench).collect()}
+    assert want and len(want & got) >= 0.9 * len(want) and got <= want
+
+
+def test_repeated_rows_are_taken_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 7)
+    rows = [(None, "a", "one two three")] * 50 + [(4, "a", "four words are here")] * 9 + [(i, "b", "w " * (i % 9)) for i in range(10, 90)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), chunk_rows=20).toPandas()
+    assert len(got) == len(rows) and (got["copies"] <= 2).all()
+    for _, part in got.groupby("source"):
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= 9
+
+
+def test_very_long_texts(spark):
+    from helixloom.llm import langid, media, quality
+
+    long = " ".join(f"w{i % 977}" for i in range(700_000))
+    bench = spark.createDataFrame([(1, " ".join(f"own{i}" for i in range(40)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, long, "a", "en"), (2, f"{long} " + " ".join(f"own{i}" for i in range(40)), "a", "en"), (3, None, "b", "de"), (4, "kurz und gut", "b", "de")], "doc_id long, text string, source string, lang string")
+    assert [r["doc_id"] for r in decontam.contaminated(docs, bench).collect()] == [2]
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(docs).collect()} == {1: 700_000, 2: 700_040, 3: 0, 4: 3}
+    assert {r["doc_id"]: r["payload_bytes"] for r in media.digest_texts(docs).collect()} == {d: max(64, -(-len(t or "") // 64) * 64) for d, t in docs.select("doc_id", "text").collect()}
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, langid.fit(docs)).collect()}[3] == "und"
+    assert all(len(r["stats"]) == len(quality.STATISTICS) and all(np.isfinite(r["stats"])) for r in quality.statistics(docs).collect())

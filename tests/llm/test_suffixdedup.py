@@ -66,3 +66,15 @@ def test_merge_gives_the_order_and_the_common_prefixes():
     merged = [every[i] for i in order]
     assert merged == sorted(every)
     assert list(common[1:]) == [next((i for i in range(s.MATCH) if a[i] != b[i]), s.MATCH) for a, b in zip(merged, merged[1:], strict=False)]
+
+
+def test_hot_grams_dealt_over_all_ranges(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abc ") for _ in range(rng.randrange(1, 9)))
+    pool = ["".join(word() for _ in range(40)) for _ in range(8)]
+    rows = [(i, "".join(rng.choice(pool)[rng.randrange(60) :][: rng.randrange(40, 200)] + word() for _ in range(rng.randrange(1, 5)))) for i in range(40)]
+    texts = [t.encode() for _, t in rows]
+    for share in (1, 3):
+        grams = np.array(sorted({t[i : i + s.GRAM] for t in texts for i in range(0, len(t) - s.GRAM)})[::share], f"S{s.GRAM}")
+        monkeypatch.setattr(s, "borders", lambda docs, parts, n, grams=grams: (grams[:: len(grams) // 6], grams))
+        assert run(spark, rows) == brute(rows)
