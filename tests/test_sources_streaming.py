@@ -70,3 +70,19 @@ def test_stream_of_mates_equals_the_batch(spark, tmp_path):
     got = {(n, *sorted((p, q))) for n, p, q in map(key, spark.table("mates").collect())}
     want = {(n, *sorted((p, q))) for n, p, q in map(key, dedup.pair_mates(df, ["ref", "bucket"]).collect())}
     assert got == want and len(got) == 51
+
+
+def test_three_records_of_a_name_pair_alike_in_stream_and_batch(spark, tmp_path):
+    ops = [{"op": "M", "len": 10}]
+    rows = [(f"n{i}", "c", 7, "c", 7, 5, ops, "I" * 10, True, False, True, True, True, k == 1, k != 1, k == 0, 1, 0, "10", 10 * i + k) for i in range(6) for k in range(i)]
+    df = spark.createDataFrame(rows, schema.ALIGNMENTS).withColumn("bucket", F.lit("."))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    query = mates.pair_stream(stream, None).writeStream.format("memory").queryName("triples").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    finished = query.awaitTermination(90)
+    query.stop()
+    assert finished
+    key = lambda r: (r["name"], r["a"]["arrival"], r["b"]["arrival"])
+    got = sorted(map(key, spark.table("triples").collect()))
+    assert got == sorted(map(key, dedup.pair_mates(df, ["ref", "bucket"]).collect()))
+    assert got == [("n2", 20, 21), ("n3", 30, 31), ("n4", 40, 41), ("n4", 42, 43), ("n5", 50, 51), ("n5", 52, 53)]
