@@ -329,9 +329,9 @@ def similar_groups(docs: DataFrame, measure: Measure | None = None) -> DataFrame
     whole, near = Window.partitionBy("shingle", "salt"), Window.partitionBy("shingle", "salt", "band")
     lead = F.min(F.struct("node", F.col("n").alias("m"), F.col("i").alias("j"))).over(near)
     head = F.min("node").over(whole)
-    met = places.withColumn("band", band).withColumn("lead", lead).withColumn("near", F.count(F.lit(1)).over(near)).withColumn("members", F.count(F.lit(1)).over(whole)).withColumn("head", head).withColumn("who", F.sum(F.xxhash64("node", "n").cast("decimal(20,0)")).over(whole)).filter("members > 1 OR salt >= 0")
+    met = places.withColumn("band", band).withColumn("lead", lead).withColumn("near", F.count(F.lit(1)).over(near)).withColumn("members", F.count(F.lit(1)).over(whole)).withColumn("head", head).withColumn("who", F.bit_xor(F.xxhash64("node")).over(whole)).withColumn("also", F.bit_xor(F.xxhash64("n", "node")).over(whole)).filter("members > 1 OR salt >= 0")
     opened = (F.col("near") != 2) | (F.col("members") != 2) | (F.col("salt") >= 0)
-    shared = met.select("shingle", "node", "n", "i", opened, F.col("lead.node").alias("a"), "lead.m", "lead.j", F.col("node") == F.col("head"), "members", F.when(F.col("salt") < 0, F.col("who").cast("string")), "salt").toDF("shingle", "node", "n", "i", "open", "a", "m", "j", "heads", "members", "who", "salt")
+    shared = met.select("shingle", "node", "n", "i", opened, F.col("lead.node").alias("a"), "lead.m", "lead.j", F.col("node") == F.col("head"), "members", "who", "also", "salt").toDF("shingle", "node", "n", "i", "open", "a", "m", "j", "heads", "members", "who", "also", "salt")
     shared = written(shared, "jaccard-shared")
     discard(lists)
     # A list that was dealt out has one leader for all its parts, which goes to each of them.
@@ -348,8 +348,8 @@ def similar_groups(docs: DataFrame, measure: Measure | None = None) -> DataFrame
 
     of = components(links)
     # One list of those with the same members: places follow one order everywhere, so the first for one member is first for all.
-    same = shared.filter("open AND heads AND who IS NOT NULL").groupBy("members", "who").agg(F.min(F.struct("i", "shingle")).alias("kept")).select("kept.shingle")
-    same = same.unionByName(shared.filter("open AND who IS NULL").select("shingle").distinct())
+    same = shared.filter("open AND heads AND salt < 0").groupBy("members", "who", "also").agg(F.min(F.struct("i", "shingle")).alias("kept")).select("kept.shingle")
+    same = same.unionByName(shared.filter("open AND salt >= 0").select("shingle").distinct())
     few = shared.filter("open").select("shingle", "node", "n", "i").join(same, "shingle", "left_semi")
     placed = written(few.join(of, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-placed")
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.mode("component", True).alias("main"), F.count(F.lit(1)).alias("rows")).filter("lo != hi").select("shingle", "main", "rows")
