@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixloom.llm._shared import join_small, written
@@ -47,6 +47,24 @@ def sizes(docs: DataFrame) -> DataFrame:
     return picked.mapInArrow(count, "doc_id long, source string, mark long, size long")
 
 
+def _running(rows: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """Rows with ``place`` in the order, from 0, and for each of ``sums`` what rows before them add up to, as ``before_``.
+
+    Rows are dealt by ranges of the order, and a range learns what precedes it from one row for each range.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()), "mix-ranges")
+    ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    per = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).cast("double").alias(f"__{c}") for c in sums])
+    per = per.select("__range", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in ("__n", *[f"__{c}" for c in sums])])
+    inside = Window.partitionBy("__range").orderBy(*order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, -1)
+    found = dealt.join(F.broadcast(per), "__range").withColumn("place", F.row_number().over(inside) - 1 + F.col("__n"))
+    for c in sums:
+        found = found.withColumn(f"before_{c}", F.coalesce(F.sum(c).over(so_far), F.lit(0)) + F.col(f"__{c}"))
+    return found.drop("__range", "__n", *[f"__{c}" for c in sums])
+
+
 def allocate(per_source: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
     """Targets by weight, none above cap times its source, the excess shared again by weight.
 
@@ -54,20 +72,16 @@ def allocate(per_source: DataFrame, weights: tuple[float, ...], share: float, ca
     with one level for all; sources in the order of cap * size / weight fill up in turn,
     so the level follows from running sums over the table of sources.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), F.encode(F.coalesce("source", F.lit("")), "UTF-8"))
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = per_source.withColumn("source_no", F.row_number().over(by_name) - 1).withColumn("weight", F.element_at(cycle, (F.col("source_no") % len(weights) + 1).cast("int")))
-    ranked = ranked.withColumn("full", F.lit(float(cap)) * F.col("source_size"))
-    fill = Window.orderBy(F.col("full") / F.col("weight"), "source_no")
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    onward = fill.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    total = F.sum("source_size").over(everything).cast("double") * float(share)
-    ranked = ranked.withColumn("level", (total - F.coalesce(F.sum("full").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
+    ranked = _running(per_source, [F.col("source").isNull(), F.encode(F.coalesce("source", F.lit("")), "UTF-8")], []).withColumnRenamed("place", "source_no")
+    ranked = ranked.withColumn("weight", F.element_at(cycle, (F.col("source_no") % len(weights) + 1).cast("int"))).withColumn("full", F.lit(float(cap)) * F.col("source_size"))
+    filled = _running(ranked, [F.col("full") / F.col("weight"), F.col("source_no")], ["full", "weight"])
+    words, weight = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(float(words or 0) * share) - F.col("before_full")) / (F.lit(weight or 0.0) - F.col("before_weight"))
     # The first source that does not fill up sets the level; counting later ones as full would lower it.
-    level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("full"), F.col("level"))).over(everything)
-    target = F.when(level.isNull(), F.col("full")).otherwise(F.least(F.col("full"), level * F.col("weight")))
-    return ranked.withColumn("target", target).drop("full", "level", "weight")
+    best = filled.agg(F.max(F.when(level * F.col("weight") <= F.col("full"), level))).first()[0]
+    target = F.col("full") if best is None else F.least(F.col("full"), F.lit(best) * F.col("weight"))
+    return ranked.withColumn("target", target).drop("full", "weight")
 
 
 def _uniform(seed: int, a: int, b: int, size: int) -> float:
