@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _pow: dict[str, np.ndarray] = {}
 
