@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixloom.llm._shared import join_counted, written
+from helixloom.llm._shared import discard, join_counted, written
 from helixloom.llm._text import chunks, lines, mix64, per_row, span_hashes, words
 
 MIN_LINES = 3
@@ -102,10 +102,14 @@ def repeated(docs: DataFrame) -> DataFrame:
     met = join_counted(prints, again, ["fingerprint"], "n")
     each = met.select("doc", "version", F.col("line").alias("at"), F.explode(F.arrays_zip("codes", "shifts", "sizes")).alias("w"))
     extended = written(each.select(F.col("w.codes").alias("code"), "doc", "version", (F.col("at") + F.col("w.shifts")).alias("line"), F.col("w.sizes").alias("size")), "line-windows")
+    discard(prints, again)
     firsts = written(several(extended, "code"), "line-firsts")
     later = join_counted(extended, firsts, ["code"], "n").filter(place != F.col("first"))
     spans = later.groupBy("doc", "version").agg(F.collect_set(F.struct("line", "size")).alias("spans"))
-    return spans.select("doc", "version", F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["line"], s["line"] + s["size"] - 1)))).alias("lines"))
+    lines = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["line"], s["line"] + s["size"] - 1))))
+    found = written(spans.select("doc", "version", lines.alias("lines")), "line-spans")
+    discard(extended, firsts)
+    return found
 
 
 RESULTS = ["n_lines", "n_removed"]
@@ -117,7 +121,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     found = repeated(kept).select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("lines").alias("__lines"))
     keyed = kept.withColumn("text", text).withColumn("__k", F.expr(_KEY)).withColumn("__v", F.xxhash64(text))
-    joined = keyed.join(found, (F.col("__k") == F.col("__doc")) & (F.col("__v") == F.col("__version")), "left").drop("__k", "__v", "__doc", "__version")
+    # By sort and merge whatever the size of the table, as the documents are large either way.
+    joined = keyed.join(found.hint("merge"), (F.col("__k") == F.col("__doc")) & (F.col("__v") == F.col("__version")), "left").drop("__k", "__v", "__doc", "__version")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "__lines"] + ["n_lines int", "n_removed int"])
     names = [c for c in joined.columns if c != "__lines"]
 
