@@ -23,7 +23,7 @@ def join_counted(left: DataFrame, counted: DataFrame, on: list[str], n: str, sha
     """Inner join with a table that has each key ``on`` once and in ``n`` how many rows of ``left`` have it.
 
     Keys with more than one row in ``share`` of all (and more than ``least``), at most
-    ``share`` of them, are broadcast, so no task gets all rows of a hot key.
+    ``share`` of them, are broadcast, so no task gets all rows of a hot key; the others meet by sort and merge.
     ``counted`` is read several times and should be a written table.
     """
     total = counted.agg(F.sum(n)).first()[0] or 0
@@ -31,7 +31,7 @@ def join_counted(left: DataFrame, counted: DataFrame, on: list[str], n: str, sha
     others = [c for c in counted.columns if c not in on]
     few = counted.filter(hot).select(*[F.col(c).alias(f"__{c}") for c in counted.columns])
     same = [left[c] == few[f"__{c}"] for c in on]
-    cold = left.join(F.broadcast(few.select([f"__{c}" for c in on])), same, "left_anti").join(counted.filter(~hot), on).select(*left.columns, *others)
+    cold = left.join(F.broadcast(few.select([f"__{c}" for c in on])), same, "left_anti").join(counted.filter(~hot).hint("merge"), on).select(*left.columns, *others)
     warm = left.join(F.broadcast(few), same).select(*left.columns, *[F.col(f"__{c}").alias(c) for c in others])
     return cold.unionByName(warm)
 
