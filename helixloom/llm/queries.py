@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm import decontam, fixity, jaccard, langid, linededup, media, mixing, quality, suffixdedup, urlfilter
-from helixloom.llm._shared import written
+from helixloom.llm import decontam, fixity, jaccard, langid, linededup, media, mixing, quality, suffixdedup, urlfilter, wavelet
+from helixloom.llm._shared import shared_dir, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +93,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file is; nothing is copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op13_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text from shard files of wavelet matrices, in the order of documents."""
+    path = f"{shared_dir(spark)}/helixloom/token-shards-{uuid.uuid4().hex}"
+    wavelet.write(table(spark, sf_dir, "documents"), path, wavelet.WordTokenizer(tokenizer_file("word_bpe_49k.json")))
+    return wavelet.read(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_quality": op2_quality,
@@ -103,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op13_token_shards": op13_token_shards,
 }
 
 
