@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm import decontam, fixity, jaccard, langid, linededup, media, mixing, quality, suffixdedup, urlfilter, wavelet
+from helixloom.llm import decontam, fixity, jaccard, langid, linededup, media, mixing, quality, repair, suffixdedup, urlfilter, wavelet
 from helixloom.llm._shared import shared_dir, written
 
 
@@ -93,6 +93,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest edits that mend damaged conversations."""
+    whole = table(spark, sf_dir, "conversations")
+    return repair.repair(whole, repair.damage(whole))
+
+
 def tokenizer_file(name: str) -> str:
     """Where a public tokenizer's file is; nothing is copied."""
     import public_tokenizers
@@ -118,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_token_shards": op13_token_shards,
 }
 
@@ -208,3 +215,30 @@ r AS (SELECT a AS doc_id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN
 m AS (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(root, d.doc_id)) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
 """
+
+#: Costs and audits of the four states as one string each, ten digits before the audit, so that the least string is the best.
+_step = lambda v, cost, edit: f"(printf('%010d', substr({v}, 1, 10)::int + {cost}) || substr({v}, 11) || '{edit}')"
+_crc = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({0}, ''), lambda ch: ascii(ch)::bigint)), lambda c, v: list_reduce(list_prepend(xor(c, v), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda q, z: CASE WHEN q & 1 = 1 THEN xor(q >> 1, 3988292384::bigint) ELSE q >> 1 END)), 4294967295::bigint)"
+_due_u = lambda cost, edit: ", ".join(_step(v, cost, edit) for v in ("none", "s", "a"))
+ORACLE_SQL["op12_conversation_repair"] = f"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc.format("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS ink FROM d),
+t AS (SELECT *, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before, CASE WHEN ink = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN ink NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+f AS (SELECT *, fault IN ('', 'truncated') AS stays, (fault = 'truncated')::int AS more FROM t),
+w AS (
+  SELECT conv_id, 0::bigint AS i, '0000000000' AS none, NULL::varchar AS s, NULL::varchar AS u, NULL::varchar AS a FROM f GROUP BY conv_id
+  UNION ALL SELECT n.conv_id, n.i, {_step("none", 3, "D")}, least({_step("s", 3, "D")}, CASE WHEN stays AND r = 's' THEN {_step("none", "more", "K")} END),
+    least({_step("u", 3, "D")}, CASE WHEN stays THEN least({_due_u("2 + more", "R")}) END, CASE WHEN stays AND r = 'u' THEN least({_due_u("more", "K")}) END),
+    least({_step("a", 3, "D")}, CASE WHEN stays THEN {_step("u", "2 + more", "R")} END, CASE WHEN stays AND r = 'a' THEN {_step("u", "more", "K")} END)
+  FROM (SELECT conv_id, i, none, s, u, least(a, {_step("u", 2, "I")}) AS a FROM (SELECT conv_id, i, none, s, a, least(u, {_due_u(2, "I")}) AS u FROM w)) x JOIN f n ON n.conv_id IS NOT DISTINCT FROM x.conv_id AND n.i = x.i + 1),
+e AS (SELECT conv_id, least(none, a, {_step("u", 2, "I")}) AS best FROM (SELECT conv_id, none, a, least(u, {_due_u(2, "I")}) AS u FROM w QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)),
+m AS (SELECT conv_id, substr(best, 1, 10)::bigint AS cost, substr(best, 11) AS audit FROM e),
+p AS (SELECT conv_id, p, substr(audit, p::int, 1) AS edit, length(replace(substr(audit, 1, p::int), 'I', '')) AS i FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM m)),
+left_over AS (SELECT p.conv_id, p.p, edit, f.role, f.r, CASE WHEN edit = 'I' THEN '' ELSE f.text END AS text, row_number() OVER (PARTITION BY p.conv_id ORDER BY p.p) - 1 AS j FROM p LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i AND edit <> 'I' WHERE edit <> 'D'),
+due AS (SELECT *, j - max(CASE WHEN j = 0 AND edit = 'K' AND r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS nth FROM left_over),
+h AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN nth % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS whole FROM due GROUP BY conv_id),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::bigint AS gaps, coalesce(blank, 0)::bigint AS blank, coalesce(duplicate, 0)::bigint AS duplicate, coalesce(truncated, 0)::bigint AS truncated, coalesce(illegal, 0)::bigint AS illegal, coalesce(cost, 0)::bigint AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
