@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm import decontam, fixity, jaccard, langid, linededup, media, mixing, quality, repair, suffixdedup, urlfilter, wavelet
+from helixloom.llm import crosstokens, decontam, fixity, jaccard, langid, linededup, media, mixing, quality, repair, suffixdedup, urlfilter, wavelet
 from helixloom.llm._shared import shared_dir, written
 
 
@@ -93,6 +93,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens, and how common the links are."""
+    return crosstokens.counted(table(spark, sf_dir, "documents"), crosstokens.Files(tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest edits that mend damaged conversations."""
     whole = table(spark, sf_dir, "conversations")
@@ -124,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op11_token_alignment": op11_token_alignment,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_token_shards": op13_token_shards,
 }
