@@ -245,7 +245,7 @@ def q13_block_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     spliced = F.array(_op("M", 10 + F.col("n") * 5), _op("N", 40), _op("M", 10))
     shape = F.when(F.col("n") % 2 == 1, F.array(_op("M", F.col("n") * 4))).otherwise(spliced)
     exons = F.array(*[F.struct(F.lit(100 * k + 1).alias("start"), F.lit(100 * k + 60).alias("end")) for k in range(10)])
-    placed = reads.withColumn("r", matching.place_read(F.col("s"), shape, exons, F.lit(0)))
+    placed = matching.held(reads, "r", matching.place_read(F.col("s"), shape, exons, F.lit(0)))
     return placed.filter("r.ok").select("s", "n", F.col("r.first").alias("first_exon"), F.col("r.last").alias("last_exon"), F.col("r.end").alias("read_end"))
 
 
@@ -510,9 +510,7 @@ def q30_fragment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.when(c("shape") == 0, F.array(_op("M", 2 * c("a")))).when(c("shape") == 1, F.array(half, _op("I", 3), half)).otherwise(F.array(half, _op("D", 2), half))
     exons = F.array(*[F.struct(F.lit(100 * k + 1).alias("start"), F.lit(100 * k + 60).alias("end")) for k in range(12)])
     s2 = (c("s1") + c("gap")).cast("int")
-    placed = rows.withColumn("r1", matching.place_read(c("s1"), shape, exons, F.lit(0))).withColumn("r2", matching.place_read(s2, shape, exons, c("r1.first")))
-    plus, minus = (matching.match_fragment(c("s1"), c("r1"), c("r2"), exons, F.lit(x)) for x in "+-")
-    found = placed.withColumn("m", plus).withColumn("w", minus).filter("m IS NOT NULL")
+    found = matching.fitted(rows, c("s1"), shape, s2, shape, exons, {"m": F.lit("+"), "w": F.lit("-")})
     return found.select("s1", "shape", "a", "gap", "m.first_exon", "m.last_exon", "m.frag_len", c("m.three_prime").alias("forward_end"), c("w.three_prime").alias("reverse_end"))
 
 
