@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from helixloom.llm._shared import written
 from helixloom.llm._text import chunks
-from helixloom.llm.encoders import Words, interleave, once
+from helixloom.llm.encoders import SLICE_BYTES, SLICE_ROWS, Words, interleave, once
 
 CHUNK_BYTES = 8 << 20
 #: Links of a group up to which they are written out one by one before they are counted; beyond it distinct ids are.
@@ -198,7 +198,7 @@ def align(docs: DataFrame, pair: Files, chunk_bytes: int = CHUNK_BYTES) -> DataF
         no = size = 0
         seen: list[np.ndarray] = []
         for batch in batches:
-            for piece, raw, _ in chunks(batch):
+            for piece, raw, _ in chunks(batch, most=SLICE_BYTES, rows=SLICE_ROWS):
                 if size and size + len(raw) > chunk_bytes:
                     yield _asked(part + no, seen)
                     no, size, seen = no + 1, 0, []

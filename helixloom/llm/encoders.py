@@ -7,14 +7,34 @@ before only once; words go to the tokenizer's library whole, in batches.
 
 from __future__ import annotations
 
-from array import array
+import itertools
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 
-#: Words that a worker keeps; then it begins anew.
-CACHE_WORDS = 1 << 20
+#: Words that a worker keeps; beyond that it forgets those that came up once.
+CACHE_WORDS = 3 << 18
+#: Bytes of text that are looked at together: the more, the fewer words come up again.
+SLICE_BYTES, SLICE_ROWS = 8 << 20, 1 << 16
+
+
+def strings(column: pa.Array) -> list[str]:
+    """The strings of a column without nulls; many times faster than one by one."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+class _Grown:
+    """An array that takes more."""
+
+    def __init__(self, kind: type) -> None:
+        self.held, self.n = np.zeros(1 << 12, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.zeros(max(self.n, len(values)), self.held.dtype)])
+        self.held[self.n : self.n + len(values)] = values
+        self.n += len(values)
 
 
 class Words:
@@ -22,34 +42,56 @@ class Words:
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = CACHE_WORDS) -> None:
         self.encode, self.most = encode, most
-        self._clear()
-
-    def _clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.bounds, self.flat = array("q", [0]), array("i")
-
-    def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the words in turn, and the bounds of each word's ids."""
+        self.flat, self.starts, self.lengths, self.times = _Grown(np.int32), _Grown(np.int64), _Grown(np.int64), _Grown(np.int32)
+
+    def _forget(self) -> None:
+        """Keeps the words that came up again, unless they are most of all."""
+        kept = [(w, at) for w, at in self.place.items() if self.times.held[at] > 1]
+        kept = kept if 2 * len(kept) < self.most else []
+        at = np.array([at for _, at in kept], np.int64)
+        flat, bounds = self.gathered(at)
+        times = self.times.held[at]
+        self.__init__(self.encode, self.most)
+        self.place = {w: i for i, (w, _) in enumerate(kept)}
+        for grown, values in ((self.flat, flat), (self.starts, bounds[:-1]), (self.lengths, np.diff(bounds)), (self.times, times)):
+            grown.extend(values)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """For each word where its ids are kept, until the next call."""
         held = words.dictionary_encode()
-        unique = held.dictionary.to_pylist()
+        unique = strings(held.dictionary)
         if len(self.place) + len(unique) > self.most:
-            self._clear()
-        new = [w for w in unique if w not in self.place]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, found in zip(some, self.encode(some), strict=True):
-                self.place[w] = len(self.place)
-                self.flat.extend(found)
-                self.bounds.append(len(self.flat))
-        of = np.array([self.place[w] for w in unique], np.int64)[held.indices.to_numpy(zero_copy_only=False)] if unique else np.zeros(0, np.int64)
-        bounds = np.array(self.bounds, np.int64)
-        return gather(np.array(self.flat, np.int32), bounds[of], bounds[of + 1] - bounds[of])
+            self._forget()
+        new = [w for w, at in zip(unique, map(self.place.get, unique), strict=True) if at is None]
+        for i in range(0, len(new), 4096):
+            some = new[i : i + 4096]
+            found = self.encode(some)
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            self.starts.extend(self.flat.n + np.cumsum(lengths) - lengths)
+            self.lengths.extend(lengths)
+            self.times.extend(np.zeros(len(some), np.int32))
+            self.flat.extend(np.fromiter(itertools.chain.from_iterable(found), np.int32, int(lengths.sum())))
+            self.place.update(zip(some, itertools.count(len(self.place))))
+        of = np.fromiter(map(self.place.__getitem__, unique), np.int64, len(unique))
+        self.times.held[of] += 1
+        return of[held.indices.to_numpy(zero_copy_only=False)] if len(words) else of
+
+    def gathered(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words at these places in turn, and the bounds of each word's ids."""
+        return gather(self.flat.held, self.starts.held[places], self.lengths.held[places])
+
+    def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self.gathered(self.places(words))
 
 
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The slices of values one after another, and their bounds in the result."""
     bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    return values[np.repeat(starts - bounds[:-1], lengths) + np.arange(bounds[-1])], bounds
+    kind = np.int32 if max(len(values), bounds[-1]) < 1 << 31 else np.int64
+    at = np.repeat((starts - bounds[:-1]).astype(kind), lengths)
+    at += np.arange(bounds[-1], dtype=kind)
+    return values.take(at), bounds
 
 
 def interleave(plain: np.ndarray, by_word: tuple[np.ndarray, np.ndarray], whole: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:

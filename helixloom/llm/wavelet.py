@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixloom.llm._text import chunks
-from helixloom.llm.encoders import Words, interleave, once
+from helixloom.llm.encoders import SLICE_BYTES, SLICE_ROWS, Words, interleave, once, strings
 from helixloom.sources import blobs
 
 SHARD_TOKENS = 1 << 20
@@ -54,22 +54,25 @@ class Encoder:
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
         self.width = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
-        self.parts = Words(self._ids)
-        self.words = Words(self._by_parts)
+        self.words = Words(self._ids)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _by_parts(self, words: list[str]) -> list[list[int]]:
-        cut = []
-        for w in words:
-            low = w.lower() if w.isascii() else w
-            core = low.rstrip(_TRAILING)
-            cut.append([core, low[len(core) :]] if len(core) < len(low) and core and core[-1].isalnum() else [low])
-        flat, bounds = self.parts.ids(pa.array([p for c in cut for p in c], pa.string()))
-        ends = bounds[np.cumsum([len(c) for c in cut])]
-        ids = flat.tolist()
-        return [ids[a:b] for a, b in itertools.pairwise([0, *ends.tolist()])]
+    def _by_word(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in turn and each word's bounds, from its letters and its punctuation."""
+        held = words.dictionary_encode()
+        low = pc.if_else(pc.string_is_ascii(held.dictionary), pc.ascii_lower(held.dictionary), held.dictionary)
+        core = pc.utf8_rtrim(low, _TRAILING)
+        cut = pc.and_(pc.not_equal(pc.binary_length(core), pc.binary_length(low)), pc.utf8_is_alnum(pc.utf8_slice_codeunits(core, -1)))
+        core = pc.if_else(cut, core, low)
+        tails = pa.array([w[len(c) :] for w, c in zip(strings(low.filter(cut)), strings(core.filter(cut)), strict=True)], pa.string())
+        both = self.words.places(pa.concat_arrays([core, tails, pa.array([""])]))
+        behind = np.full(len(core), both[-1])
+        behind[np.flatnonzero(cut.to_numpy(zero_copy_only=False))] = both[len(core) : -1]
+        parts = np.stack([both[: len(core)], behind], axis=1)[held.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros((0, 2), np.int64)
+        flat, bounds = self.words.gathered(parts.ravel())
+        return flat, bounds[::2]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and the bounds of each text's."""
@@ -78,7 +81,7 @@ class Encoder:
         split = pc.ascii_split_whitespace(texts.filter(pa.array(~special)))
         words = split.flatten()
         filled = pc.not_equal(words, "")
-        flat, bounds = self.words.ids(words.filter(filled))
+        flat, bounds = self._by_word(words.filter(filled))
         kept = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))]).astype(np.int64)
         rows = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
         flat, bounds = interleave(~special, (flat, bounds[kept[rows]]), self._ids(texts.filter(pa.array(special)).to_pylist()))
@@ -236,7 +239,7 @@ def write(docs: DataFrame, path: str, encoder: Callable[[], object], shard_token
             return pa.RecordBatch.from_arrays([pa.array([f"{part:07d}-{no:07d}-{n}.wm"]), pa.array([content], pa.binary())], ["name", "content"])
 
         for batch in batches:
-            for piece, _, _ in chunks(batch):
+            for piece, _, _ in chunks(batch, most=SLICE_BYTES, rows=SLICE_ROWS):
                 flat, bounds = made.encode(piece.column("text"))
                 for d, a, b in zip(piece.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     if n and n + b - a > shard_tokens:
