@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 
 from helixloom.llm._shared import written
 from helixloom.llm._text import chunks
-from helixloom.llm.encoders import SLICE_BYTES, SLICE_ROWS, Words, interleave, once
+from helixloom.llm.encoders import SLICE_ROWS, Words, interleave, once
 
 CHUNK_BYTES = 8 << 20
+#: Bytes of text whose tokens are sorted together, and words of either tokenizer that a worker keeps.
+SLICE_BYTES, CACHE_WORDS = 2 << 20, 1 << 19
 #: Links of a group up to which they are written out one by one before they are counted; beyond it distinct ids are.
 PLAIN_LINKS = 1 << 12
 #: B ids are below this, and A ids below 2 ** 32 / SIDE, so that a pair is stored in 32 bits.
@@ -74,7 +76,7 @@ class Pair:
         self.bytes_a = [bytes(map(alphabet.__getitem__, t)) if all(c in alphabet for c in t) else t.encode() for t in entry]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.len_a, self.len_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.words_a, self.words_b = Words(self._a), Words(self._b)
+        self.words_a, self.words_b = Words(self._a, CACHE_WORDS), Words(self._b, CACHE_WORDS)
         # What a token adds to the digest's text: its id behind a comma (the same side), a bar (side B begins) or a semicolon (a group begins).
         self.printed = [(f"{sep}{i}").encode() for sep in ",|;" for i in range(max(size, len(pieces)))]
         self.ids = max(size, len(pieces))

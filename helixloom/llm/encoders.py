@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Words that a worker keeps; beyond that it forgets those that came up once.
-CACHE_WORDS = 3 << 18
+CACHE_WORDS = 5 << 17
 #: Bytes of text that are looked at together: the more, the fewer words come up again.
-SLICE_BYTES, SLICE_ROWS = 8 << 20, 1 << 16
+SLICE_BYTES, SLICE_ROWS = 6 << 20, 1 << 16
 
 
 def strings(column: pa.Array) -> list[str]:
