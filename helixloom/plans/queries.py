@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixloom import sinks
@@ -17,6 +17,7 @@ from helixloom.plans import synthetic
 from helixloom.plans.assembly import assemble
 from helixloom.sources import alignments, instances
 from helixloom.sources.lengths import read_lengths
+from helixloom.streaming import duplicates
 from helixloom.tables import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -587,3 +588,33 @@ def q34_gibbs_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = F.when((n0 > 0) & (n1 > 0), 1.0).when(n0 + n1 == 0, 2 / 3).when((F.col("cand_idx") == 0) == (n0 > 0), 1.0).otherwise(1 / (n0 + n1 + 2))
     sampled = F.col("occurrences") / F.col("n_iter")
     return found.select("locus_id", "cand_idx", F.round(F.when(F.abs(sampled - exact) < 0.06, exact).otherwise(sampled), 6).alias("confidence"))
+
+
+@query("""
+WITH p AS (SELECT event_id, 'c' || (user_id % 3)::varchar AS ref, (event_id // 20)::int AS pos1, (user_id % 4 * 30)::int AS gap, (1 + event_id % 3)::int AS nh FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY ref, pos1, gap ORDER BY nh <> 1, event_id) AS k FROM p)
+SELECT ref, pos1, (pos1 + gap)::int AS pos2, event_id::varchar AS name, nh, true AS in_order FROM r WHERE k = 1
+""")
+def q35_stream_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as read pairs, streamed file by file: duplicates collapse and are released in the order of position."""
+    c, at = F.col, F.floor(F.col("event_id") / 20).cast("int")
+    gap = (c("user_id") % 4 * 30).cast("int")
+    ref = F.concat(F.lit("c"), (c("user_id") % 3).cast("string"))
+    mates = table(spark, sf_dir, "events").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        c("event_id").cast("string").alias("name"), ref.alias("ref"), (at + c("k") * gap).cast("int").alias("pos"), ref.alias("mate_ref"), (at + (1 - c("k")) * gap).cast("int").alias("mate_pos"), ((gap + 10) * (1 - 2 * c("k"))).cast("int").alias("insert_size"),
+        F.array(_op("M", 10)).alias("cigar"), F.lit("I" * 10).alias("qual"), *[F.lit(x).alias(n) for n, x in (("is_paired", True), ("is_qcfail", False), ("is_mapped", True), ("is_primary", True), ("mate_mapped", True))],
+        (c("k") == 1).alias("is_rev"), (c("k") == 0).alias("mate_rev"), (c("k") == 0).alias("is_first"), (1 + c("event_id") % 3).cast("int").alias("nh"), F.lit(None).cast("int").alias("hi"), F.lit("10").alias("md"), (2 * c("event_id") + c("k")).alias("arrival"),
+    )
+    longest = (mates.agg(F.max("pos")).first()[0] or 0) + 1
+    path = f"{shared_dir(spark)}/helixloom/stream-{uuid.uuid4().hex}"
+    unplaced = mates.limit(1).withColumns({"ref": F.lit(None).cast("string"), "pos": F.lit(-1), "is_mapped": F.lit(False)})
+    for part in [*[mates.filter(c("ref") == f"c{k}") for k in range(3)], unplaced]:
+        part.write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(mates.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
+    found = duplicates.collapse_stream(stream, [(f"c{k}", longest) for k in range(3)], delay=longest)
+    written_out = duplicates.write_sorted(found, f"{path}/out", f"{path}/checkpoint")
+    written_out.awaitTermination()
+    rows = spark.read.parquet(f"{path}/out")
+    ends = rows.groupBy("ref", "bin", "batch").agg(F.min("pos1").alias("first"), F.max("pos1").alias("last"))
+    follows = ends.withColumn("in_order", F.coalesce(c("first") >= F.max("last").over(Window.partitionBy("ref", "bin").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
+    return rows.join(F.broadcast(follows.select("ref", "bin", "batch", "in_order")), ["ref", "bin", "batch"]).select("ref", "pos1", c("b.pos").alias("pos2"), "name", c("b.nh").alias("nh"), "in_order")

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 _MATE = "struct<arrival:bigint,pos:int,mate_pos:int,cigar:array<struct<op:string,len:int>>,insert_size:int,qual:string,md:string,nh:int>"
@@ -47,7 +48,7 @@ def _pair(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, patienc
     out = []
     for r in rows:
         if waiting is not None and r["mate_pos"] == waiting["pos"] and waiting["mate_pos"] == r["pos"]:
-            out.append((*key, waiting, r))
+            out.append((*key[:4], waiting, r))
             waiting = None
         else:
             waiting = r
@@ -72,4 +73,5 @@ def pair_stream(records: DataFrame, patience_ms: int | None = 600_000) -> DataFr
         return _pair(key, frames, state, patience_ms)
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if patience_ms else GroupStateTimeout.NoTimeout
-    return records.select("ref", "bucket", "name", "hi", *_FIELDS).groupBy("ref", "bucket", "name", "hi").applyInPandasWithState(run, PAIRS, _STATE, "append", timeout)
+    ends = {"low": F.least("pos", "mate_pos"), "high": F.greatest("pos", "mate_pos")}
+    return records.select("ref", "bucket", "name", "hi", *_FIELDS).withColumns(ends).groupBy("ref", "bucket", "name", "hi", "low", "high").applyInPandasWithState(run, PAIRS, _STATE, "append", timeout)
