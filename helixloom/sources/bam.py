@@ -1,31 +1,47 @@
-"""BAM files as a Spark data source: ``spark.read.format("bam").load(path)`` after ``register(spark)``.
+"""BAM files as a Spark data source, for batches and streams: ``spark.read.format("bam").load(path)`` after ``register(spark)``.
 
 BAM is a series of gzip members (BGZF blocks) of at most 64 KB, each of which says its
 size, so a file is dealt over tasks by block offsets. A record may start in one block
 and end in the next, and nothing marks where records start; the driver therefore reads the header
 only, and a task whose range starts inside the file finds the first offset from which
-a chain of plausible records runs, which is what other splittable readers do too. It then reads
+CHAIN whole records follow one another, or all up to the end of the file. It then reads
 the records that start in its range, following the last one into the next range.
+
+The path is a file, a folder of files, or what write() left. A file with an index beside it (index() makes one)
+is read only where the filters on ref and pos may hold. A stream goes forward by ``maxBytesPerTrigger``
+of compressed blocks; how far it has ever gone is kept in the folder ``progress``,
+so that a restart never goes back.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from helixloom import schema
+from helixloom.sources import blobs
 
 SPLIT_BYTES = 64 << 20
 _OPS = "MIDNSHP=X"
 _SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 _INTS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I"}
 _BLOCK = 1 << 16
+#: Whole records in a row that a guess of where records start must be followed by.
+CHAIN = 4
+#: Bytes beyond which a guess is no record.
+MOST_RECORD = 1 << 26
 
 
 def block_size(head: bytes) -> int:
@@ -42,10 +58,19 @@ def block_size(head: bytes) -> int:
 
 
 def _open(path: str):
-    fs, name = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    fs, name = blobs.filesystem(path)
     return fs.open_input_file(name)
 
 
+def files_of(path: str) -> list[str]:
+    """The BAM files of a path, in order: itself, those that write() committed there, or those of a folder."""
+    fs, name = blobs.filesystem(path)
+    if fs.get_file_info(name).type != pafs.FileType.Directory:
+        return [path]
+    folders = [f"/{f}" for f in blobs.committed(path)] or [""]
+    return [f"{path.rstrip('/')}{f}/{x}" for f in folders for x in sorted(i.base_name for i in fs.get_file_info(pafs.FileSelector(name + f))) if x.endswith(".bam")]
+
+
 def blocks(file, start: int, size: int) -> Iterator[tuple[int, bytes]]:
     """(offset, content) of the blocks from ``start`` on."""
     while start < size:
@@ -69,8 +94,8 @@ def first_block(file, start: int, size: int) -> int:
     return size
 
 
-def header(path: str) -> tuple[list[str], int, int]:
-    """Reference names, and where the first record is: block offset and place in the block."""
+def header(path: str) -> tuple[list[tuple[str, int]], int, int]:
+    """Names and lengths of references, and where the first record is: block offset and place in the block."""
     with _open(path) as file:
         data, starts = b"", []
         for offset, content in blocks(file, 0, file.size()):
@@ -82,29 +107,66 @@ def header(path: str) -> tuple[list[str], int, int]:
             if len(data) < at + 4:
                 continue
             n, = struct.unpack_from("<i", data, at)
-            at, names = at + 4, []
-            while len(names) < n and len(data) >= at + 4:
+            at, found = at + 4, []
+            while len(found) < n and len(data) >= at + 4:
                 size, = struct.unpack_from("<i", data, at)
                 if len(data) < at + 8 + size:
                     break
-                names.append(data[at + 4 : at + 3 + size].decode())
+                found.append((data[at + 4 : at + 3 + size].decode(), struct.unpack_from("<i", data, at + 4 + size)[0]))
                 at += 8 + size
-            if len(names) == n:
+            if len(found) == n:
                 before, block = [s for s in starts if s[0] <= at][-1]
-                return names, block, at - before
+                return found, block, at - before
     raise ValueError(f"{path} has no complete BAM header")
 
 
+def tags_end(data: bytes, at: int, end: int) -> bool:
+    """Whether well-formed tags fill the bytes up to ``end``."""
+    while at + 3 <= end:
+        kind, at = chr(data[at + 2]), at + 3
+        if kind in "ZH":
+            at = data.find(b"\0", at, end) + 1
+            if not at:
+                return False
+        elif kind == "B":
+            if at + 5 > end or chr(data[at]) not in _SIZES:
+                return False
+            at += 5 + _SIZES[chr(data[at])] * struct.unpack_from("<I", data, at + 1)[0]
+        elif kind in _SIZES:
+            at += _SIZES[kind]
+        else:
+            return False
+    return at == end
+
+
 def plausible(data: bytes, at: int, n_refs: int) -> int:
-    """The end of what looks like a record at ``at``, or 0."""
+    """The end of what looks like a record at ``at``; 0 if there is none, -1 if more data are needed to tell."""
     if at + 36 > len(data):
-        return 0
+        return -1
     size, ref, pos, l_name, _, _, n_cigar, _, l_seq, mate, mate_pos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
     need = 32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq
-    ok = l_name > 0 and l_seq >= 0 and need <= size <= need + (1 << 20) and -1 <= ref < n_refs and -1 <= mate < n_refs and pos >= -1 and mate_pos >= -1
-    if not ok or at + 36 + l_name <= len(data) and data[at + 35 + l_name] != 0:
+    if not (l_name > 0 and l_seq >= 0 and need <= size and -1 <= ref < n_refs and -1 <= mate < n_refs and pos >= -1 and mate_pos >= -1):
         return 0
-    return at + 4 + size
+    if at + 36 + l_name <= len(data):
+        name = data[at + 36 : at + 35 + l_name]
+        if data[at + 35 + l_name] != 0 or any(c < 33 or c > 126 for c in name):
+            return 0
+    if at + 4 + size > len(data):
+        return -1 if size <= MOST_RECORD else 0
+    return at + 4 + size if tags_end(data, at + 4 + need, at + 4 + size) else 0
+
+
+def first_record(data: bytes, at: int, n_refs: int, ended: bool) -> tuple[int, bool]:
+    """(place, True) of the first chain of records at or after ``at``; (place, False) if from there on more data are needed."""
+    for guess in range(at, len(data)):
+        end, chain = guess, 0
+        while chain < CHAIN and end < len(data) and (found := plausible(data, end, n_refs)) > 0:
+            end, chain = found, chain + 1
+        if chain == CHAIN or ended and chain and end == len(data):
+            return guess, True
+        if not ended and (end >= len(data) or plausible(data, end, n_refs) < 0):
+            return guess, False
+    return len(data), ended
 
 
 def parse(data: bytes, at: int, names: list[str], arrival: int) -> tuple:
@@ -137,12 +199,12 @@ def parse(data: bytes, at: int, names: list[str], arrival: int) -> tuple:
 
 @dataclass
 class Range(InputPartition):
-    """Records that start in blocks between two file offsets; ``skip`` bytes of the first block don't count, -1 if unknown."""
+    """Records that start between a block and the place ``until`` (block offset << 16 | place in the block); ``skip`` bytes of the first block don't count, -1 if unknown."""
 
     path: str
     names: list[str]
     start: int
-    stop: int
+    until: int
     skip: int
 
 
@@ -151,47 +213,177 @@ def records(part: Range) -> Iterator[tuple]:
         size = file.size()
         start = part.start if part.skip >= 0 else first_block(file, part.start, size)
         data, at, spans, synced, shown = b"", max(part.skip, 0), [], part.skip >= 0, 0
-        for offset, content in blocks(file, start, size):
-            if offset >= part.stop and (not data[at:] or not synced):
+        for offset, content in itertools.chain(blocks(file, start, size), [(size, b"")]):
+            if offset << 16 >= part.until and (not data[at:] or not synced and not spans):
                 return
-            spans.append((shown + len(data), offset))
+            if offset < size:
+                spans.append((shown + len(data), offset))
             data += content
             if not synced:
-                for guess in range(at, len(data)):
-                    end, chain = guess, 0
-                    while chain < 4 and (end := plausible(data, end, len(part.names))):
-                        chain += 1
-                        if end >= len(data):
-                            break
-                    if end and chain and (chain == 4 or end >= len(data)):
-                        at, synced = guess, True
-                        break
-                else:
+                at, synced = first_record(data, at, len(part.names), offset >= size)
+                if not synced:
                     continue
             while at + 4 <= len(data) and at + 4 + struct.unpack_from("<i", data, at)[0] <= len(data):
                 place = shown + at
                 while len(spans) > 1 and spans[1][0] <= place:
                     spans.pop(0)
-                if spans[0][1] >= part.stop:
+                arrival = (spans[0][1] << 16) | (place - spans[0][0])
+                if arrival >= part.until:
                     return
-                yield parse(data, at, part.names, (spans[0][1] << 16) | (place - spans[0][0]))
+                yield parse(data, at, part.names, arrival)
                 at += 4 + struct.unpack_from("<i", data, at)[0]
             shown, data, at = shown + at, data[at:], 0
 
 
+def split(path: str, names: list[str], first: int, skip: int, end: int, size: int) -> list[Range]:
+    """Ranges of about ``size`` bytes between two block offsets; the first one's records start at ``skip``, or anywhere (-1)."""
+    cuts = [first, *range(first + size, end, size), end]
+    return [Range(path, names, a, b << 16, -1 if i else skip) for i, (a, b) in enumerate(itertools.pairwise(cuts)) if a < b]
+
+
+#: Levels of the bins of an index: how far a position is shifted, and the first bin of that size.
+LEVELS = ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1), (29, 0))
+#: Chunks of a bin end where a stretch of so many bits of compressed bytes does, so an index has no more of them than it has such stretches and bins.
+GRAIN_BITS = 20
+
+
+def bins_of(low: int, high: int) -> set[int]:
+    """The bins that may hold records over positions low to high, both 0-based and included."""
+    return {b for shift, first in LEVELS for b in range(first + (low >> shift), first + (min(high, (1 << 29) - 1) >> shift) + 1)}
+
+
+def read_index(content: bytes) -> list[tuple[dict[int, list[tuple[int, int]]], list[int]]]:
+    """For each reference the chunks of its bins and the first place of each window of 16 KB."""
+    if content[:4] != b"BAI\1":
+        raise ValueError("not a BAM index")
+    n, = struct.unpack_from("<i", content, 4)
+    at, out = 8, []
+    for _ in range(n):
+        held, (n_bins,), at = {}, struct.unpack_from("<i", content, at), at + 4
+        for _ in range(n_bins):
+            name, n_chunks = struct.unpack_from("<Ii", content, at)
+            flat = struct.unpack_from(f"<{2 * n_chunks}Q", content, at + 8)
+            held[name] = list(zip(flat[::2], flat[1::2], strict=True))
+            at += 8 + 16 * n_chunks
+        n_windows, = struct.unpack_from("<i", content, at)
+        out.append((held, list(struct.unpack_from(f"<{n_windows}Q", content, at + 4))))
+        at += 4 + 8 * n_windows
+    return out
+
+
+def chunks_of(found: tuple[dict[int, list[tuple[int, int]]], list[int]], low: int, high: int) -> list[tuple[int, int]]:
+    """Places in the file between which the records over positions low to high lie; those that touch are one."""
+    held, windows = found
+    window = min(low >> 14, len(windows) - 1)
+    least = windows[window] if window >= 0 else 0
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((max(a, least), b) for name in bins_of(low, high) for a, b in held.get(name, []) if b > least):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 class BamReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.split = options["path"], int(options.get("splitBytes", SPLIT_BYTES))
+        self.refs: set[str] | None = None
+        self.low, self.high = 0, (1 << 31) - 1
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Notes which references and positions are asked for; Spark still tests every row."""
+        for f in filters:
+            if f.attribute == ("ref",) and isinstance(f, EqualTo | In):
+                wanted = set(f.value) if isinstance(f, In) else {f.value}
+                self.refs = wanted if self.refs is None else self.refs & wanted
+            elif f.attribute == ("pos",) and isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
+                self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+            if f.attribute == ("pos",) and isinstance(f, EqualTo | LessThan | LessThanOrEqual):
+                self.high = min(self.high, f.value - isinstance(f, LessThan))
+            yield f
 
     def partitions(self) -> list[Range]:
-        names, first, skip = header(self.path)
-        with _open(self.path) as file:
-            size = file.size()
-        cuts = [first, *range(first + self.split, size, self.split), size]
-        return [Range(self.path, names, a, b, -1 if i else skip) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        out = []
+        for path in files_of(self.path):
+            found, first, skip = header(path)
+            names = [name for name, _ in found]
+            fs, name = blobs.filesystem(path)
+            if self.refs is not None and fs.get_file_info(f"{name}.bai").type == pafs.FileType.File:
+                with fs.open_input_stream(f"{name}.bai") as held:
+                    index = read_index(held.read())
+                for ref in sorted(names.index(r) for r in self.refs if r in names):
+                    for a, b in chunks_of(index[ref], self.low, self.high) if self.low <= self.high else []:
+                        parts = split(path, names, a >> 16, a & 0xFFFF, max((b >> 16) + 1, (a >> 16) + 1), self.split)
+                        parts[-1].until = b
+                        out += parts
+                continue
+            with _open(path) as file:
+                out += split(path, names, first, skip, file.size(), self.split)
+        return out
+
+    def read(self, partition: Range | None) -> Iterator[tuple]:
+        return iter(()) if partition is None else records(partition)
+
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        return records(partition)
+class BamStreamReader(DataSourceStreamReader):
+    """Offsets are {file: block offset up to which it is read}; each goes forward by at most ``maxBytesPerTrigger`` over all files, whole blocks."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.path, self.split, self.most = options["path"], int(options.get("splitBytes", SPLIT_BYTES)), int(options.get("maxBytesPerTrigger", 0))
+        self.progress, self.at = options.get("progress"), None
+        if self.most and not self.progress:
+            raise ValueError("maxBytesPerTrigger needs a folder progress")
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def _held(self) -> dict:
+        """The furthest offset that any run of this stream was given."""
+        if self.at is None:
+            self.at = {}
+            if self.progress:
+                fs, name = blobs.filesystem(f"{self.progress}/offset.json")
+                if fs.get_file_info(name).type == pafs.FileType.File:
+                    with fs.open_input_stream(name) as held:
+                        self.at = json.loads(held.read())
+        return self.at
+
+    def latestOffset(self) -> dict:
+        out, left = dict(self._held()), self.most
+        for path in files_of(self.path):
+            with _open(path) as file:
+                size, at = file.size(), int(out.get(path, 0))
+                end = size
+                if self.most and size - at > left:
+                    end = first_block(file, at + left, size) if left else at
+                left = max(0, left - (end - at))
+                if end > at:
+                    out[path] = end
+            if self.most and not left:
+                break
+        if self.progress and out != self.at:
+            # Written before it is given out, so no later run starts from less than Spark may have noted.
+            fs, folder = blobs.filesystem(self.progress)
+            fs.create_dir(folder, recursive=True)
+            new = f"{folder}/offset.{uuid.uuid4().hex}"
+            with fs.open_output_stream(new) as held:
+                held.write(json.dumps(out).encode())
+            fs.move(new, f"{folder}/offset.json")
+        self.at = out
+        return out
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        out = []
+        for path, stop in end.items():
+            found, first, skip = header(path)
+            at = int(start.get(path, 0))
+            if int(stop) > max(at, first):
+                out += split(path, [name for name, _ in found], max(at, first), -1 if at > first else skip, int(stop), self.split)
+        return out
+
+    def read(self, partition: Range | None) -> Iterator[tuple]:
+        return iter(()) if partition is None else records(partition)
 
 
 class BamSource(DataSource):
@@ -207,6 +399,112 @@ class BamSource(DataSource):
     def reader(self, schema) -> BamReader:
         return BamReader(self.options)
 
+    def streamReader(self, schema) -> BamStreamReader:
+        return BamStreamReader(self.options)
+
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BamSource)
+
+
+def span(cigar: Column) -> Column:
+    """Bases of the reference that a CIGAR covers, one at least."""
+    return F.greatest(F.lit(1), F.coalesce(F.aggregate(F.filter(cigar, lambda c: c["op"].isin("M", "D", "N", "=", "X")), F.lit(0), lambda s, c: s + c["len"]), F.lit(1)))
+
+
+def index(spark: SparkSession, path: str) -> None:
+    """Writes the index of every file of a path beside it, from one pass over its records.
+
+    What meets on the driver is a row for each bin and stretch of the file, and one for each window of 16 KB.
+    """
+    register(spark)
+    for file in files_of(path):
+        names = [name for name, _ in header(file)[0]]
+        rows = spark.read.format("bam").load(file).filter("ref IS NOT NULL AND pos >= 0").select("ref", F.col("pos").cast("long").alias("low"), (F.col("pos") + span(F.col("cigar")) - 1).cast("long").alias("high"), "arrival")
+        name = F.lit(0).cast("long")
+        for shift, first in reversed(LEVELS[:-1]):
+            name = F.when(F.shiftright("low", shift) == F.shiftright("high", shift), F.lit(first) + F.shiftright("low", shift)).otherwise(name)
+        windows = F.explode(F.sequence(F.shiftright("low", 14), F.shiftright("high", 14)))
+        stretch = rows.groupBy("ref", name.alias("bin"), F.shiftright("arrival", 16 + GRAIN_BITS).alias("part")).agg(F.min("arrival").alias("a"), (F.max("arrival") + 1).alias("b"))
+        first = rows.select("ref", windows.alias("window"), "arrival").groupBy("ref", "window").agg(F.min("arrival").alias("a"))
+        both = stretch.select("ref", "bin", "a", "b").unionByName(first.select("ref", (-F.col("window") - 1).alias("bin"), "a", F.lit(0).cast("long").alias("b")))
+        held: dict[str, dict[int, list[tuple[int, int]]]] = {}
+        for r in both.toLocalIterator():
+            held.setdefault(r["ref"], {}).setdefault(r["bin"], []).append((r["a"], r["b"]))
+        out = [b"BAI\1", struct.pack("<i", len(names))]
+        for ref in names:
+            some = held.get(ref, {})
+            out.append(struct.pack("<i", sum(b >= 0 for b in some)))
+            for b in sorted(b for b in some if b >= 0):
+                out += [struct.pack("<Ii", b, len(some[b])), *(struct.pack("<QQ", *c) for c in sorted(some[b]))]
+            starts = [some[-w - 1][0][0] if -w - 1 in some else 0 for w in range(max((-b for b in some if b < 0), default=0))]
+            # A window without records takes the place of the one before it.
+            starts = list(itertools.accumulate(starts, lambda before, now: now or before))
+            out += [struct.pack("<i", len(starts)), struct.pack(f"<{len(starts)}Q", *starts)]
+        fs, name = blobs.filesystem(f"{file}.bai")
+        with fs.open_output_stream(name) as target:
+            target.write(b"".join(out))
+
+
+END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+_FILE_BYTES = 64 << 20
+
+
+def compressed(data: bytes) -> bytes:
+    """BGZF blocks of the data."""
+    out = []
+    for at in range(0, len(data), 0xFF00):
+        raw = data[at : at + 0xFF00]
+        squeeze = zlib.compressobj(wbits=-15)
+        body = squeeze.compress(raw) + squeeze.flush()
+        out.append(b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(raw), len(raw)))
+    return b"".join(out)
+
+
+def encode(row: dict, number: dict[str, int]) -> bytes:
+    """The record of a row of schema.ALIGNMENTS. Bases, which the table doesn't hold, are N."""
+    ops = row["cigar"] or []
+    name, qual = row["name"].encode() + b"\0", (row["qual"] or "").encode()
+    flags = ("is_paired", 1), ("is_rev", 16), ("mate_rev", 32), ("is_first", 64), ("is_qcfail", 512)
+    flag = sum(bit for c, bit in flags if row[c]) | 4 * (not row["is_mapped"]) | 8 * (not row["mate_mapped"]) | 128 * bool(row["is_paired"] and not row["is_first"]) | 256 * (not row["is_primary"])
+    low = row["pos"]
+    high = low + max(1, sum(c["len"] for c in ops if c["op"] in "MDN=X")) - 1
+    place = next((first + (low >> shift) for shift, first in LEVELS if low >> shift == high >> shift), 0) if low >= 0 else 4680
+    tags = b"".join(tag + b"i" + struct.pack("<i", row[c]) for tag, c in ((b"NH", "nh"), (b"HI", "hi")) if row[c] is not None) + (b"MDZ" + row["md"].encode() + b"\0" if row["md"] is not None else b"")
+    head = struct.pack("<iiBBHHHiiii", number.get(row["ref"], -1), low, len(name), 255, place, len(ops), flag, len(qual), number.get(row["mate_ref"], -1), row["mate_pos"], row["insert_size"] or 0)
+    body = head + name + b"".join(struct.pack("<I", c["len"] << 4 | _OPS.index(c["op"])) for c in ops) + b"\xff" * ((len(qual) + 1) // 2) + bytes(c - 33 for c in qual) + tags
+    return struct.pack("<i", len(body)) + body
+
+
+def write(alignments: DataFrame, path: str, references: list[tuple[str, int]], file_bytes: int = _FILE_BYTES) -> None:
+    """Writes alignments in the order of the references and positions, as BAM files that are each complete and of at most about ``file_bytes`` before compression.
+
+    Files come from attempts that were committed only; one after another in the order of
+    their names they are the whole. References are those of the header.
+    """
+    number = {name: i for i, (name, _) in enumerate(references)}
+    text = b"@HD\tVN:1.6\tSO:coordinate\n" + b"".join(f"@SQ\tSN:{n}\tLN:{size}\n".encode() for n, size in references)
+    head = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(references)) + b"".join(struct.pack("<i", len(n.encode()) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in references)
+    table = alignments.sparkSession.createDataFrame([(n, i) for n, i in number.items()], "__name string, __no int")
+    known = alignments.join(F.broadcast(table), alignments["ref"] == table["__name"], "left")
+    order = [F.col("__no").asc_nulls_last(), F.col("pos").asc(), F.col("arrival").asc()]
+    columns = alignments.columns
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, no, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def file() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f"{part:07d}-{no:07d}.bam"]), pa.array([compressed(head) + compressed(b"".join(held)) + END_BLOCK], pa.binary())], ["name", "content"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                held.append(encode(row, number))
+                size += len(held[-1])
+                if size >= file_bytes:
+                    yield file()
+                    no, held, size = no + 1, [], 0
+        if held:
+            yield file()
+
+    blobs.write(known.repartitionByRange(*order).sortWithinPartitions(*order).select(columns).mapInArrow(parts, "name string, content binary"), path)
