@@ -15,7 +15,7 @@ from helixloom.operators import dedup, fragments, graphs, lengths, likelihood, p
 from helixloom.options import Options
 from helixloom.plans import synthetic
 from helixloom.plans.assembly import assemble
-from helixloom.sources import alignments, instances
+from helixloom.sources import alignments, bam, instances
 from helixloom.sources.lengths import read_lengths
 from helixloom.streaming import duplicates
 from helixloom.tables import shared_dir
@@ -618,3 +618,28 @@ def q35_stream_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = rows.groupBy("ref", "bin", "batch").agg(F.min("pos1").alias("first"), F.max("pos1").alias("last"))
     follows = ends.withColumn("in_order", F.coalesce(c("first") >= F.max("last").over(Window.partitionBy("ref", "bin").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
     return rows.join(F.broadcast(follows.select("ref", "bin", "batch", "in_order")), ["ref", "bin", "batch"]).select("ref", "pos1", c("b.pos").alias("pos2"), "name", c("b.nh").alias("nh"), "in_order")
+
+
+@query("""
+SELECT l_orderkey::varchar || '.' || l_linenumber::varchar AS name, 'chr1' AS ref, (l_partkey * 50)::int AS pos, (l_partkey * 50 + 30)::int AS mate_pos, l_quantity::int AS insert_size, (10 + l_linenumber)::varchar || 'M' AS cigar,
+  l_linenumber % 2 = 0 AS is_rev, l_linenumber % 2 = 1 AS is_first, (1 + l_partkey % 3)::int AS nh, (l_linenumber % 4 = 0) AS no_hi, (10 + l_linenumber)::varchar AS md, count(*) AS n
+FROM lineitem WHERE l_suppkey % 5 = 1 AND l_partkey * 50 >= 1000 AND l_partkey * 50 < 9000 GROUP BY ALL
+""")
+def q36_bam_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines written as sorted BAM files with an index, and a region read back through it."""
+    c, lineitem = F.col, table(spark, sf_dir, "lineitem")
+    ref, size = F.concat(F.lit("chr"), (c("l_suppkey") % 5).cast("string")), (c("l_linenumber") + 10).cast("int")
+    pos = (c("l_partkey") * 50).cast("int")
+    records = lineitem.select(
+        F.concat_ws(".", c("l_orderkey").cast("string"), c("l_linenumber").cast("string")).alias("name"), ref.alias("ref"), pos.alias("pos"), ref.alias("mate_ref"), (pos + 30).alias("mate_pos"), c("l_quantity").cast("int").alias("insert_size"),
+        F.array(_op("M", size)).alias("cigar"), F.repeat(F.lit("I"), size).alias("qual"), *[F.lit(x).alias(n) for n, x in (("is_paired", True), ("is_qcfail", False), ("is_mapped", True), ("is_primary", True), ("mate_mapped", True))],
+        (c("l_linenumber") % 2 == 0).alias("is_rev"), (c("l_linenumber") % 2 == 1).alias("mate_rev"), (c("l_linenumber") % 2 == 1).alias("is_first"), (1 + c("l_partkey") % 3).cast("int").alias("nh"), F.when(c("l_linenumber") % 4 != 0, c("l_linenumber").cast("int")).alias("hi"), size.cast("string").alias("md"),
+        F.monotonically_increasing_id().alias("arrival"),
+    )
+    longest = int(records.agg(F.max("pos")).first()[0] or 0) + 100
+    path = f"{shared_dir(spark)}/helixloom/bam-{uuid.uuid4().hex}"
+    bam.write(records, path, [(f"chr{k}", longest) for k in range(5)])
+    bam.index(spark, path)
+    found = spark.read.format("bam").load(path).filter("ref = 'chr1' AND pos >= 1000 AND pos < 9000")
+    shown = found.select("name", "ref", "pos", "mate_pos", "insert_size", F.array_join(F.transform("cigar", lambda x: F.concat(x["len"].cast("string"), x["op"])), "").alias("cigar"), "is_rev", "is_first", "nh", c("hi").isNull().alias("no_hi"), "md")
+    return shown.groupBy(shown.columns).agg(F.count(F.lit(1)).alias("n"))
