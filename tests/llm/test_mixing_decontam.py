@@ -100,7 +100,7 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     for blocks in (1 << 21, 300):
         got = {(r["doc_id"], r["item_id"]) for r in decontam.passages(df, bench, block_words=blocks).collect()}
-        assert got == leaks | {(202, 30), (203, 34), (None, 0)}
+        assert got == leaks | {(202, 30), (203, 34), (None, 0)}  # all of them, whatever was edited
     assert decontam.contaminated(df, bench.filter("false")).collect() == []
     assert decontam.contaminated(df.filter("false"), bench).collect() == []
 
@@ -135,7 +135,37 @@ def test_long_item_is_cut_in_parts(spark):
 def test_short_items_need_short_documents(spark):
     bench = spark.createDataFrame([(1, "the"), (2, "once upon a time"), (3, "one two three four five six seven eight")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "the"), (2, "the long story of the house"), (3, "so once upon a time it was"), (4, "once upon a time " + "word " * 30), (5, "once upon the time again"), (6, "x " * 40 + "one two three four five six")], "doc_id long, text string")
-    assert {(r["doc_id"], r["item_id"]) for r in decontam.passages(docs, bench).collect()} == {(1, 1), (3, 2), (6, 3)}
+    got = {(r["doc_id"], r["item_id"]): r["mention"] for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(1, 1): False, (2, 1): True, (3, 2): False, (4, 2): True, (5, 1): True, (6, 3): False}
+
+
+def test_a_gram_of_ten_thousand_items_is_no_seed(spark, monkeypatch):
+    """Items that begin alike, and a corpus full of that beginning: hits stay few, and slots are looked at in pieces."""
+    items = [(i, f"which one of the following is true of a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i}") for i in range(10_000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(d, "which one of the following is true of us " * 300) for d in range(20)] + [(90, "so " + items[77][1])], "doc_id long, text string")
+    ids, seqs, keys, places = decontam._block(items)
+    index, _ = decontam._index(docs, seqs, keys, places, decontam.STRETCH_WORDS)
+    lookup, bounds, _, _ = index[decontam.SEED_WORDS]
+    common = np.diff(bounds) > 9_000
+    assert 0 < common.sum() <= 3  # of the six that all items hold
+    sizes = []
+    plain = decontam._slots
+    monkeypatch.setattr(decontam, "_SLOTS", 50_000)
+    raw = np.frombuffer((items[77][1] + " ").encode() * 40, np.uint8)
+    token, first = decontam.tokens(raw, np.array([0, len(raw)]))
+    found = [f for f in plain(index, token, first) if not sizes.append(len(f[0]))]
+    monkeypatch.setattr(decontam, "_SLOTS", 1 << 60)
+    whole = list(plain(index, token, first))
+    assert len(whole) == 1 and len(found) > 1 and max(sizes) < 110_000
+    assert sorted(zip(*(np.concatenate([f[j] for f in found]).tolist() for j in range(3)), strict=True)) == sorted(zip(*(x.tolist() for x in whole[0]), strict=True))
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect() if r["item_id"] == 77} == {(90, 77)}
+
+
+def test_words_said_again_in_an_item(spark):
+    bench = spark.createDataFrame([(1, "row " * 30 + "your boat gently down the stream"), (2, " ".join(["la"] * 60))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " * 9 + "row " * 28 + "your boat"), (2, "la " * 500), (3, "row row x row row"), (4, "x " * 50)], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()} == {(1, 1), (2, 2)}
 
 
 def test_recall_against_alignments_of_all_pairs(spark):
