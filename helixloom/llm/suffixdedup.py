@@ -43,8 +43,9 @@ GRAM = 16
 REACH = MATCH - GRAM
 #: Windows that start farther before their anchor than this are told by what is before it.
 NEAR = 17
-#: Rows from which the borders of the sorted ranges are taken, on average.
+#: Rows from which the borders of the sorted ranges are taken, on average, and grams of a row at most: they only even out ranges, no result depends on them.
 SAMPLE_ROWS = 2000
+SAMPLE_GRAMS = 1024
 _KEY = "coalesce(cast(doc_id as bigint), -9223372036854775808)"
 #: Anchors and suffixes of one sorted run; a task starts another run when it holds so many.
 RUN_ANCHORS = 1 << 19
@@ -503,12 +504,17 @@ def borders(docs: DataFrame, parts: int, sample_rows: int) -> tuple[np.ndarray,
     n = docs.count()
     if not n or parts < 2:
         return np.zeros(0, f"S{GRAM}"), np.zeros(0, f"S{GRAM}")
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, sample_rows / n) * (1 << 20)) + 1)
+    # By place in the input, as many rows may have one doc_id, or none, and one text.
+    sample = docs.withColumn("place", F.monotonically_increasing_id()).filter(F.pmod(F.xxhash64("place"), F.lit(1 << 40)) < int(min(1.0, sample_rows / n) * (1 << 40)) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, raw, offsets in chunks(batch, most=_CHUNK):
-                at = anchors(raw, offsets)[0][::5]
+                at = anchors(raw, offsets)[0]
+                bounds = np.searchsorted(at, offsets)
+                size = np.diff(bounds)
+                nth = np.arange(len(at)) - np.repeat(bounds[:-1], size)
+                at = at[nth % np.repeat(np.maximum(5, -(-size // SAMPLE_GRAMS)), size) == 0]
                 gram = raw[at[:, None] + np.arange(GRAM)]
                 yield pa.RecordBatch.from_arrays([pa.array([g.tobytes() for g in gram], pa.binary())], ["gram"])
 

@@ -78,3 +78,16 @@ def test_hot_grams_dealt_over_all_ranges(spark, monkeypatch):
         grams = np.array(sorted({t[i : i + s.GRAM] for t in texts for i in range(0, len(t) - s.GRAM)})[::share], f"S{s.GRAM}")
         monkeypatch.setattr(s, "borders", lambda docs, parts, n, grams=grams: (grams[:: len(grams) // 6], grams))
         assert run(spark, rows) == brute(rows)
+
+
+def test_borders_come_from_a_bounded_sample(spark, monkeypatch):
+    """Many rows without an id, and one very long text: few grams reach the driver."""
+    seen = []
+    monkeypatch.setattr(s.np, "sort", lambda x, sort=np.sort: seen.append(len(x)) or sort(x))
+    rows = spark.range(20_000).selectExpr("cast(null as bigint) as doc_id", "repeat(concat('row ', id % 900, ' '), 40) as text")
+    cuts, _ = s.borders(rows, 8, 100)
+    assert 0 < seen[-1] <= 200 * 40 and len(cuts) > 2
+    rng = random.Random(1)
+    long = spark.createDataFrame([(1, "".join(rng.choice("abcdef ") for _ in range(300_000)))], "doc_id long, text string")
+    s.borders(long, 8, 100)
+    assert 0 < seen[-1] <= s.SAMPLE_GRAMS
