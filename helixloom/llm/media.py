@@ -1,7 +1,7 @@
 """Media columns: Netpbm and BMP images as numpy arrays, area-resized NPY tiles, difference hashes.
 
 Images are resized by integral images: the integral is interpolated at the fractional
-edges of each output cell, which is exact for pixels of constant value. Only those of its
+edges of each output cell, in whole numbers, so means are exact. A sample above the stated maximum is that maximum. Only those of its
 rows are worked out that have an edge in them, so a tall image costs no more memory than itself.
 
 Batches are worked through in slices of bounded size, or of one row. Nulls and odd input:
@@ -52,7 +52,7 @@ def decode_netpbm(content: bytes) -> np.ndarray:
     """P1 to P6: height x width, or height x width x 3."""
     kind, at, fields = content[:2], 2, []
     while len(fields) < (2 if kind in (b"P1", b"P4") else 3):
-        found = re.compile(rb"(?:\s+|#[^\n]*\n)*(\d+)").match(content, at)
+        found = re.compile(rb"(?:\s+|#[^\n]*\n)*(\d{1,9})(?!\d)").match(content, at)
         if not found:
             raise ValueError("broken Netpbm header")
         fields.append(int(found[1]))
@@ -60,11 +60,18 @@ def decode_netpbm(content: bytes) -> np.ndarray:
     width, height = fields[:2]
     depth = 3 if kind in (b"P3", b"P6") else 1
     need = width * height * depth
+    if not need or len(fields) > 2 and not 0 < fields[2] < 1 << 16:
+        raise ValueError("empty Netpbm image or samples out of range")
+    if need > 8 * len(content):
+        raise ValueError("truncated Netpbm image")
     if kind == b"P1":
         flat = np.frombuffer(re.sub(rb"#[^\n]*|\s", b"", content[at:]), np.uint8)[:need]
         flat = np.where(flat == ord("1"), 0, 255).astype(np.uint8)
     elif kind in (b"P2", b"P3"):
-        flat = np.array(re.sub(rb"#[^\n]*", b"", content[at:]).split()[:need], dtype=np.int64)
+        listed = re.sub(rb"#[^\n]*", b"", content[at:]).split()[:need]
+        if any(len(x) > 9 or not x.isdigit() for x in listed):
+            raise ValueError("broken Netpbm samples")
+        flat = np.minimum(np.array(listed, dtype=np.int64), fields[2])
         flat = (flat * 255 // fields[2]).astype(np.uint8)
     elif kind == b"P4":
         rows = np.frombuffer(content, np.uint8, height * (-(-width // 8)), at + 1).reshape(height, -1)
@@ -72,11 +79,11 @@ def decode_netpbm(content: bytes) -> np.ndarray:
     elif kind in (b"P5", b"P6"):
         if fields[2] > 255:
             wide = np.frombuffer(content, ">u2", need, at + 1).astype(np.int64)
-            flat = (wide * 255 // fields[2]).astype(np.uint8)
+            flat = (np.minimum(wide, fields[2]) * 255 // fields[2]).astype(np.uint8)
         else:
             flat = np.frombuffer(content, np.uint8, need, at + 1)
             if fields[2] < 255:
-                flat = (flat.astype(np.int64) * 255 // fields[2]).astype(np.uint8)
+                flat = (np.minimum(flat, fields[2]).astype(np.int64) * 255 // fields[2]).astype(np.uint8)
     else:
         raise ValueError("not a Netpbm image")
     if flat.size < need:
@@ -91,10 +98,14 @@ def decode_bmp(content: bytes) -> np.ndarray:
     if packed or bits not in (8, 24, 32) or width <= 0 or not height:
         raise ValueError("unsupported BMP")
     stride = -(-width * bits // 32) * 4
+    if start + stride * abs(height) > len(content):
+        raise ValueError("truncated BMP")
     rows = np.frombuffer(content, np.uint8, stride * abs(height), start).reshape(abs(height), stride)
     rows = rows[::-1] if height > 0 else rows
     if bits == 8:
         colours, = struct.unpack_from("<I", content, 46)
+        if 14 + size + 4 * (colours or 256) > len(content):
+            raise ValueError("truncated BMP palette")
         table = np.frombuffer(content, np.uint8, (colours or 256) * 4, 14 + size).reshape(-1, 4)
         shade = table[rows[:, :width]]
         grey = (table[:, 0] == table[:, 1]).all() and (table[:, 1] == table[:, 2]).all()
@@ -107,38 +118,41 @@ def decode(content: bytes) -> np.ndarray:
     return decode_bmp(content) if content[:2] == b"BM" else decode_netpbm(content)
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of each output cell's area, by an integral image."""
-    grey = image if image.ndim == 2 else image.mean(axis=2)
-    rows, cols = grey.shape
-    at = np.arange(height + 1) * (rows / height)
-    low = np.minimum(at.astype(np.int64), rows - 1)
+def area_sums(image: np.ndarray, height: int, width: int) -> tuple[np.ndarray, int]:
+    """For every output cell the sum of what its area covers, and the area to divide it by, in whole numbers: exact."""
+    rows, cols = image.shape[:2]
+    channels = image.shape[2] if image.ndim == 3 else 1
+    grey = image.sum(axis=2, dtype=np.int64) if image.ndim == 3 else image
+    at = np.arange(height + 1, dtype=np.int64) * rows
+    low, part = np.minimum(at // height, rows - 1), at - np.minimum(at // height, rows - 1) * height
     cuts = np.unique(np.concatenate([low, low + 1]))  # from 0 to rows
-    total = np.zeros((len(cuts), cols + 1))
-    np.cumsum(np.add.reduceat(grey, cuts[:-1], axis=0, dtype=np.float64), axis=0, out=total[1:, 1:])
+    total = np.zeros((len(cuts), cols + 1), np.int64)
+    np.cumsum(np.add.reduceat(grey, cuts[:-1], axis=0, dtype=np.int64), axis=0, out=total[1:, 1:])
     np.cumsum(total, axis=1, out=total)
+    down = total[np.searchsorted(cuts, low)] * (height - part)[:, None] + total[np.searchsorted(cuts, low + 1)] * part[:, None]
+    at = np.arange(width + 1, dtype=np.int64) * cols
+    low, part = np.minimum(at // width, cols - 1), at - np.minimum(at // width, cols - 1) * width
+    cut = down[:, low] * (width - part) + down[:, low + 1] * part
+    return np.diff(np.diff(cut, axis=0), axis=1), rows * cols * channels
 
-    def between(values: np.ndarray, first: np.ndarray, after: np.ndarray, part: np.ndarray) -> np.ndarray:
-        return values[first] * (1 - part)[:, None] + values[after] * part[:, None]
 
-    down = between(total, np.searchsorted(cuts, low), np.searchsorted(cuts, low + 1), at - low)
-    at = np.arange(width + 1) * (cols / width)
-    low = np.minimum(at.astype(np.int64), cols - 1)
-    cut = between(down.T, low, low + 1, at - low).T
-    return np.diff(np.diff(cut, axis=0), axis=1) / ((rows / height) * (cols / width))
+def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean of each output cell's area, by an integral image."""
+    sums, area = area_sums(image, height, width)
+    return sums / area
 
 
 def difference_hash(image: np.ndarray) -> str:
     """64 bits: whether each cell of a 8 x 9 grid is darker than its right neighbour."""
-    grid = area_resize(image, 8, 9)
-    bits = (grid[:, :-1] < grid[:, 1:] - 1e-9).ravel()
-    return np.packbits(bits).tobytes().hex()
+    grid, _ = area_sums(image, 8, 9)
+    return np.packbits((grid[:, :-1] < grid[:, 1:]).ravel()).tobytes().hex()
 
 
 def npy_tile(image: np.ndarray, edge: int = TILE) -> bytes:
-    """The area-resized image as an NPY file of 8-bit samples."""
+    """The area-resized image as an NPY file of 8-bit samples, halves rounded up."""
     out = io.BytesIO()
-    np.save(out, np.rint(area_resize(image, edge, edge)).clip(0, 255).astype(np.uint8), allow_pickle=False)
+    sums, area = area_sums(image, edge, edge)
+    np.save(out, np.ascontiguousarray((2 * sums + area) // (2 * area), np.uint8), allow_pickle=False)
     return out.getvalue()
 
 
@@ -175,7 +189,7 @@ def features(content: bytes | None) -> tuple:
     try:
         image = decode(content)
         return image.shape[1], image.shape[0], image.tobytes(), npy_tile(image), difference_hash(image), None
-    except (ValueError, struct.error, IndexError) as e:
+    except (ValueError, struct.error, IndexError, OverflowError) as e:
         return None, None, None, None, None, str(e)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,8 +76,8 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts stored as greymaps, read back, resized and hashed."""
-    return media.digest_texts(table(spark, sf_dir, "documents")).drop("tile_sha256")
+    """Texts stored as greymaps, read back, resized to NPY tiles and hashed."""
+    return media.digest_texts(table(spark, sf_dir, "documents"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,8 +180,13 @@ SELECT p.page_id, p.url, p.fetched_on::varchar AS fetched_on, CASE WHEN h.verdic
 FROM parsed p LEFT JOIN (SELECT * FROM hits WHERE place = 1) h USING (page_id)
 """
 
+_npy = io.BytesIO()
+np.save(_npy, np.zeros((media.TILE, media.TILE), np.uint8))
+#: What stands before the samples of a tile.
+_npy_head = _npy.getvalue()[: -media.TILE**2].hex()
+
 #: Payload and stored form; the checksum bit by bit; and the cells of the difference hash as overlaps of sample rows and columns with an 8 x 9 grid.
-ORACLE_SQL["op7_media"] = """
+ORACLE_SQL["op7_media"] = f"""
 WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
 p AS (SELECT doc_id, octet_length(b) AS n, greatest(1, (octet_length(b) + 63) // 64) AS h, hex(b) || repeat('00', (greatest(1, (octet_length(b) + 63) // 64) * 64 - octet_length(b))::int) AS x FROM t),
 f AS (SELECT *, unhex(x) AS payload, encode('P5' || chr(10) || '64 ' || h::varchar || chr(10) || '255' || chr(10)) || unhex(x) AS media FROM p),
@@ -188,10 +195,13 @@ sums AS (SELECT doc_id, h, r, list_transform(range(9), lambda j: list_sum(list_t
 grid AS (SELECT doc_id, k, j, sum(across[j + 1] * greatest(0, least((k + 1) * h, (r + 1) * 8) - greatest(k * h, r * 8))) AS v FROM sums, range(8) g(k), range(9) c(j) WHERE greatest(k * h, r * 8) < least((k + 1) * h, (r + 1) * 8) GROUP BY ALL),
 bits AS (SELECT a.doc_id, a.k, sum(CASE WHEN a.v < b.v THEN 1 << (7 - a.j)::int ELSE 0 END) AS byte FROM grid a JOIN grid b ON a.doc_id = b.doc_id AND a.k = b.k AND b.j = a.j + 1 GROUP BY ALL),
 hash AS (SELECT doc_id, string_agg(printf('%02x', byte::int), '' ORDER BY k) AS feature FROM bits GROUP BY doc_id),
+pairs AS (SELECT doc_id, h, r, list_transform(range(32), lambda j: ('0x' || substr(line, (4 * j + 1)::int, 2))::int + ('0x' || substr(line, (4 * j + 3)::int, 2))::int) AS two FROM rows_of),
+cells AS (SELECT doc_id, h, k, j, sum(two[j + 1] * greatest(0, least((k + 1) * h, (r + 1) * 32) - greatest(k * h, r * 32))) AS v FROM pairs, range(32) g(k), range(32) c(j) WHERE greatest(k * h, r * 32) < least((k + 1) * h, (r + 1) * 32) GROUP BY ALL),
+tile AS (SELECT doc_id, sha256(unhex('{_npy_head}' || string_agg(printf('%02x', ((v + h) // (2 * h))::int), '' ORDER BY k, j))) AS tile_sha256 FROM cells GROUP BY doc_id),
 crc AS (SELECT doc_id, list_reduce(list_prepend(4294967295::bigint, list_transform(range(64), lambda i: ('0x' || substr(x, (length(x) - 127 + 2 * i)::int, 2))::bigint)),
   lambda c, v: list_reduce(list_prepend(xor(c, v), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda q, z: CASE WHEN q & 1 = 1 THEN xor(q >> 1, 3988292384::bigint) ELSE q >> 1 END)) AS c FROM p)
-SELECT f.doc_id, n AS n_bytes, h * 64 AS payload_bytes, sha256(payload) AS payload_sha256, xor(c, 4294967295::bigint) AS tail_crc32, octet_length(media) AS media_bytes, sha256(media) AS media_sha256, feature
-FROM f JOIN crc ON crc.doc_id = f.doc_id JOIN hash ON hash.doc_id = f.doc_id
+SELECT f.doc_id, n AS n_bytes, h * 64 AS payload_bytes, sha256(payload) AS payload_sha256, xor(c, 4294967295::bigint) AS tail_crc32, octet_length(media) AS media_bytes, sha256(media) AS media_sha256, feature, tile_sha256
+FROM f JOIN tile ON tile.doc_id = f.doc_id JOIN crc ON crc.doc_id = f.doc_id JOIN hash ON hash.doc_id = f.doc_id
 """
 _trim = "regexp_replace({0}, '^[ \\x09-\\x0D]+|[ \\x09-\\x0D]+$', '', 'g')"
 ORACLE_SQL["op5_line_dedup"] = f"""

@@ -69,6 +69,24 @@ def test_broken_media_give_messages(spark):
     assert np.load(io.BytesIO(got[4]["tile"])).shape == (media.TILE, media.TILE)
 
 
+@pytest.mark.parametrize("content", [b"P5 99999999999 99999999999 255\nx", b"P4 99999999999 9\nx", b"P4 999999999 999999999\nx", b"P2 1 1 255 " + b"9" * 21, b"P5 1 1 0\nx", b"P3 1 1 0 1 2 3", b"P5 0 4 255\n", b"P2 1 1 255 -3", b"BM" + b"\xff\x7f" * 40, b"BM" + b"\0" * 8 + b"\x36\0\0\0\x28\0\0\0" + b"\xff\xff\xff\x7f" * 2 + b"\1\0\x20\0" + b"\0" * 40])
+def test_bad_headers_are_messages(content):
+    found = media.features(content)
+    assert found[:5] == (None,) * 5 and found[5]
+
+
+def test_samples_above_the_maximum():
+    assert media.decode(b"P2 2 1 15\n20 15").tolist() == [[255, 255]] and media.decode(b"P5 1 1 15\n\xff").tolist() == [[255]]
+
+
+def test_bmp_of_whole_texts(spark):
+    df = spark.createDataFrame([(1, "one " * 99), (2, None)], "doc_id long, text string")
+    both = [{r["doc_id"]: r for r in media.digest_texts(df, form).collect()} for form in ("pgm", "bmp")]
+    for d in (1, 2):
+        same = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "feature", "tile_sha256")
+        assert [both[0][d][c] for c in same] == [both[1][d][c] for c in same] and both[1][d]["media_bytes"] == both[0][d]["payload_bytes"] + 1078
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
