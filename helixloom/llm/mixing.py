@@ -5,7 +5,8 @@ target / source size; its whole part is taken for certain and the fraction is a
 probability. Pairs of fractional documents of one source transfer probability mass,
 weighted by their sizes, until one of the two is 0 or 1, so that the expected words of
 the source never change; what is left over of a chunk of documents goes up a reduction
-tree of fixed fan-in until one fractional document of each source remains; that one is rounded to the nearer.
+tree of fixed fan-in until one fractional document of each source remains; that one is rounded to the nearer,
+and up to two of the last group's documents are turned over where that cancels more of what the rounding left.
 
 Nulls and ties: null text has size 0 and null source is a source of its own, ordered
 last. Repeated rows are separate documents in the result; on the way those of one doc_id, source
@@ -121,6 +122,22 @@ def settle(ids: list[int], size: list[int], p: list[float], seed: int) -> tuple[
     return p, open_at
 
 
+def balance(size: list[int], before: list[float], after: list[float]) -> list[float]:
+    """The settled p with up to two that were fractions before turned over, if that brings the words taken nearer to those expected."""
+    s, p = np.array(size, np.float64), np.array(after)
+    miss = float((s * (np.array(before) - p)).sum())
+    free = np.flatnonzero((np.array(before) > 0) & (np.array(before) < 1) & (s > 0))
+    change = np.concatenate([np.where(p[free] > 0.5, -s[free], s[free]), [0.0, 0.0]])
+    both = np.abs(miss - change[:, None] - change[None, :])
+    np.fill_diagonal(both, np.inf)
+    i, j = np.unravel_index(int(np.argmin(both)), both.shape)
+    if both[i, j] < abs(miss) - 1e-9:
+        for k in (i, j):
+            if k < len(free):
+                p[free[k]] = 1.0 - p[free[k]]
+    return p.tolist()
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Copies of each document: doc_id, source, size, source_size, target, copies, taken.
 
@@ -142,10 +159,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         def round_group(table: pa.Table) -> pa.Table:
             table = table.sort_by([("size", "descending"), ("key", "ascending")])
             ids = table.column("key").to_pylist()
-            size, p = table.column("size").to_pylist(), table.column("p").to_pylist()
-            p, rest = settle(ids, size, p, seed + number)
-            if last and rest >= 0:
-                p[rest], rest = float(p[rest] >= 0.5), -1
+            size, before = table.column("size").to_pylist(), table.column("p").to_pylist()
+            p, rest = settle(ids, size, before, seed + number)
+            if last:
+                if rest >= 0:
+                    p[rest], rest = float(p[rest] >= 0.5), -1
+                p = balance(size, before, p)
             left = np.zeros(len(p), bool)
             if rest >= 0:
                 left[rest] = True

@@ -141,7 +141,7 @@ def test_short_items_need_short_documents(spark):
 
 def test_a_gram_of_ten_thousand_items_is_no_seed(spark, monkeypatch):
     """Items that begin alike, and a corpus full of that beginning: hits stay few, and slots are looked at in pieces."""
-    items = [(i, f"which one of the following is true of a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i}") for i in range(10_000)]
+    items = [(i, f"which one of the following is true of a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i} k{i} l{i} m{i} n{i}") for i in range(10_000)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = spark.createDataFrame([(d, "which one of the following is true of us " * 300) for d in range(20)] + [(90, "so " + items[77][1])], "doc_id long, text string")
     ids, seqs, keys, places = decontam._block(items)
@@ -201,3 +201,20 @@ def test_very_long_texts(spark):
     assert {r["doc_id"]: r["payload_bytes"] for r in media.digest_texts(docs).collect()} == {d: max(64, -(-len(t or "") // 64) * 64) for d, t in docs.select("doc_id", "text").collect()}
     assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, langid.fit(docs)).collect()}[3] == "und"
     assert all(len(r["stats"]) == len(quality.STATISTICS) and all(np.isfinite(r["stats"])) for r in quality.statistics(docs).collect())
+
+
+def test_few_documents_of_very_unlike_sizes_come_near_their_target(spark):
+    rng = random.Random(6)
+    rows = [(100 * k + i, f"s{k}", "w " * int(rng.paretovariate(0.7) * 20 % 6000)) for k in range(6) for i in range(50)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).toPandas()
+    for _, part in got.groupby("source"):
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= 0.02 * part["target"].iloc[0]
+    assert (got["taken"] <= 2 * got["size"]).all()
+
+
+def test_balance_turns_over_what_cancels_the_rest():
+    size, before = [5184, 900, 400, 30, 11], [0.4, 0.5, 0.3, 0.6, 0.2]
+    want = sum(s * p for s, p in zip(size, before, strict=True))
+    after = mixing.balance(size, before, [1.0, 0.0, 0.0, 1.0, 0.0])
+    assert abs(sum(s * p for s, p in zip(size, after, strict=True)) - want) < abs(5214 - want)
+    assert mixing.balance([5, 5], [0.0, 1.0], [0.0, 1.0]) == [0.0, 1.0]
