@@ -82,6 +82,10 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     for level in reversed(levels[:-1]):
         parents = bad.select(F.col("node").alias("parent"))
         bad = differing(level.join(parents, F.shiftright(level["node"], FAN_OUT_BITS) == F.col("parent"), "left_semi")).select("node")
+    # Offsets are worked out in the files that hold damage, not in all.
+    bad = written(bad, "fixity-damage")
+    files = bad.select(F.shiftright("node", FILE_BITS).alias("__file")).distinct()
+    base = base.join(files, F.shiftright(base["node"], FILE_BITS) == files["__file"], "left_semi")
     in_file = Window.partitionBy("replica", F.shiftright("node", FILE_BITS)).orderBy("node")
     placed = base.withColumn("offset", F.sum("bytes").over(in_file) - F.col("bytes"))
     a = placed.filter("replica = 'a'").select("node", F.col("offset").alias("record_offset"), F.col("bytes").alias("record_bytes"), F.col("records").alias("records_a"), F.col("sha").alias("sha256"))
