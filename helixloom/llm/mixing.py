@@ -6,7 +6,7 @@ probability. Pairs of fractional documents of one source transfer probability ma
 weighted by their sizes, until one of the two is 0 or 1, so that the expected words of
 the source never change; what is left over of a chunk of documents goes up a reduction
 tree of fixed fan-in until one fractional document of each source remains; that one is rounded to the nearer,
-and up to two of the last group's documents are turned over where that cancels more of what the rounding left.
+and documents of the last group are turned over as long as that cancels more of what the rounding left.
 
 Nulls and ties: null text has size 0 and null source is a source of its own, ordered
 last. Repeated rows are separate documents in the result; on the way those of one doc_id, source
@@ -123,18 +123,19 @@ def settle(ids: list[int], size: list[int], p: list[float], seed: int) -> tuple[
 
 
 def balance(size: list[int], before: list[float], after: list[float]) -> list[float]:
-    """The settled p with up to two that were fractions before turned over, if that brings the words taken nearer to those expected."""
+    """The settled p with documents that were fractions before turned over, two at most at a time, as long as that brings the words taken nearer to those expected."""
     s, p = np.array(size, np.float64), np.array(after)
-    miss = float((s * (np.array(before) - p)).sum())
     free = np.flatnonzero((np.array(before) > 0) & (np.array(before) < 1) & (s > 0))
-    change = np.concatenate([np.where(p[free] > 0.5, -s[free], s[free]), [0.0, 0.0]])
-    both = np.abs(miss - change[:, None] - change[None, :])
-    np.fill_diagonal(both, np.inf)
-    i, j = np.unravel_index(int(np.argmin(both)), both.shape)
-    if both[i, j] < abs(miss) - 1e-9:
-        for k in (i, j):
-            if k < len(free):
-                p[free[k]] = 1.0 - p[free[k]]
+    for _ in range(len(free)):
+        miss = float((s * (np.array(before) - p)).sum())
+        change = np.concatenate([np.where(p[free] > 0.5, -s[free], s[free]), [0.0, 0.0]])
+        both = np.abs(miss - change[:, None] - change[None, :])
+        np.fill_diagonal(both, np.inf)
+        i, j = np.unravel_index(int(np.argmin(both)), both.shape)
+        if both[i, j] >= abs(miss) - 1e-9:
+            break
+        turned = [free[k] for k in (i, j) if k < len(free)]
+        p[turned] = 1.0 - p[turned]
     return p.tolist()
 
 
