@@ -643,3 +643,23 @@ def q36_bam_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spark.read.format("bam").load(path).filter("ref = 'chr1' AND pos >= 1000 AND pos < 9000")
     shown = found.select("name", "ref", "pos", "mate_pos", "insert_size", F.array_join(F.transform("cigar", lambda x: F.concat(x["len"].cast("string"), x["op"])), "").alias("cigar"), "is_rev", "is_first", "nh", c("hi").isNull().alias("no_hi"), "md")
     return shown.groupBy(shown.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH f AS (SELECT DISTINCT l_suppkey, ((l_partkey * 37 + l_orderkey) % 650)::int AS t, 100 + l_quantity::int AS len FROM lineitem WHERE l_suppkey % 3 <> 0),
+h AS (SELECT 100 + l_quantity::int AS len, count(*)::double / sum(count(*)) OVER () AS p FROM lineitem WHERE l_quantity < 45 AND l_quantity % 7 <> 0 GROUP BY 1),
+e AS (SELECT sum(p * (800 - len + 1)) AS effective FROM h),
+n AS (SELECT l_suppkey, count(p) AS n, bool_or(t < 200) AND bool_or(t + len > 600) AS ends FROM f LEFT JOIN h USING (len) GROUP BY 1)
+SELECT 'g' || l_suppkey::varchar AS gene_id, 1.0::double AS confidence, round(n::double, 4) AS expected_count, round(effective, 6) AS effective FROM n, e WHERE n >= 12 AND ends
+""")
+def q37_empirical_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-path loci of a run under a file of length probabilities: fragments of other lengths don't count."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    length = (F.col("l_quantity").cast("int") + 100).alias("frag_len")
+    counts = lengths.histogram(lineitem.filter("l_quantity < 45 AND l_quantity % 7 != 0").select(length))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    given = read_lengths(spark, _kept_text(counts.select(F.concat_ws(" ", F.col("length").cast("string"), (F.col("n") / F.lit(float(total))).cast("string")).alias("value")), "lengths"))
+    graph_table, segments, path_rows = synthetic.splice_graphs(lineitem)
+    done = assemble(synthetic.alignments(lineitem), graph_table, segments, path_rows, replace(_WHOLE, pre_mrna=False), lengths.Empirical(given))
+    found = done.transcripts.join(_single(path_rows, segments), "subgraph", "left_semi")
+    return found.select(F.col("subgraph").alias("gene_id"), "confidence", F.round("expected_count", 4).alias("expected_count"), F.round("effective", 6).alias("effective"))
