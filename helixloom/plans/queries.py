@@ -572,22 +572,43 @@ e AS (SELECT l_suppkey, count(*) FILTER (WHERE l_quantity = 50) AS n0, count(*)
 
 @query(f"""
 WITH {_EVIDENCE}, x AS (SELECT *, unnest(range(2)) AS c FROM e WHERE n0 + n1 + m > 0)
-SELECT l_suppkey::varchar AS locus_id, c::int AS cand_idx, round(CASE WHEN n0 > 0 AND n1 > 0 THEN 1 WHEN n0 + n1 = 0 THEN 2 / 3.0::double WHEN (c = 0) = (n0 > 0) THEN 1 ELSE 1 / (n0 + n1 + 2)::double END, 6) AS confidence FROM x
+SELECT l_suppkey::varchar AS locus_id, c::int AS cand_idx, round(CASE WHEN n0 > 0 AND n1 > 0 THEN 1 WHEN n0 + n1 = 0 THEN 2 / 3.0::double WHEN (c = 0) = (n0 > 0) THEN 1 ELSE 1 / (n0 + n1 + 2)::double END, 6) AS confidence,
+  CASE WHEN m > 0 THEN NULL WHEN n0 > 0 AND n1 > 0 THEN round((CASE c WHEN 0 THEN n0 ELSE n1 END + 1) / (n0 + n1 + 2)::double, 6) WHEN (c = 0) = (n0 > 0) THEN round(1 - 1 / power(n0 + n1 + 2, 2), 6) ELSE round(1 / (n0 + n1 + 2)::double, 6) END AS mean_share FROM x
 """)
 def q34_gibbs_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two candidates with fragments of their own (n0, n1) and m that fit both alike: the sampled confidence, put to its exact value where it is within 0.06 of it.
+    """Two candidates with fragments of their own (n0, n1) and m that fit both alike: sampled confidence and mean share, put to their exact values where they are within four standard errors.
 
-    With a cover of one candidate out of two, the other is in the simplex with probability 1 / (n + 2).
+    With a cover of one candidate out of two, the other is in the simplex with probability 1 / (n + 2). Errors are those of a
+    quarter as many independent samples; means while included are exact where no fragment is shared.
     """
-    q, n0, n1 = F.col("l_quantity"), F.col("n0"), F.col("n1")
-    per = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("locus_id")).agg(F.count_if(q == 50).alias("n0"), F.count_if((q == 1) & (F.col("l_linenumber") == 7)).alias("n1"), F.count_if(q == 49).alias("m")).filter("n0 + n1 + m > 0")
-    one = lambda cands, probs, n: F.struct(F.array(*map(F.lit, cands)).alias("cands"), F.array(*map(F.lit, probs)).alias("probs"), F.col(n).alias("n"))
-    grouped = per.select("locus_id", F.explode(F.array(one([0], [1.0], "n0"), one([1], [1.0], "n1"), one([0, 1], [0.5, 0.5], "m"))).alias("c")).select("locus_id", "c.*").filter("n > 0")
-    survivors = per.select("locus_id", F.col("locus_id").alias("subgraph"), F.explode(F.array(F.lit(0), F.lit(1))).alias("cand_idx"), F.lit(500.0).alias("effective"))
+    n0, n1, n = F.col("n0"), F.col("n1"), F.col("n0") + F.col("n1")
+    per = _evidence(spark, sf_dir).filter("n0 + n1 + m > 0")
+    grouped, survivors = _two_candidates(per)
     found = sampler.estimate(grouped, survivors, Options(), 1e6).join(per, "locus_id")
-    exact = F.when((n0 > 0) & (n1 > 0), 1.0).when(n0 + n1 == 0, 2 / 3).when((F.col("cand_idx") == 0) == (n0 > 0), 1.0).otherwise(1 / (n0 + n1 + 2))
+    first = F.col("cand_idx") == 0
+    own = first == (n0 > 0)
+    exact = F.when((n0 > 0) & (n1 > 0), 1.0).when(n == 0, 2 / 3).when(own, 1.0).otherwise(1 / (n + 2))
     sampled = F.col("occurrences") / F.col("n_iter")
-    return found.select("locus_id", "cand_idx", F.round(F.when(F.abs(sampled - exact) < 0.06, exact).otherwise(sampled), 6).alias("confidence"))
+    independent = F.col("n_iter") / 4
+    share = F.col("mean_fpkm") * F.col("effective") * F.lit(1e6) / (n * F.lit(1e9))
+    mine = F.when(first, n0).otherwise(n1)
+    mean = F.when((n0 > 0) & (n1 > 0), (mine + 1) / (n + 2)).when(own, 1 - 1 / F.pow(n + 2, F.lit(2))).otherwise(1 / (n + 2))
+    error = F.sqrt((n + 1) / (F.pow(n + 2, F.lit(2)) * (n + 3)) / (independent * F.least(exact, 1 / (n + 2)))) + 1e-9
+    snap = lambda value, to, within: F.when(F.abs(value - to) <= 4 * within, to).otherwise(value)
+    return found.select("locus_id", "cand_idx", F.round(snap(sampled, exact, F.sqrt(exact * (1 - exact) / independent)), 6).alias("confidence"), F.when(F.col("m") == 0, F.round(snap(share, mean, error), 6)).alias("mean_share"))
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """locus_id, n0, n1 and m: fragments of the first and second of two candidates, and of both."""
+    q = F.col("l_quantity")
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("locus_id")).agg(F.count_if(q == 50).alias("n0"), F.count_if((q == 1) & (F.col("l_linenumber") == 7)).alias("n1"), F.count_if(q == 49).alias("m"))
+
+
+def _two_candidates(per: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes and survivors of two candidates with this evidence."""
+    one = lambda cands, probs, n: F.struct(F.array(*map(F.lit, cands)).alias("cands"), F.array(*map(F.lit, probs)).alias("probs"), F.col(n).alias("n"))
+    grouped = per.select("locus_id", F.explode(F.array(one([0], [1.0], "n0"), one([1], [1.0], "n1"), one([0, 1], [0.5, 0.5], "m"))).alias("c")).select("locus_id", "c.*").filter("n > 0")
+    return grouped, per.select("locus_id", F.col("locus_id").alias("subgraph"), F.explode(F.array(F.lit(0), F.lit(1))).alias("cand_idx"), F.lit(500.0).alias("effective"))
 
 
 @query("""
@@ -663,3 +684,59 @@ def q37_empirical_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = assemble(synthetic.alignments(lineitem), graph_table, segments, path_rows, replace(_WHOLE, pre_mrna=False), lengths.Empirical(given))
     found = done.transcripts.join(_single(path_rows, segments), "subgraph", "left_semi")
     return found.select(F.col("subgraph").alias("gene_id"), "confidence", F.round("expected_count", 4).alias("expected_count"), F.round("effective", 6).alias("effective"))
+
+
+@query("""
+WITH r AS (SELECT DISTINCT l_suppkey AS s, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, ((l_partkey * 37 + l_orderkey) % 650)::int AS t, 100 + l_quantity::int AS len FROM lineitem),
+u AS (SELECT DISTINCT s, t, len FROM r),
+n AS (SELECT s, count(*) FILTER (WHERE t % 5 <> 0 AND t % 7 <> 0) AS n, bool_or(t < 200) FILTER (WHERE t % 5 <> 0 AND t % 7 <> 0) AND bool_or(t + len > 600) FILTER (WHERE t % 5 <> 0 AND t % 7 <> 0) AS ends FROM u WHERE s % 3 <> 0 AND s % 10 <> 1 GROUP BY s),
+c AS (SELECT CASE WHEN s % 10 = 2 THEN 'no fragment' WHEN NOT ends THEN 'code 3' WHEN s % 10 = 9 THEN 'code 4' WHEN n < 12 THEN 'code 7' ELSE 'code 0' END AS what FROM n)
+SELECT what, count(*) AS n FROM c GROUP BY what
+UNION ALL SELECT 'mapped', 2 * count(*) FROM r UNION ALL SELECT 'unique pairs', count(*) FROM u WHERE t % 7 <> 0
+UNION ALL SELECT 'no strand', count(DISTINCT s) FROM r WHERE s % 10 = 1 UNION ALL SELECT 'no MD', 2 * count(*) FROM r WHERE s % 10 = 9
+""")
+def q38_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run whose reads hit several places, whose graphs have no strand or lie where no fragment is, and whose records lack what they need: what is counted, and how single-path loci end."""
+    lineitem, c = table(spark, sf_dir, "lineitem"), F.col
+    graph_table, segments, path_rows = synthetic.splice_graphs(lineitem)
+    supplier = F.regexp_extract("graph_id", "g(.*)", 1).cast("long")
+    graph_table = graph_table.withColumn("strand", F.when(supplier % 10 == 1, ".").otherwise(c("strand"))).withColumn("ref", F.when(supplier % 10 == 2, "elsewhere").otherwise(c("ref")))
+    per = lineitem.select(F.lit(1).alias("one"), "*")
+    records = synthetic.alignments(per)
+    # The place of a fragment in its transcript follows from where its first mate begins.
+    first = F.least("pos", "mate_pos")
+    place = first % synthetic.LOCUS
+    t = F.floor(place / 400) * synthetic.EXON + place % 400
+    several = F.when(c("is_first"), t % 5 == 0).otherwise(t % 7 == 0)
+    records = records.withColumn("nh", F.when(several, 2).otherwise(1)).withColumn("md", F.when(F.floor(first / synthetic.LOCUS) % 10 == 9, None).otherwise(c("md")))
+    done = assemble(records, graph_table, segments, path_rows, replace(_WHOLE, pre_mrna=False, frag_mean=125.0, frag_sd=20.0))
+    single = done.status.join(_single(path_rows, segments).withColumnRenamed("subgraph", "locus_id"), "locus_id", "left_semi")
+    what = F.when(c("return_code").isNull(), "no fragment").otherwise(F.concat(F.lit("code "), c("return_code").cast("string")))
+    counts = [("mapped", done.counts[0]), ("unique pairs", done.counts[1]), *((k, n) for k, n in done.left_out.items() if n)]
+    return single.groupBy(what.alias("what")).agg(F.count(F.lit(1)).alias("n")).unionByName(spark.createDataFrame(counts, "what string, n long"))
+
+
+@query("""
+WITH g AS (SELECT DISTINCT l_suppkey AS s FROM lineitem),
+n AS (SELECT s, s % 4 AS kind, CASE s % 4 WHEN 2 THEN 5 WHEN 3 THEN 3 ELSE 1 END AS segs FROM g),
+c AS (
+  SELECT s, 'g' || s::varchar || '_seq' || k::varchar AS name, 1 AS n_exons, 50 AS length FROM n, range(5) t(k) WHERE kind IN (0, 1) AND k = 0 OR kind = 2 AND k < 2
+  UNION ALL SELECT s, 'g' || s::varchar || '_seq' || k::varchar, 3 - k, 50 * (3 - k) FROM n, range(2) t(k) WHERE kind = 3
+  UNION ALL SELECT s, 'g' || s::varchar || '_pre', 1, CASE kind WHEN 1 THEN 60 ELSE 100 * segs - 50 END FROM n WHERE kind <> 0)
+SELECT 'g' || s::varchar AS locus_id, name, (row_number() OVER (PARTITION BY s ORDER BY name LIKE '%pre', name) - 1)::int AS cand_idx, n_exons::int AS n_exons, length::int AS length FROM c
+""")
+def q39_candidate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs of one segment, of segments without edges beyond the limit, and of two paths: which candidates there are and what they are called."""
+    c = F.col
+    per = table(spark, sf_dir, "lineitem").select("l_suppkey").distinct().withColumn("kind", c("l_suppkey") % 4).withColumn("graph_id", F.concat(F.lit("g"), c("l_suppkey").cast("string")))
+    base = c("l_suppkey") * 1000
+    n = F.when(c("kind") == 2, 5).when(c("kind") == 3, 3).otherwise(1)
+    right = base + F.when(c("kind") == 0, 50).when(c("kind") == 1, 60).otherwise(100 * n - 50)
+    graph_table = per.select("graph_id", F.lit("chr1").alias("ref"), F.lit("+").alias("strand"), (base + 1).cast("int").alias("left"), right.cast("int").alias("right"), F.lit(1).cast("long").alias("read_count"))
+    segments = per.withColumn("idx", F.explode(F.sequence(F.lit(0), n - 1))).select("graph_id", "idx", (base + 100 * c("idx") + 1).cast("int").alias("start"), (base + 100 * c("idx") + 50).cast("int").alias("end"), F.lit(0.0).alias("zero_frac"))
+    rows = per.filter("kind = 3").select("graph_id", F.explode(F.array(F.struct(F.lit(0).alias("row"), F.array(*map(F.lit, [1, 1, 1])).alias("flags"), F.lit(9).cast("long").alias("n")), F.struct(F.lit(1).alias("row"), F.array(*map(F.lit, [1, 0, 1])).alias("flags"), F.lit(4).cast("long").alias("n")))).alias("r")).select("graph_id", "r.*")
+    edges = graphs.junctions(rows, graphs.kept_segments(segments))
+    bounds = graphs.widened(graph_table, segments)
+    loci = graphs.loci(bounds, graphs.single_path(edges), collapse=False)
+    found = paths.named(paths.candidates(bounds, segments, edges, 3), loci)
+    return found.select("locus_id", "name", "cand_idx", F.size("exons").alias("n_exons"), "length")
