@@ -400,7 +400,8 @@ def q23_gibbs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH n AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), x AS (SELECT *, unnest(range(2)) AS k FROM n)
 SELECT 't' || l_suppkey::varchar AS name, 'chr' || (l_suppkey % 5)::varchar || chr(9) || 'helixloom' || chr(9) || 'exon' || chr(9) || (l_suppkey * 1000 + k * 300 + 1)::varchar || chr(9) || (l_suppkey * 1000 + k * 300 + 200)::varchar || chr(9) || '.' || chr(9) || '+' || chr(9) || '.' || chr(9)
-  || 'gene_id "g' || l_suppkey::varchar || '"; transcript_id "t' || l_suppkey::varchar || '"; transcript_confidence "1.00000"; FPKM "2.50000"; FPKM_sd "nan"; expected_count "' || format('{:.1f}', 64.0) || '000";' AS line FROM x
+  || 'gene_id "g' || l_suppkey::varchar || '"; transcript_id "t' || l_suppkey::varchar || '"; transcript_confidence "' || printf('%g', (l_suppkey % 8 + 1) / 8.0::double) || '"; FPKM "' || printf('%g', l_suppkey * l_suppkey * 234.5678901::double) || '"; FPKM_sd "'
+  || CASE WHEN l_suppkey % 3 = 0 THEN 'nan' ELSE printf('%g', l_suppkey / 7000000.0::double) END || '"; expected_count "' || printf('%g', l_suppkey * 1000.0::double) || '";' AS line FROM x
 """)
 def q24_gtf(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = F.col("l_suppkey")
@@ -408,7 +409,7 @@ def q24_gtf(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda p: F.concat(F.lit(p), supplier.cast("string"))
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey").distinct().select(
         F.concat(F.lit("chr"), (supplier % 5).cast("string")).alias("ref"), F.lit("+").alias("strand"), name("g").alias("subgraph"), name("t").alias("name"), F.array(exon(0), exon(1)).alias("exons"),
-        F.lit(1.0).alias("confidence"), F.lit(2.5).alias("mean_fpkm"), F.lit(None).cast("double").alias("sd_fpkm"), F.lit(64.0).alias("expected_count"),
+        ((supplier % 8 + 1) / 8.0).alias("confidence"), (supplier * supplier * 234.5678901).alias("mean_fpkm"), F.when(supplier % 3 != 0, supplier / 7000000.0).alias("sd_fpkm"), (supplier * 1000.0).alias("expected_count"),
     )
     return sinks.gtf(rows).select("name", "line")
 
