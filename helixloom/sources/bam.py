@@ -491,11 +491,11 @@ def write(alignments: DataFrame, path: str, references: list[tuple[str, int]], f
     order = [F.col("__no").asc_nulls_last(), F.col("pos").asc(), F.col("arrival").asc()]
     columns = alignments.columns
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
         part, no, held, size = TaskContext.get().partitionId(), 0, [], 0
 
-        def file() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"{part:07d}-{no:07d}.bam"]), pa.array([compressed(head) + compressed(b"".join(held)) + END_BLOCK], pa.binary())], ["name", "content"])
+        def file() -> tuple[str, bytes]:
+            return f"{part:07d}-{no:07d}.bam", compressed(head) + compressed(b"".join(held)) + END_BLOCK
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -507,4 +507,4 @@ def write(alignments: DataFrame, path: str, references: list[tuple[str, int]], f
         if held:
             yield file()
 
-    blobs.write(known.repartitionByRange(*order).sortWithinPartitions(*order).select(columns).mapInArrow(parts, "name string, content binary"), path)
+    blobs.write_made(known.repartitionByRange(*order).sortWithinPartitions(*order).select(columns), parts, path)

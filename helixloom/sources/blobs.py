@@ -11,9 +11,10 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -36,41 +37,52 @@ class Attempt(WriterCommitMessage):
     files: int
 
 
+def write_attempt(path: str, run: str, files: Iterable[tuple[str, bytes]]) -> Attempt:
+    """Writes files (name, content) into the folder of this task's attempt."""
+    context = TaskContext.get()
+    folder, fs, n = f"part-{context.partitionId():07d}-{run}-{context.taskAttemptId()}", None, 0
+    for name, content in files:
+        if fs is None:
+            fs, root = filesystem(f"{path}/{folder}")
+            fs.create_dir(root, recursive=True)
+        with fs.open_output_stream(f"{root}/{name}") as out:
+            out.write(content)
+        n += 1
+    return Attempt(context.partitionId(), folder, n)
+
+
+def commit(path: str, run: str, attempts: list[Attempt | None]) -> None:
+    """Adds the folders that count, in the order of partitions, to what other writes committed before, and deletes this run's others."""
+    fs, root = filesystem(path)
+    fs.create_dir(root, recursive=True)
+    kept = [m.folder for m in sorted((m for m in attempts if m is not None and m.files), key=lambda m: m.partition)]
+    before = committed(path)
+    with fs.open_output_stream(f"{root}/{MANIFEST}.{run}") as out:
+        out.write(json.dumps(before + kept).encode())
+    fs.move(f"{root}/{MANIFEST}.{run}", f"{root}/{MANIFEST}")
+    clean(path, run, {*before, *kept})
+
+
+def clean(path: str, run: str, kept: set[str]) -> None:
+    """Deletes the folders of a run but for those in ``kept``."""
+    fs, root = filesystem(path)
+    for entry in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if entry.type == pafs.FileType.Directory and f"-{run}-" in entry.base_name and entry.base_name not in kept:
+            fs.delete_dir(entry.path)
+
+
 class BlobWriter(DataSourceWriter):
     def __init__(self, path: str) -> None:
         self.path, self.run = path.rstrip("/"), uuid.uuid4().hex[:12]
 
     def write(self, iterator: Iterator[Row]) -> Attempt:
-        context = TaskContext.get()
-        folder, fs, n = f"part-{context.partitionId():07d}-{self.run}-{context.taskAttemptId()}", None, 0
-        for row in iterator:
-            if fs is None:
-                fs, root = filesystem(f"{self.path}/{folder}")
-                fs.create_dir(root, recursive=True)
-            with fs.open_output_stream(f"{root}/{row['name']}") as out:
-                out.write(row["content"])
-            n += 1
-        return Attempt(context.partitionId(), folder, n)
+        return write_attempt(self.path, self.run, ((row["name"], row["content"]) for row in iterator))
 
     def commit(self, messages: list[WriterCommitMessage]) -> None:
-        """The folders that count, in the order of partitions; what other writes committed before stays."""
-        fs, root = filesystem(self.path)
-        fs.create_dir(root, recursive=True)
-        kept = [m.folder for m in sorted((m for m in messages if m is not None and m.files), key=lambda m: m.partition)]
-        before = committed(self.path)
-        with fs.open_output_stream(f"{root}/{MANIFEST}.{self.run}") as out:
-            out.write(json.dumps(before + kept).encode())
-        fs.move(f"{root}/{MANIFEST}.{self.run}", f"{root}/{MANIFEST}")
-        self._clean({*before, *kept})
+        commit(self.path, self.run, messages)
 
     def abort(self, messages: list[WriterCommitMessage]) -> None:
-        self._clean(set())
-
-    def _clean(self, kept: set[str]) -> None:
-        fs, root = filesystem(self.path)
-        for entry in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
-            if entry.type == pafs.FileType.Directory and f"-{self.run}-" in entry.base_name and entry.base_name not in kept:
-                fs.delete_dir(entry.path)
+        clean(self.path, self.run, set())
 
 
 def committed(path: str) -> list[str]:
@@ -100,6 +112,22 @@ def write(rows: DataFrame, path: str) -> None:
     rows.select("name", "content").write.format("blobs").mode("append").save(path)
 
 
+def write_made(rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[str, bytes]]], path: str) -> None:
+    """Writes the files (name, content) that ``make`` yields for the batches of each task, where they are made; what reaches the driver is a row for each task."""
+    path, run = path.rstrip("/"), uuid.uuid4().hex[:12]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = write_attempt(path, run, make(batches))
+        yield pa.RecordBatch.from_pylist([{"partition": done.partition, "folder": done.folder, "files": done.files}])
+
+    try:
+        attempts = rows.mapInArrow(task, "partition long, folder string, files long").collect()
+    except Exception:
+        clean(path, run, set())
+        raise
+    commit(path, run, [Attempt(*r) for r in attempts])
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """folder_no (place of the folder in the manifest), name and content of committed files."""
     folders = committed(path)
