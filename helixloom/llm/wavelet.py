@@ -64,7 +64,10 @@ class Encoder:
         held = words.dictionary_encode()
         low = pc.if_else(pc.string_is_ascii(held.dictionary), pc.ascii_lower(held.dictionary), held.dictionary)
         core = pc.utf8_rtrim(low, _TRAILING)
-        cut = pc.and_(pc.not_equal(pc.binary_length(core), pc.binary_length(low)), pc.utf8_is_alnum(pc.utf8_slice_codeunits(core, -1)))
+        last = pc.utf8_slice_codeunits(core, -1)
+        # The one letter that ends in a mark once it is lowered is no boundary.
+        letter = pc.and_(pc.utf8_is_alnum(last), pc.not_equal(last, "\u0130"))
+        cut = pc.and_(pc.not_equal(pc.binary_length(core), pc.binary_length(low)), letter)
         core = pc.if_else(cut, core, low)
         tails = pa.array([w[len(c) :] for w, c in zip(strings(low.filter(cut)), strings(core.filter(cut)), strict=True)], pa.string())
         both = self.words.places(pa.concat_arrays([core, tails, pa.array([""])]))
@@ -227,16 +230,15 @@ def write(docs: DataFrame, path: str, encoder: Callable[[], object], shard_token
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.monotonically_increasing_id().alias("place"), F.col("text").cast("string").alias("text"))
     ordered = picked.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
         made, part = once(encoder), TaskContext.get().partitionId()
         held: list[np.ndarray] = []
         docs_of: list[int | None] = []
         lengths: list[int] = []
         n = first = no = 0
 
-        def file() -> pa.RecordBatch:
-            content = to_file(docs_of, lengths, np.concatenate(held), first, made.width)
-            return pa.RecordBatch.from_arrays([pa.array([f"{part:07d}-{no:07d}-{n}.wm"]), pa.array([content], pa.binary())], ["name", "content"])
+        def file() -> tuple[str, bytes]:
+            return f"{part:07d}-{no:07d}-{n}.wm", to_file(docs_of, lengths, np.concatenate(held), first, made.width)
 
         for batch in batches:
             for piece, _, _ in chunks(batch, most=SLICE_BYTES, rows=SLICE_ROWS):
@@ -246,14 +248,14 @@ def write(docs: DataFrame, path: str, encoder: Callable[[], object], shard_token
                         yield file()
                         first, no = first + n, no + 1
                         held, docs_of, lengths, n = [], [], [], 0
-                    held.append(flat[a:b])
+                    held.append(flat[a:b].astype(np.uint16 if made.width <= 16 else np.int32))
                     docs_of.append(d)
                     lengths.append(b - a)
                     n += b - a
         if docs_of:
             yield file()
 
-    blobs.write(ordered.mapInArrow(shards, "name string, content binary"), path)
+    blobs.write_made(ordered, shards, path)
 
 
 class WordTokenizer:
