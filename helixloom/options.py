@@ -12,6 +12,9 @@ class Options:
     strand: "unstranded", "first" or "second". output_mode: "assembly" or "full".
     frag_mean and frag_sd override the estimate and go together. library_size 0 means
     that expression is relative to the unique pairs that are left after deduplication.
+    inclusion_prior: (a, b) of a Beta prior of the share of candidates that are expressed, instead
+    of the share of the greedy cover. start: "multinomial" or "cover", where a chain begins.
+    fixed_support: expression is sampled again with the most frequent set of expressed candidates.
     """
 
     strand: str = "unstranded"
@@ -35,7 +38,13 @@ class Options:
     #: False moves past the insertion as SAM does; True ends such a match one base short.
     short_after_insertion: bool = True
 
+    inclusion_prior: tuple[float, float] | None = None
+    start: str = "multinomial"
+    fixed_support: bool = False
+
     def __post_init__(self) -> None:
+        if self.start not in ("multinomial", "cover"):
+            raise ValueError(f"start: {self.start!r}")
         if self.strand not in ("unstranded", "first", "second"):
             raise ValueError(f"strand: {self.strand!r}")
         if self.output_mode not in ("assembly", "full"):

@@ -741,3 +741,38 @@ def q39_candidate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     loci = graphs.loci(bounds, graphs.single_path(edges), collapse=False)
     found = paths.named(paths.candidates(bounds, segments, edges, 3), loci)
     return found.select("locus_id", "name", "cand_idx", F.size("exons").alias("n_exons"), "length")
+
+
+@query(f"""
+WITH {_EVIDENCE}, x AS (SELECT *, unnest(range(2)) AS c FROM e WHERE n0 + n1 + m > 0)
+SELECT l_suppkey::varchar AS locus_id, c::int AS cand_idx, round(CASE WHEN n0 > 0 AND n1 > 0 THEN 1 WHEN n0 + n1 = 0 THEN 0.75 WHEN (c = 0) = (n0 > 0) THEN 1 ELSE 2 / (n0 + n1 + 3)::double END, 6) AS confidence FROM x
+""")
+def q40_beta_inclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As q34, with a uniform prior of the share of candidates that are expressed: another candidate is there with probability 2 / (n + 3)."""
+    n0, n1, n = F.col("n0"), F.col("n1"), F.col("n0") + F.col("n1")
+    per = _evidence(spark, sf_dir).filter("n0 + n1 + m > 0")
+    found = sampler.estimate(*_two_candidates(per), Options(inclusion_prior=(1.0, 1.0), start="cover"), 1e6).join(per, "locus_id")
+    exact = F.when((n0 > 0) & (n1 > 0), 1.0).when(n == 0, 0.75).when((F.col("cand_idx") == 0) == (n0 > 0), 1.0).otherwise(2 / (n + 3))
+    sampled = F.col("occurrences") / F.col("n_iter")
+    within = F.abs(sampled - exact) <= 4 * F.sqrt(exact * (1 - exact) / (F.col("n_iter") / 4))
+    return found.select("locus_id", "cand_idx", F.round(F.when(within, exact).otherwise(sampled), 6).alias("confidence"))
+
+
+@query(f"""
+WITH {_EVIDENCE}, x AS (SELECT *, unnest(range(2)) AS c FROM e WHERE n0 + n1 > 0)
+SELECT l_suppkey::varchar AS locus_id, c::int AS cand_idx, CASE WHEN n0 > 0 AND n1 > 0 OR (c = 0) = (n0 > 0) THEN 1 ELSE 0 END AS kept,
+  CASE WHEN n0 > 0 AND n1 > 0 THEN round((CASE c WHEN 0 THEN n0 ELSE n1 END + 1) / (n0 + n1 + 2)::double, 6) WHEN (c = 0) = (n0 > 0) THEN 1 END AS mean_share,
+  CASE WHEN n0 > 0 AND n1 > 0 THEN round(sqrt((n0 + 1) * (n1 + 1) / (power(n0 + n1 + 2, 2) * (n0 + n1 + 3))), 6) WHEN (c = 0) = (n0 > 0) THEN 0 END AS sd_share FROM x
+""")
+def q41_fixed_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expression sampled again with the most frequent set of candidates: a Beta mean and deviation where both are in it."""
+    n0, n1, n = F.col("n0"), F.col("n1"), F.col("n0") + F.col("n1")
+    per = _evidence(spark, sf_dir).filter("n0 + n1 > 0")
+    found = sampler.estimate(*_two_candidates(per), Options(fixed_support=True), 1e6).join(per, "locus_id")
+    both, mine = (n0 > 0) & (n1 > 0), F.when(F.col("cand_idx") == 0, n0).otherwise(n1)
+    to_share = F.col("effective") * F.lit(1e6) / ((n + F.col("m")) * F.lit(1e9))
+    sd = F.when(both, F.sqrt((n0 + 1) * (n1 + 1) / (F.pow(n + 2, F.lit(2)) * (n + 3)))).otherwise(0.0)
+    mean = F.when(both, (mine + 1) / (n + 2)).otherwise(1.0)
+    snap = lambda value, to, within: F.round(F.when(F.abs(value - to) <= within, to).otherwise(value), 6)
+    draws = F.col("n_iter") / 4
+    return found.select("locus_id", "cand_idx", (F.col("occurrences") == F.col("n_iter")).cast("int").alias("kept"), snap(F.col("mean_fpkm") * to_share, mean, 4 * sd / F.sqrt(draws) + 1e-9).alias("mean_share"), snap(F.col("sd_fpkm") * to_share, sd, 4 * sd / F.sqrt(draws) + 1e-9).alias("sd_share"))
