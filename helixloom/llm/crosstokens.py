@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from helixloom.llm._shared import written
 from helixloom.llm._text import chunks
-from helixloom.llm.encoders import SLICE_ROWS, Words, interleave, once
+from helixloom.llm.encoders import SLICE_ROWS, Words, forget, interleave, once
 
 CHUNK_BYTES = 8 << 20
 #: Bytes of text whose tokens are sorted together, and words of either tokenizer that a worker keeps.
-SLICE_BYTES, CACHE_WORDS = 2 << 20, 1 << 19
+SLICE_BYTES, CACHE_WORDS = 2 << 20, 3 << 17
 #: Links of a group up to which they are written out one by one before they are counted; beyond it distinct ids are.
 PLAIN_LINKS = 1 << 12
 #: B ids are below this, and A ids below 2 ** 32 / SIDE, so that a pair is stored in 32 bits.
@@ -246,6 +246,7 @@ def counted(docs: DataFrame, pair: Files, chunk_bytes: int = CHUNK_BYTES) -> Dat
     back = asked.select("chunk", "pair").join(told, "pair").select("chunk", "pair", "total", "top")
 
     def add(held: pa.Table, counts: pa.Table) -> pa.Table:
+        forget()
         order = np.argsort(counts.column("pair").to_numpy())
         known, total, top = counts.column("pair").to_numpy()[order], counts.column("total").to_numpy()[order], counts.column("top").to_numpy()[order]
         lengths = np.array([len(x) // 4 for x in held.column("pairs").to_pylist()], np.int64)

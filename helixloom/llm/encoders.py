@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Words that a worker keeps; beyond that it forgets those that came up once.
-CACHE_WORDS = 5 << 17
+CACHE_WORDS = 1 << 19
 #: Bytes of text that are looked at together: the more, the fewer words come up again.
-SLICE_BYTES, SLICE_ROWS = 6 << 20, 1 << 16
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 1 << 16
 
 
 def strings(column: pa.Array) -> list[str]:
@@ -116,3 +116,8 @@ def once(make: Callable[[], object]) -> object:
         _made.clear()
         _made[key] = make()
     return _made[key]
+
+
+def forget() -> None:
+    """Lets go of what once() made, in a worker that goes on to something else."""
+    _made.clear()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixloom.llm._text import chunks
-from helixloom.llm.encoders import SLICE_BYTES, SLICE_ROWS, Words, interleave, once, strings
+from helixloom.llm.encoders import SLICE_BYTES, SLICE_ROWS, Words, forget, interleave, once, strings
 from helixloom.sources import blobs
 
 SHARD_TOKENS = 1 << 20
@@ -280,6 +280,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32, all from the files."""
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for folder, content in zip(batch.column("folder_no").to_pylist(), batch.column("content"), strict=True):
                 shard = Shard(content.as_py())
