@@ -776,3 +776,24 @@ def q41_fixed_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     snap = lambda value, to, within: F.round(F.when(F.abs(value - to) <= within, to).otherwise(value), 6)
     draws = F.col("n_iter") / 4
     return found.select("locus_id", "cand_idx", (F.col("occurrences") == F.col("n_iter")).cast("int").alias("kept"), snap(F.col("mean_fpkm") * to_share, mean, 4 * sd / F.sqrt(draws) + 1e-9).alias("mean_share"), snap(F.col("sd_fpkm") * to_share, sd, 4 * sd / F.sqrt(draws) + 1e-9).alias("sd_share"))
+
+
+@query("""
+WITH v AS (SELECT l_suppkey, l_suppkey % 5 AS ref, sum(l_quantity)::double AS v FROM lineitem GROUP BY ALL)
+SELECT l_suppkey, round(v / (100 + l_suppkey) / sum(v / (100 + l_suppkey)) OVER (PARTITION BY ref), 9) AS share FROM v
+""")
+def q42_expression_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the suppliers of a reference in what is expressed, relative to their lengths."""
+    values = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", (F.col("l_suppkey") % 5).alias("ref")).agg(F.sum("l_quantity").cast("double").alias("v"))
+    return lengths.normalise_expression(values.withColumn("length", F.lit(100) + F.col("l_suppkey")), "v", "length", ["ref"]).select("l_suppkey", F.round("share", 9).alias("share"))
+
+
+@query(f"""
+WITH m AS (SELECT count(*) AS mapped FROM ({_RECORDS})), u AS (SELECT count(*) AS pairs FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE 1 + l_partkey % 3 = 1))
+SELECT mapped, pairs, round(CASE WHEN mapped = 0 THEN 0 ELSE 5000000 * (2 * pairs / mapped::double) END, 4) AS relative FROM m, u
+""")
+def q43_library_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What expression is relative to when the number of sequenced pairs is given: its part that is left as unique pairs."""
+    pairs = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct((1 + F.col("l_partkey") % 3).alias("nh")).alias("b")).dropDuplicates(["l_orderkey", "b"])
+    found = dedup.library_counts(_records(spark, sf_dir), pairs, Options(library_size=5_000_000))
+    return spark.createDataFrame([found], "mapped long, pairs long, relative double").select("mapped", "pairs", F.round("relative", 4).alias("relative"))
