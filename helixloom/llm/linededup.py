@@ -36,6 +36,7 @@ MIN_LINES = 3
 MIN_WORDS = 50
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
+_INK = "[^\\x20\\x09-\\x0D]"
 _KEY = "coalesce(cast(doc_id as bigint), -9223372036854775808)"
 
 
@@ -121,24 +122,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     found = repeated(kept).select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("lines").alias("__lines"))
     keyed = kept.withColumn("text", text).withColumn("__k", F.expr(_KEY)).withColumn("__v", F.xxhash64(text))
-    # By sort and merge whatever the size of the table, as the documents are large either way.
-    joined = keyed.join(found.hint("merge"), (F.col("__k") == F.col("__doc")) & (F.col("__v") == F.col("__version")), "left").drop("__k", "__v", "__doc", "__version")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "__lines"] + ["n_lines int", "n_removed int"])
-    names = [c for c in joined.columns if c != "__lines"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, raw, offsets in chunks(batch):
-                _, _, first, some = trimmed_lines(raw, offsets)
-                texts = part.column("text").to_pylist()
-                gone = [set(x) if x else None for x in part.column("__lines").to_pylist()]
-                for i, cut in enumerate(gone):
-                    if cut:
-                        place = np.cumsum(some[first[i] : first[i + 1]]) - 1
-                        held = [line for line, p, s in zip(texts[i].split("\n"), place, some[first[i] : first[i + 1]], strict=True) if not s or p not in cut]
-                        texts[i] = "\n".join(held)
-                columns = [pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in names]
-                counts = [pa.array(per_row(some, first), pa.int32()), pa.array([len(c or ()) for c in gone], pa.int32())]
-                yield pa.RecordBatch.from_arrays([*columns, *counts], [*names, *RESULTS])
-
-    return joined.mapInArrow(run, schema)
+    # The documents stream past their places, which are hashed: a small part of what the texts of a partition take. Cutting
+    # stays in the JVM, so no task holds its texts sorted, in Arrow buffers or in a Python worker as well.
+    joined = keyed.join(found.hint("shuffle_hash"), (F.col("__k") == F.col("__doc")) & (F.col("__v") == F.col("__version")), "left").drop("__k", "__v", "__doc", "__version")
+    # Columns of their own, as what is used several times, or in a function, is to be worked out once for a document.
+    split = joined.withColumn("__parts", F.split("text", "\n", -1)).withColumn("__ink", F.array_compact(F.transform("__parts", lambda x, i: F.when(x.rlike(_INK), i))))
+    gone = F.transform("__lines", lambda p: F.get("__ink", p))
+    left = split.withColumn("__left", F.when(F.col("__lines").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), gone)))
+    cut = F.array_join(F.transform("__left", lambda i: F.get("__parts", i)), "\n")
+    results = {"text": F.coalesce(cut, "text"), "n_lines": F.coalesce(F.array_size("__ink"), F.lit(0)), "n_removed": F.coalesce(F.array_size("__lines"), F.lit(0))}
+    return left.withColumns(results).drop("__lines", "__parts", "__ink", "__left")

@@ -100,6 +100,19 @@ def test_run_shared_with_a_second_holder_only(spark):
     assert {r["doc"]: set(r["lines"]) for r in linededup.repeated(df).collect()} == {22: {0, 1, 2}} == whole_rule(rows)
 
 
+def test_texts_are_cut_without_sorting_them_or_leaving_the_jvm(spark):
+    # One document of 30,000 lines loses every second run of three; places are counted without the blank lines.
+    runs = [[f"r{k} {j}" for j in range(3)] for k in range(5000)]
+    own = [[f"own {k} {j}" for j in range(3)] for k in range(5000)]
+    rows = [(k, "\n".join(run)) for k, run in enumerate(runs)]
+    rows += [(9000, "\n \n".join("\n".join(run) for pair in zip(runs, own, strict=True) for run in pair)), (9001, "\u3000\n\x0b\t\r\n\x1c\n"), (9002, None)]
+    found = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: tuple(r)[1:] for r in found.filter("doc_id > 8999").collect()}
+    assert got == {9000: (" \n" + "\n \n \n".join("\n".join(run) for run in own), 30_000, 15_000), 9001: ("\u3000\n\x0b\t\r\n\x1c\n", 2, 0), 9002: (None, 0, 0)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and not any(x in plan for x in ("MapInArrow", "SortMergeJoin"))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert linededup.dedup_lines(df).collect() == []
