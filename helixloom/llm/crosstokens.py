@@ -1,10 +1,13 @@
 """Alignment of two tokenizers' tokens over each text.
 
-Both token sequences cover the same bytes (a space and the text). All tokens of a slice of
-texts are sorted by start, the running maximum of their ends is taken, and a group ends where a start reaches it.
+Both token sequences cover the same bytes (a space and the text). All tokens of a batch
+are sorted by start, the running maximum of their ends is taken, and a group ends where a start reaches it.
 Every token of one side is linked with every token of the other side in its
 group. An id pair's count is the number of documents that hold it linked.
 
+Tokens of both sides end where a word does, so no group reaches over it: a worker aligns a
+word that it has seen before only once, and a text's groups and links are those of its words in turn.
+
 Documents are encoded once and written with their distinct pairs, in chunks of about
 CHUNK_BYTES of text. A chunk asks for the counts of its pairs once, so a pair that all documents have
 is one row for each chunk and no key is hot; counts come back to chunks, not to documents. What is broadcast is
@@ -31,11 +34,13 @@ from pyspark.sql import functions as F
 
 from helixloom.llm._shared import written
 from helixloom.llm._text import chunks
-from helixloom.llm.encoders import SLICE_ROWS, Words, forget, interleave, once
+from helixloom.llm.encoders import SLICE_ROWS, Grown, forget, gather, once, strings
 
 CHUNK_BYTES = 8 << 20
-#: Bytes of text whose tokens are sorted together, and words of either tokenizer that a worker keeps.
-SLICE_BYTES, CACHE_WORDS = 2 << 20, 3 << 17
+#: Bytes of text that are looked at together, and words and pairs of words that a worker keeps.
+SLICE_BYTES, CACHE_WORDS, CACHE_PAIRS = 2 << 20, 3 << 17, 1 << 22
+#: New words that are aligned together, and those that go to a tokenizer as one text.
+BATCH_WORDS, JOINED_WORDS = 1 << 13, 1 << 8
 #: Links of a group up to which they are written out one by one before they are counted; beyond it distinct ids are.
 PLAIN_LINKS = 1 << 12
 #: B ids are below this, and A ids below 2 ** 32 / SIDE, so that a pair is stored in 32 bits.
@@ -76,39 +81,65 @@ class Pair:
         self.bytes_a = [bytes(map(alphabet.__getitem__, t)) if all(c in alphabet for c in t) else t.encode() for t in entry]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.len_a, self.len_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.words_a, self.words_b = Words(self._a, CACHE_WORDS), Words(self._b, CACHE_WORDS)
+        self.known = Known(self)
         # What a token adds to the digest's text: its id behind a comma (the same side), a bar (side B begins) or a semicolon (a group begins).
         self.printed = [(f"{sep}{i}").encode() for sep in ",|;" for i in range(max(size, len(pieces)))]
-        self.ids = max(size, len(pieces))
-
-    def _a(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
-
-    def _b(self, words: list[str]) -> list[list[int]]:
-        return self.b.encode(words, num_threads=1)
-
-    def encode(self, texts: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-        """(ids, bounds of texts) of both sides, without tokens where the bytes differ."""
-        texts = pc.fill_null(texts, "")
-        odd = pc.or_(pc.match_substring_regex(texts, WHOLE), pc.equal(texts, "")).to_numpy(zero_copy_only=False).astype(bool)
-        split = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
-        words = split.flatten()
-        rows = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        rest = [t for t in texts.filter(pa.array(odd)).to_pylist()]
+        self.ids, self.len_printed = max(size, len(pieces)), np.array(list(map(len, self.printed)))
+
+    def _a(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+
+    def _b(self, texts: list[str]) -> list[list[int]]:
+        return self.b.encode(texts, num_threads=1)
+
+    def whole(self, texts: list[str]) -> Sides:
+        """(ids, bounds of texts) of both sides, without tokens where the bytes differ, and where they don't; each text by itself."""
+        return self._equal(texts, [_flat(encode(texts) if texts else []) for encode in (self._a, self._b)])
+
+    def by_word(self, words: list[str]) -> Sides:
+        """The same for words without gaps: as a text of many words, divided where they end. Words of a text in which no token ends there go by themselves."""
+        lines = [words[i : i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
+        ends = [np.cumsum([len(w.encode()) + 1 for w in line]) for line in lines]
         sides = []
-        for cache, table, encode in ((self.words_a, self.bytes_a, self._a), (self.words_b, self.bytes_b, self._b)):
-            flat, bounds = cache.ids(words)
-            sides.append((table, *interleave(~odd, (flat, bounds[rows]), [encode([t])[0] if t else [] for t in rest])))
-        wanted = [b" " + t.encode() if t else b"" for t in texts.to_pylist()]
+        for encode, length in ((self._a, self.len_a), (self._b, self.len_b)):
+            flat, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+            for line, end, ids in zip(lines, ends, encode([" ".join(line) for line in lines]) if lines else [], strict=True):
+                ids = np.array(ids, np.int32)
+                reach = np.cumsum(length[ids])
+                at = np.searchsorted(reach, end)
+                if len(ids) and reach[-1] == end[-1] and (reach[at] == end).all():
+                    n = np.diff(at, prepend=-1)
+                else:
+                    ids, bounds = _flat(encode(line))
+                    n = np.diff(bounds)
+                flat.append(ids)
+                counts.append(n)
+            sides.append((np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(counts))])))
+        return self._equal(words, sides)
+
+    def _equal(self, texts: list[str], sides: list[tuple[np.ndarray, np.ndarray]]) -> Sides:
+        wanted = [f" {t}".encode() for t in texts]
+        ends, together = np.cumsum([0, *map(len, wanted)]), b"".join(wanted)
         kept = np.ones(len(wanted), bool)
-        for table, ids, bounds in sides:
+        for table, length, (ids, bounds) in zip((self.bytes_a, self.bytes_b), (self.len_a, self.len_b), sides, strict=True):
             listed = ids.tolist()
-            kept &= np.array([b"".join(map(table.__getitem__, listed[a:b])) == w for w, (a, b) in zip(wanted, itertools.pairwise(bounds.tolist()), strict=True)], bool)
+            # All at once; one by one only where that shows a difference.
+            if not np.array_equal(np.concatenate([[0], np.cumsum(length[ids])])[bounds], ends) or b"".join(map(table.__getitem__, listed)) != together:
+                kept &= np.array([b"".join(map(table.__getitem__, listed[a:b])) == w for w, (a, b) in zip(wanted, itertools.pairwise(bounds.tolist()), strict=True)], bool)
         out = []
-        for _, ids, bounds in sides:
+        for ids, bounds in sides:
             n = np.where(kept, np.diff(bounds), 0)
             out.append((ids[np.repeat(kept, np.diff(bounds))], np.concatenate([[0], np.cumsum(n)])))
-        return out[0], out[1]
+        return out[0], out[1], kept
+
+
+#: (ids, bounds of texts) of the one tokenizer and of the other, and of which texts they have the bytes.
+Sides = tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
+    return np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(bounds[-1])), bounds
 
 
 class Files:
@@ -157,10 +188,10 @@ ALIGNED = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links l
 _TYPES = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string()), ("pairs", pa.binary()), ("times", pa.binary())])
 
 
-def _slice(pair: Pair, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    """Columns n_a to groups_sha256 of some texts, and their distinct (text, pair, times)."""
-    (a, bounds_a), (b, bounds_b) = pair.encode(texts)
-    n = len(texts)
+def aligned(pair: Pair, sides: Sides) -> tuple[list[np.ndarray], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """n_a, n_b, n_groups and n_links of each text, its groups as the digest has them, and the distinct (text, pair, times)."""
+    (a, bounds_a), (b, bounds_b), kept = sides
+    n = len(kept)
     order, group = coalesce(pair.len_a[a], pair.len_b[b])
     of = np.empty(len(order), np.int64)
     of[order] = group
@@ -170,26 +201,106 @@ def _slice(pair: Pair, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray, n
     text_of = np.zeros(n_groups, np.int64)
     text_of[group_a] = np.repeat(np.arange(n), np.diff(bounds_a))
     group, pairs, times = links(a, group_a, b, group_b, n_groups)
-    key = np.lexsort((pairs, text_of[group]))
-    text, pairs, times = text_of[group][key], pairs[key], times[key]
-    new = np.ones(len(key), bool)
-    new[1:] = (text[1:] != text[:-1]) | (pairs[1:] != pairs[:-1])
-    at = np.flatnonzero(new)
-    times = np.add.reduceat(times, at) if len(at) else times
-    text, pairs = text[at], pairs[at]
+    text, pairs, times = _summed(text_of[group], pairs, times)
     # By group, A before B: printed ids of which the first of a side or a group has its own mark before it.
     ids, side = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)])
-    place = np.lexsort((np.arange(len(of)), side, of))
+    place = np.argsort(of * 2 + side, kind="stable")
     mark = np.zeros(len(place), np.int64)
     mark[1:] = np.where(of[place][1:] != of[place][:-1], 2, side[place][1:] != side[place][:-1])
-    codes = (mark * pair.ids + ids[place]).tolist()
-    cuts = (bounds_a + bounds_b).tolist()
-    digest = []
-    for s, e in itertools.pairwise(cuts):
-        head = pair.printed[codes[s] % pair.ids][1:] if e > s else b""
-        digest.append(hashlib.sha256(head + b"".join(map(pair.printed.__getitem__, codes[s + 1 : e]))).hexdigest() if e > s else "")
-    per = [np.diff(bounds_a), np.diff(bounds_b), np.bincount(text_of, minlength=n)[:n], np.bincount(text, times, n).astype(np.int64)[:n]]
-    return [*per, digest], text, pairs, times
+    codes = mark * pair.ids + ids[place]
+    printed = b"".join(map(pair.printed.__getitem__, codes.tolist()))
+    cuts = np.concatenate([[0], np.cumsum(pair.len_printed[codes])])[bounds_a + bounds_b]
+    # The mark before a text's first id is left out.
+    shown = [printed[s + 1 : e] for s, e in itertools.pairwise(cuts.tolist())]
+    return [np.diff(bounds_a), np.diff(bounds_b), np.bincount(text_of, minlength=n)[:n], np.bincount(text, times, n).astype(np.int64)[:n]], shown, text, pairs, times
+
+
+def _summed(text: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, pair) in order, with their times together."""
+    key = (text << 32) | pairs
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[at] >> 32, key[at] & 0xFFFFFFFF, np.add.reduceat(times[order], at) if len(at) else times
+
+
+class Known:
+    """Alignments of the words that a worker has seen: up to CACHE_WORDS words and about CACHE_PAIRS pairs of ids."""
+
+    def __init__(self, pair: Pair) -> None:
+        self.pair = pair
+        self.place: dict[str, int] = {}
+        self.shown: list[bytes] = []
+        self.per = [Grown(np.int64) for _ in range(4)]
+        self.sound, self.seen, self.starts, self.lengths = Grown(bool), Grown(np.int32), Grown(np.int64), Grown(np.int64)
+        self.pairs, self.times = Grown(np.uint32), Grown(np.int64)
+
+    def _add(self, words: list[str], per: list[np.ndarray], shown: list[bytes], sound: np.ndarray, seen: np.ndarray, lengths: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> None:
+        self.place.update(zip(words, itertools.count(len(self.place))))
+        self.shown += shown
+        self.starts.extend(self.pairs.n + np.cumsum(lengths) - lengths)
+        for grown, values in zip((*self.per, self.sound, self.seen, self.lengths, self.pairs, self.times), (*per, sound, seen, lengths, pairs, times), strict=True):
+            grown.extend(values)
+
+    def _forget(self) -> None:
+        """Keeps the words that came up again, unless they are most of all."""
+        kept = [(w, at) for w, at in self.place.items() if self.seen.held[at] > 1]
+        at = np.array([at for _, at in kept], np.int64)
+        if 2 * len(kept) >= CACHE_WORDS or 2 * self.lengths.held[at].sum() >= CACHE_PAIRS:
+            kept, at = [], at[:0]
+        pairs, times = self.linked(at)
+        rows = [w for w, _ in kept], [g.held[at] for g in self.per], [self.shown[i] for i in at.tolist()], self.sound.held[at], self.seen.held[at], self.lengths.held[at], pairs, times
+        self.__init__(self.pair)
+        self._add(*rows)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """For each word where its alignment is kept, until the next call."""
+        held = words.dictionary_encode()
+        unique = strings(held.dictionary)
+        if len(self.place) + len(unique) > CACHE_WORDS or self.pairs.n > CACHE_PAIRS:
+            self._forget()
+        new = pa.array([w for w in unique if w not in self.place], pa.string())
+        gap = pc.match_substring_regex(new, _GAP)
+        for some, encode in ((new.filter(pc.invert(gap)), self.pair.by_word), (new.filter(gap), self.pair.whole)):
+            for i in range(0, len(some), BATCH_WORDS):
+                listed = strings(some.slice(i, BATCH_WORDS))
+                sides = encode(listed)
+                per, shown, of, pairs, times = aligned(self.pair, sides)
+                self._add(listed, per, shown, sides[2], np.zeros(len(listed), np.int32), np.bincount(of, minlength=len(listed)), pairs.astype(np.uint32), times)
+        of = np.fromiter(map(self.place.__getitem__, unique), np.int64, len(unique))
+        self.seen.held[of] += 1
+        return of[held.indices.to_numpy(zero_copy_only=False)] if len(words) else of
+
+    def linked(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs and times of the words at these places in turn."""
+        return tuple(gather(g.held, self.starts.held[places], self.lengths.held[places])[0] for g in (self.pairs, self.times))
+
+
+def _slice(pair: Pair, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Columns n_a to groups_sha256 of some texts, and their distinct (text, pair, times)."""
+    texts, n, known = pc.fill_null(texts, ""), len(texts), pair.known
+    some = pc.not_equal(texts, "").to_numpy(zero_copy_only=False).astype(bool)
+    odd = some & pc.match_substring_regex(texts, WHOLE).to_numpy(zero_copy_only=False).astype(bool)
+    split = pc.split_pattern(texts.filter(pa.array(some & ~odd)), " ")
+    places = known.places(split.flatten())
+    row = np.repeat(np.flatnonzero(some & ~odd), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    # Texts with a word whose bytes differ are encoded and compared whole.
+    unsound = np.bincount(row[~known.sound.held[places]], minlength=n) > 0
+    row, places, odd = row[~unsound[row]], places[~unsound[row]], odd | unsound
+    per = [np.bincount(row, g.held[places], n).astype(np.int64) for g in known.per]
+    listed = places.tolist()
+    shown = [b";".join(map(known.shown.__getitem__, listed[s:e])) for s, e in itertools.pairwise(np.searchsorted(row, np.arange(n + 1)).tolist())]
+    held, count = np.unique((row << 32) | places, return_counts=True)
+    each = known.lengths.held[held & 0xFFFFFFFF]
+    pairs, times = known.linked(held & 0xFFFFFFFF)
+    rest = np.flatnonzero(odd)
+    more, whole, text, *linked = aligned(pair, pair.whole(texts.take(pa.array(rest)).to_pylist()))
+    for column, values in zip(per, more, strict=True):
+        column[rest] = values
+    for i, groups in zip(rest.tolist(), whole, strict=True):
+        shown[i] = groups
+    text, pairs, times = _summed(np.concatenate([np.repeat(held >> 32, each), rest[text]]), np.concatenate([pairs.astype(np.int64), linked[0]]), np.concatenate([times * np.repeat(count, each), linked[1]]))
+    return [*per, [hashlib.sha256(x).hexdigest() if x else "" for x in shown]], text, pairs, times
 
 
 def align(docs: DataFrame, pair: Files, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

@@ -24,7 +24,7 @@ def strings(column: pa.Array) -> list[str]:
     return column.to_numpy(zero_copy_only=False).tolist()
 
 
-class _Grown:
+class Grown:
     """An array that takes more."""
 
     def __init__(self, kind: type) -> None:
@@ -43,7 +43,7 @@ class Words:
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = CACHE_WORDS) -> None:
         self.encode, self.most = encode, most
         self.place: dict[str, int] = {}
-        self.flat, self.starts, self.lengths, self.times = _Grown(np.int32), _Grown(np.int64), _Grown(np.int64), _Grown(np.int32)
+        self.flat, self.starts, self.lengths, self.times = Grown(np.int32), Grown(np.int64), Grown(np.int64), Grown(np.int32)
 
     def _forget(self) -> None:
         """Keeps the words that came up again, unless they are most of all."""

@@ -84,6 +84,26 @@ def test_alignment_against_a_plain_version(spark, monkeypatch, plain):
     assert got == aligned_plainly(docs)
 
 
+def test_words_are_aligned_once_for_a_worker(monkeypatch):
+    monkeypatch.setattr(crosstokens, "CACHE_WORDS", 300)
+    monkeypatch.setattr(crosstokens, "JOINED_WORDS", 7)
+    pair, asked = both()(), []
+    for side in "_a", "_b":
+        monkeypatch.setattr(pair, side, lambda texts, f=getattr(pair, side): asked.extend(x for t in texts for x in t.split(" ")) or f(texts))
+    rng = random.Random(4)
+    rare = ["ﬁn", "x\x00y", "e\u0301t\u0301e", "＃a", "½", "\u200bz", "＝＝"]
+    word = lambda: rng.choice(rare) if rng.random() < 0.02 else "".join(rng.choice("abcde,.é🙂") for _ in range(rng.randrange(1, 4)))
+    texts = [" ".join(word() for _ in range(rng.randrange(1, 30))) for _ in range(400)] + ["often seen, often read"] * 50 + [None, ""]
+    texts += odd_texts(100)
+    whole = {texts[d]: (*row, digest) for d, *row, _, _, digest in aligned_plainly(list(enumerate(texts)))}
+    for at in range(0, len(texts), 40):
+        some = texts[at : at + 40]
+        per, of, pairs, times = crosstokens._slice(pair, crosstokens.pa.array(some, "string"))
+        assert list(zip(*[x.tolist() for x in per[:4]], per[4], strict=True)) == [whole[t] for t in some]
+        assert np.bincount(of, times, len(some)).tolist() == per[3].tolist() and len(set(zip(of.tolist(), pairs.tolist(), strict=True))) == len(of)
+    assert len(pair.known.place) <= 600 and asked.count("often") <= 8
+
+
 def test_alignment_of_empty_tables(spark):
     assert crosstokens.counted(spark.createDataFrame([], "doc_id long, text string"), both()).collect() == []
     assert [tuple(r) for r in crosstokens.counted(spark.createDataFrame([(1, None)], "doc_id long, text string"), both()).collect()] == [(1, 0, 0, 0, 0, 0, 0, "")]
