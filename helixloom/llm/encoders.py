@@ -38,13 +38,18 @@ class Grown:
 
 
 class Words:
-    """Ids of words from ``encode``, which maps a list of strings to their ids."""
+    """Ids of words from ``encode``, which maps a list of strings to their ids, or from ``joined``, which gives all ids in turn and each word's bounds."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = CACHE_WORDS) -> None:
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = CACHE_WORDS, joined: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None) -> None:
+        self.encode, self.most, self.joined = encode, most, joined or self._listed
         self.place: dict[str, int] = {}
         self.flat, self.starts, self.lengths, self.times = Grown(np.int32), Grown(np.int64), Grown(np.int64), Grown(np.int32)
 
+    def _listed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.encode(words)
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        return np.fromiter(itertools.chain.from_iterable(found), np.int32, int(bounds[-1])), bounds
+
     def _forget(self) -> None:
         """Keeps the words that came up again, unless they are most of all."""
         kept = [(w, at) for w, at in self.place.items() if self.times.held[at] > 1]
@@ -52,7 +57,7 @@ class Words:
         at = np.array([at for _, at in kept], np.int64)
         flat, bounds = self.gathered(at)
         times = self.times.held[at]
-        self.__init__(self.encode, self.most)
+        self.__init__(self.encode, self.most, self.joined)
         self.place = {w: i for i, (w, _) in enumerate(kept)}
         for grown, values in ((self.flat, flat), (self.starts, bounds[:-1]), (self.lengths, np.diff(bounds)), (self.times, times)):
             grown.extend(values)
@@ -63,17 +68,18 @@ class Words:
         unique = strings(held.dictionary)
         if len(self.place) + len(unique) > self.most:
             self._forget()
-        new = [w for w, at in zip(unique, map(self.place.get, unique), strict=True) if at is None]
+        of = np.fromiter(map(self.place.get, unique, itertools.repeat(-1)), np.int64, len(unique))
+        unseen = of < 0
+        new = list(itertools.compress(unique, unseen))
+        of[unseen] = len(self.place) + np.arange(len(new))
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
-            found = self.encode(some)
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self.starts.extend(self.flat.n + np.cumsum(lengths) - lengths)
-            self.lengths.extend(lengths)
+            flat, bounds = self.joined(some)
+            self.starts.extend(self.flat.n + bounds[:-1])
+            self.lengths.extend(np.diff(bounds))
             self.times.extend(np.zeros(len(some), np.int32))
-            self.flat.extend(np.fromiter(itertools.chain.from_iterable(found), np.int32, int(lengths.sum())))
+            self.flat.extend(flat)
             self.place.update(zip(some, itertools.count(len(self.place))))
-        of = np.fromiter(map(self.place.__getitem__, unique), np.int64, len(unique))
         self.times.held[of] += 1
         return of[held.indices.to_numpy(zero_copy_only=False)] if len(words) else of
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import string
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -29,22 +30,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixloom.llm._text import chunks
-from helixloom.llm.encoders import SLICE_BYTES, SLICE_ROWS, Words, forget, interleave, once, strings
+from helixloom.llm._text import chunks, column_bytes
+from helixloom.llm.encoders import SLICE_BYTES, SLICE_ROWS, Words, forget, gather, interleave, once, strings
 from helixloom.sources import blobs
 
 SHARD_TOKENS = 1 << 20
 BLOCK_BYTES = 4096
 END = 1
 MAGIC = b"WMTX0001"
-_TRAILING = ".,;:!?"
+#: Words of letters that go to the tokenizer as one text, and the letters up to which they do, as the library holds many bytes for each.
+JOINED_WORDS, JOINED_LETTERS = 1024, 64
+_TRAILING = string.punctuation
 
 
 class Encoder:
     """Ids of texts with a tokenizer that drops white space and whose words end at it, each text followed by ``end``.
 
-    A word is looked up without capitals A-Z and without punctuation at its end, as
-    the tokenizer lowers letters and cuts between letters or numbers and punctuation. Texts that may
+    A word is looked up without capitals A-Z and without ASCII punctuation at its end, as
+    the tokenizer lowers letters and cuts between letters or numbers and punctuation; behind which letters it
+    does is asked of the library, as some end in a mark once they are lowered or composed. Texts that may
     hold a special token go to the library whole.
     """
 
@@ -54,22 +58,60 @@ class Encoder:
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
         self.width = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
-        self.words = Words(self._ids)
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix:
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.cut_behind: dict[str, bool] = {"": False}
+        self.words = Words(self._ids, joined=self._joined)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in turn and their bounds, most words of letters from one text.
+
+        Each such word has at least one id that ends a word, so if a text has as many of these as words, each
+        ends one word. If not, as where a letter is composed of a letter and a mark, its words go one by one.
+        """
+        letters = np.fromiter((len(w) <= JOINED_LETTERS and w.isalpha() for w in words), bool, len(words)) & bool(self.last.any())
+        plain = list(itertools.compress(words, letters))
+        groups = [plain[i : i + JOINED_WORDS] for i in range(0, len(plain), JOINED_WORDS)]
+        flat, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for group, found in zip(groups, self._ids([" ".join(g) for g in groups]), strict=True):
+            ids = np.array(found, np.int32)
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) == len(group) and ends[-1] == len(ids) - 1:
+                n = np.diff(ends, prepend=-1)
+            else:
+                each = self._ids(group)
+                ids, n = np.array([i for one in each for i in one], np.int32), np.array([len(one) for one in each])
+            flat.append(ids)
+            lengths.append(n)
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+        return interleave(letters, (np.concatenate(flat), bounds), self._ids(list(itertools.compress(words, ~letters))))
+
+    def _cut(self, letters: pa.Array) -> pa.Array:
+        """Whether the tokenizer cuts between each letter and punctuation behind it."""
+        held = letters.dictionary_encode()
+        unique = strings(held.dictionary)
+        new = [c for c in unique if c not in self.cut_behind]
+        alone = self._ids([".", *new])
+        for c, ids, both in zip(new, alone[1:], self._ids([c + "." for c in new]), strict=True):
+            self.cut_behind[c] = both == ids + alone[0]
+        return pa.array(np.array([self.cut_behind[c] for c in unique], bool)).take(held.indices)
+
     def _by_word(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words in turn and each word's bounds, from its letters and its punctuation."""
         held = words.dictionary_encode()
         low = pc.if_else(pc.string_is_ascii(held.dictionary), pc.ascii_lower(held.dictionary), held.dictionary)
         core = pc.utf8_rtrim(low, _TRAILING)
-        last = pc.utf8_slice_codeunits(core, -1)
-        # The one letter that ends in a mark once it is lowered is no boundary.
-        letter = pc.and_(pc.utf8_is_alnum(last), pc.not_equal(last, "\u0130"))
-        cut = pc.and_(pc.not_equal(pc.binary_length(core), pc.binary_length(low)), letter)
+        cut = pc.and_(pc.not_equal(pc.binary_length(core), pc.binary_length(low)), self._cut(pc.utf8_slice_codeunits(core, -1)))
         core = pc.if_else(cut, core, low)
-        tails = pa.array([w[len(c) :] for w, c in zip(strings(low.filter(cut)), strings(core.filter(cut)), strict=True)], pa.string())
+        raw, at = column_bytes(low.filter(cut))
+        before = pc.binary_length(core.filter(cut)).to_numpy(zero_copy_only=False)
+        tails, ends = gather(raw, at[:-1] + before, np.diff(at) - before)
+        tails = pa.StringArray.from_buffers(len(before), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(tails))
         both = self.words.places(pa.concat_arrays([core, tails, pa.array([""])]))
         behind = np.full(len(core), both[-1])
         behind[np.flatnonzero(cut.to_numpy(zero_copy_only=False))] = both[len(core) : -1]

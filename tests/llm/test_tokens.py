@@ -129,6 +129,39 @@ def shards_plainly(docs):
     return out
 
 
+def encoded_plainly(tokenizer, texts):
+    return [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+
+
+@pytest.mark.parametrize("joined", [1024, 3, 1])
+def test_words_of_letters_go_to_the_library_as_one_text(monkeypatch, joined):
+    asked, ids = [], wavelet.Encoder._ids
+    monkeypatch.setattr(wavelet.Encoder, "_ids", lambda self, texts: asked.extend(texts) or ids(self, texts))
+    monkeypatch.setattr(wavelet, "JOINED_WORDS", joined, raising=False)
+    encoder = wavelet.WordTokenizer(P.path("word_bpe_49k.json"))()
+    rng = random.Random(5)
+    new = ["".join(rng.choice("abcdeéñßж日") for _ in range(rng.randint(4, 12))) for _ in range(3000)] + [c * 5000 for c in "abcde"]
+    texts = [" ".join(w + rng.choice(["", "", ".", "%%%", "'", '")']) for w in new[i : i + 30]) for i in range(0, len(new), 30)]
+    flat, bounds = encoder.encode(encoders.pa.array(texts))
+    assert [flat[a:b].tolist() for a, b in itertools.pairwise(bounds)] == encoded_plainly(encoder.tokenizer, texts)
+    assert joined < 1024 or len(asked) < 100
+    assert max(len(t) for t in asked) < 20_000
+
+
+@pytest.mark.parametrize("joined", [1024, 2])
+def test_letters_that_are_composed_of_a_letter_and_a_mark(monkeypatch, joined):
+    monkeypatch.setattr(wavelet, "JOINED_WORDS", joined, raising=False)
+    odd = ["\u0958", "\ufb4b", "\u0130", "\u212b", "\u1e9b", "e\u0301", "\u1100", "\u1161", "\u11a8", "\u3000", "\x85", "\x1c", "\u200b", "\u00b2", "\U0001df25", "\U0001e030", "\ua7cd", "\u0338", "\u02bc", "\u03a3"]
+    ends = [".", "!", "%%%", "'", "''", "\"", "'s", "'s'", "</w>", "<", ">", "=", "_", "-", "`", "~^", "$1", "\u0338", ""]
+    rng = random.Random(6)
+    texts = [o + e for o in odd for e in ends] + ["a" + o + "b" + e for o in odd for e in ends]
+    texts += [" ".join(rng.choice([*odd, "plain", "words"]) + rng.choice(["", "", "x"]) + rng.choice(ends) for _ in range(20)) for _ in range(100)]
+    encoder = wavelet.WordTokenizer(P.path("word_bpe_49k.json"))()
+    for some in (texts, texts[::-1], [t for t in texts for _ in range(2)]):
+        flat, bounds = encoder.encode(encoders.pa.array(some))
+        assert [flat[a:b].tolist() for a, b in itertools.pairwise(bounds)] == encoded_plainly(encoder.tokenizer, some)
+
+
 @pytest.mark.parametrize("shard_tokens", [1 << 20, 40])
 def test_shards_against_a_plain_version(spark, tmp_path, shard_tokens):
     docs = list(enumerate(odd_texts()))
