@@ -57,3 +57,21 @@ def test_single_loci_come_from_a_run_over_all(spark, monkeypatch):
         FROM u GROUP BY l_suppkey HAVING count(*) >= 12 AND bool_or(t < 200) AND bool_or(t + len > 600)""")
     rows = sorted(map(tuple, found.collect()))
     assert rows == sorted(map(tuple, want.collect())) and rows
+
+
+def shifted_by(spark, tmp_path, by):
+    """Order lines whose odd suppliers have keys larger by ``by``."""
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    lines.withColumn("l_suppkey", F.col("l_suppkey") + F.when(F.col("l_suppkey") % 2 == 1, by).otherwise(0)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    return str(tmp_path)
+
+
+def of_large_keys(spark, tmp_path, query, *columns):
+    """Sorted rows of a query for suppliers whose keys are moved by 359,910, and those of the keys as they are; both are multiples of 3, 5 and 10."""
+    found = query(spark, shifted_by(spark, tmp_path, 359_910)).select(*columns).collect()
+    return sorted(map(tuple, found)), sorted(map(tuple, query(spark, SMALL).select(*columns).collect()))
+
+
+def test_status_of_suppliers_beyond_the_positions_of_a_reference(spark, tmp_path):
+    found, want = of_large_keys(spark, tmp_path, queries.q25_status, "return_code", "n")
+    assert found == want and found
