@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from helixloom.operators import sampler
 from helixloom.options import Options
-from helixloom.plans import queries
+from helixloom.plans import queries, synthetic
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -75,3 +75,13 @@ def of_large_keys(spark, tmp_path, query, *columns):
 def test_status_of_suppliers_beyond_the_positions_of_a_reference(spark, tmp_path):
     found, want = of_large_keys(spark, tmp_path, queries.q25_status, "return_code", "n")
     assert found == want and found
+
+
+def test_reads_of_large_keys_lie_in_their_loci(spark, tmp_path):
+    lines = spark.read.parquet(shifted_by(spark, tmp_path, 359_910))
+    graph_table, segments, _ = synthetic.splice_graphs(lines)
+    ends = graph_table.groupBy("ref").agg(F.max("right").alias("right"))
+    assert ends.agg(F.max("right")).first()[0] < 2**31 and graph_table.filter("ref LIKE 'chr_.1'").count() > 0
+    reads = synthetic.alignments(lines)
+    inside = reads.join(graph_table, (reads["ref"] == graph_table["ref"]) & (reads["pos"] + 1).between(graph_table["left"], graph_table["right"])).count()
+    assert inside == reads.count() > 0
