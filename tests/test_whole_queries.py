@@ -78,7 +78,7 @@ def test_status_of_suppliers_beyond_the_positions_of_a_reference(spark, tmp_path
 
 
 def test_reads_of_large_keys_lie_in_their_loci(spark, tmp_path):
-    lines = spark.read.parquet(shifted_by(spark, tmp_path, 359_910))
+    lines = spark.read.parquet(f"{shifted_by(spark, tmp_path, 359_910)}/lineitem.parquet")
     graph_table, segments, _ = synthetic.splice_graphs(lines)
     ends = graph_table.groupBy("ref").agg(F.max("right").alias("right"))
     assert ends.agg(F.max("right")).first()[0] < 2**31 and graph_table.filter("ref LIKE 'chr_.1'").count() > 0
