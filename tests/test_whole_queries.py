@@ -85,3 +85,8 @@ def test_reads_of_large_keys_lie_in_their_loci(spark, tmp_path):
     reads = synthetic.alignments(lines)
     inside = reads.join(graph_table, (reads["ref"] == graph_table["ref"]) & (reads["pos"] + 1).between(graph_table["left"], graph_table["right"])).count()
     assert inside == reads.count() > 0
+
+
+def test_empirical_lengths_of_large_keys(spark, tmp_path):
+    found, want = of_large_keys(spark, tmp_path, queries.q37_empirical_lengths, "expected_count", "effective")
+    assert found == want and found
