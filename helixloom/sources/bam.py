@@ -23,10 +23,13 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
@@ -209,6 +212,12 @@ class Range(InputPartition):
 
 
 def records(part: Range) -> Iterator[tuple]:
+    for data, at, arrival in walk(part):
+        yield parse(data, at, part.names, arrival)
+
+
+def walk(part: Range) -> Iterator[tuple[bytes, int, int]]:
+    """(data, place in them, place in the file) of the records of a range."""
     with _open(part.path) as file:
         size = file.size()
         start = part.start if part.skip >= 0 else first_block(file, part.start, size)
@@ -230,7 +239,7 @@ def records(part: Range) -> Iterator[tuple]:
                 arrival = (spans[0][1] << 16) | (place - spans[0][0])
                 if arrival >= part.until:
                     return
-                yield parse(data, at, part.names, arrival)
+                yield data, at, arrival
                 at += 4 + struct.unpack_from("<i", data, at)[0]
             shown, data, at = shown + at, data[at:], 0
 
@@ -408,43 +417,76 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(BamSource)
 
 
-def span(cigar: Column) -> Column:
-    """Bases of the reference that a CIGAR covers, one at least."""
-    return F.greatest(F.lit(1), F.coalesce(F.aggregate(F.filter(cigar, lambda c: c["op"].isin("M", "D", "N", "=", "X")), F.lit(0), lambda s, c: s + c["len"]), F.lit(1)))
+def index_rows(part: Range) -> dict[tuple[int, int, int], tuple[int, int]]:
+    """What an index needs of a range's records: first place and end by (reference, bin, stretch), and first place by (reference, -1 - window, 0)."""
+    out: dict[tuple[int, int, int], list[int]] = {}
+    head, covers = struct.Struct("<iiiBBHHH").unpack_from, frozenset(_OPS.index(c) for c in "MDN=X")
+    levels = LEVELS[:-1]
+    for data, at, place in walk(part):
+        _, ref, low, l_name, _, _, n_cigar, _ = head(data, at)
+        if ref < 0 or low < 0:
+            continue
+        ops = struct.unpack_from(f"<{n_cigar}I", data, at + 36 + l_name)
+        high = low + max(1, sum(c >> 4 for c in ops if c & 15 in covers)) - 1
+        name = next((first + (low >> shift) for shift, first in levels if low >> shift == high >> shift), 0)
+        held = out.setdefault((ref, name, place >> 16 + GRAIN_BITS), [place, place + 1])
+        held[1] = place + 1
+        for window in range(low >> 14, (high >> 14) + 1):
+            out.setdefault((ref, -1 - window, 0), [place, 0])
+    return out
 
 
 def index(spark: SparkSession, path: str) -> None:
-    """Writes the index of every file of a path beside it, from one pass over its records.
+    """Writes the index of every file of a path beside it, from one pass over the records of all.
 
-    What meets on the driver is a row for each bin and stretch of the file, and one for each window of 16 KB.
+    What meets in one task is a row for each bin and stretch of a file, and one for each window of 16 KB.
     """
     register(spark)
-    for file in files_of(path):
-        names = [name for name, _ in header(file)[0]]
-        rows = spark.read.format("bam").load(file).filter("ref IS NOT NULL AND pos >= 0").select("ref", F.col("pos").cast("long").alias("low"), (F.col("pos") + span(F.col("cigar")) - 1).cast("long").alias("high"), "arrival")
-        name = F.lit(0).cast("long")
-        for shift, first in reversed(LEVELS[:-1]):
-            name = F.when(F.shiftright("low", shift) == F.shiftright("high", shift), F.lit(first) + F.shiftright("low", shift)).otherwise(name)
-        windows = F.explode(F.sequence(F.shiftright("low", 14), F.shiftright("high", 14)))
-        stretch = rows.groupBy("ref", name.alias("bin"), F.shiftright("arrival", 16 + GRAIN_BITS).alias("part")).agg(F.min("arrival").alias("a"), (F.max("arrival") + 1).alias("b"))
-        first = rows.select("ref", windows.alias("window"), "arrival").groupBy("ref", "window").agg(F.min("arrival").alias("a"))
-        both = stretch.select("ref", "bin", "a", "b").unionByName(first.select("ref", (-F.col("window") - 1).alias("bin"), "a", F.lit(0).cast("long").alias("b")))
-        held: dict[str, dict[int, list[tuple[int, int]]]] = {}
-        for r in both.toLocalIterator():
-            held.setdefault(r["ref"], {}).setdefault(r["bin"], []).append((r["a"], r["b"]))
-        out = [b"BAI\1", struct.pack("<i", len(names))]
-        for ref in names:
-            some = held.get(ref, {})
-            out.append(struct.pack("<i", sum(b >= 0 for b in some)))
-            for b in sorted(b for b in some if b >= 0):
-                out += [struct.pack("<Ii", b, len(some[b])), *(struct.pack("<QQ", *c) for c in sorted(some[b]))]
-            starts = [some[-w - 1][0][0] if -w - 1 in some else 0 for w in range(max((-b for b in some if b < 0), default=0))]
-            # A window without records takes the place of the one before it.
-            starts = list(itertools.accumulate(starts, lambda before, now: now or before))
-            out += [struct.pack("<i", len(starts)), struct.pack(f"<{len(starts)}Q", *starts)]
-        fs, name = blobs.filesystem(f"{file}.bai")
+    files = files_of(path)
+    ranges: list[tuple[int, int, int, int, int]] = []
+    sizes: list[int] = []
+    for no, file in enumerate(files):
+        names, first, skip = header(file)
+        sizes.append(len(names))
+        with _open(file) as held:
+            ranges += [(len(ranges) + k, no, r.start, r.until, r.skip) for k, r in enumerate(split(file, [], first, skip, held.size(), SPLIT_BYTES))]
+        ranges.append((len(ranges), no, -1, 0, 0))  # so that a file without records has an index
+
+    def scan(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for r in frame.to_pylist():
+                found = index_rows(Range(files[r["no"]], [""] * sizes[r["no"]], r["start"], r["until"], r["skip"])) if r["start"] >= 0 else {(-1, 0, 0): (0, 0)}
+                flat = [(r["no"], *key, *value) for key, value in found.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*flat, strict=True)] if flat else [pa.array([], pa.int64())] * 6, ["no", "ref", "bin", "part", "a", "b"])
+
+    def put(rows: pd.DataFrame) -> pd.DataFrame:
+        no = int(rows["no"].iloc[0])
+        held: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for ref, name, a, b in rows[["ref", "bin", "a", "b"]].itertuples(index=False):
+            held.setdefault(ref, {}).setdefault(name, []).append((a, b))
+        fs, name = blobs.filesystem(f"{files[no]}.bai")
         with fs.open_output_stream(name) as target:
-            target.write(b"".join(out))
+            target.write(index_content([held.get(ref, {}) for ref in range(sizes[no])]))
+        return rows[["no"]].head(1)
+
+    if ranges:
+        dealt = spark.createDataFrame(ranges, "id long, no long, start long, until long, skip long").repartition(len(ranges), "id")
+        found = dealt.mapInArrow(scan, "no long, ref long, bin long, part long, a long, b long")
+        found.groupBy("no", "ref", "bin", "part").agg(F.min("a").alias("a"), F.max("b").alias("b")).groupBy("no").applyInPandas(put, "no long").count()
+
+
+def index_content(references: list[dict[int, list[tuple[int, int]]]]) -> bytes:
+    """The bytes of an index, from the chunks of each reference's bins and the first place of window w at -1 - w."""
+    out = [b"BAI\1", struct.pack("<i", len(references))]
+    for some in references:
+        out.append(struct.pack("<i", sum(b >= 0 for b in some)))
+        for b in sorted(b for b in some if b >= 0):
+            out += [struct.pack("<Ii", b, len(some[b])), *(struct.pack("<QQ", *c) for c in sorted(some[b]))]
+        starts = [some[-w - 1][0][0] if -w - 1 in some else 0 for w in range(max((-b for b in some if b < 0), default=0))]
+        # A window without records takes the place of the one before it.
+        starts = list(itertools.accumulate(starts, lambda before, now: now or before))
+        out += [struct.pack("<i", len(starts)), struct.pack(f"<{len(starts)}Q", *starts)]
+    return b"".join(out)
 
 
 END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
@@ -477,6 +519,87 @@ def encode(row: dict, number: dict[str, int]) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
+_HEAD = np.dtype([("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("l_name", "u1"), ("quality", "u1"), ("bin", "<u2"), ("n_cigar", "<u2"), ("flag", "<u2"), ("l_seq", "<i4"), ("mate", "<i4"), ("mate_pos", "<i4"), ("insert", "<i4")])
+_CODES = np.full(256, 255, np.uint32)
+_CODES[list(_OPS.encode())] = range(len(_OPS))
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts one after another, and the length of each; null is empty."""
+    held = texts.cast(pa.large_string()).fill_null("")
+    bounds = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1] if len(held) else np.zeros(1, np.int64)
+    data = np.frombuffer(held.buffers()[2], np.uint8) if held.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data[bounds[0] : bounds[-1]], np.diff(bounds)
+
+
+def encode_all(batch: pa.RecordBatch, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that encode() makes of each row of schema.ALIGNMENTS, one after another, and where each ends."""
+    column, many = lambda c: batch.column(batch.schema.get_field_index(c)), batch.num_rows
+    for c in ("name", "pos", "mate_pos"):
+        if column(c).null_count:
+            raise ValueError(f"a record has no {c}")
+    whole = lambda c: column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    on = lambda c: column(c).fill_null(False).to_numpy(zero_copy_only=False)
+    there = lambda c: column(c).is_valid().to_numpy(zero_copy_only=False)
+
+    def reference(c: str) -> np.ndarray:
+        held = column(c).dictionary_encode()
+        at = np.array([number.get(x, -1) for x in held.dictionary.to_pylist()] + [-1])
+        return at[held.indices.fill_null(len(at) - 1).to_numpy(zero_copy_only=False)]
+
+    (names, n_name), (quals, n_qual), (mds, n_md) = (_bytes_of(column(c)) for c in ("name", "qual", "md"))
+    cigars = column("cigar")
+    n_ops = pc.list_value_length(cigars).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ops = cigars.flatten()
+    letters, widths = _bytes_of(ops.field("op"))
+    codes = _CODES[letters] if (widths == 1).all() else np.full(1, 255)
+    if (codes == 255).any():
+        raise ValueError("a CIGAR has an unknown operation")
+    lengths = ops.field("len").to_numpy(zero_copy_only=False).astype(np.int64)
+    if (n_name > 254).any() or (n_ops > 65535).any():
+        raise ValueError("a record's name or CIGAR is too long for BAM")
+    covered = np.concatenate([[0], np.cumsum(np.where(np.isin(codes, [_OPS.index(c) for c in "MDN=X"]), lengths, 0))])
+    bounds = np.concatenate([[0], np.cumsum(n_ops)])
+    low = whole("pos")
+    high = low + np.maximum(1, covered[bounds[1:]] - covered[bounds[:-1]]) - 1
+    place = np.zeros(many, np.int64)
+    for shift, first in reversed(LEVELS):
+        place = np.where(low >> shift == high >> shift, first + (low >> shift), place)
+
+    paired, first_of = on("is_paired"), on("is_first")
+    flag = sum(bit * on(c).astype(np.int64) for c, bit in (("is_paired", 1), ("is_rev", 16), ("mate_rev", 32), ("is_first", 64), ("is_qcfail", 512)))
+    flag = flag + 4 * ~on("is_mapped") + 8 * ~on("mate_mapped") + 128 * (paired & ~first_of) + 256 * ~on("is_primary")
+    has_nh, has_hi, has_md = there("nh"), there("hi"), there("md")
+    n_bases = (n_qual + 1) // 2
+    parts = [np.full(many, 36), n_name + 1, 4 * n_ops, n_bases, n_qual, 7 * has_nh, 7 * has_hi, (n_md + 4) * has_md]
+    ends = np.cumsum(sum(parts))
+    starts = np.cumsum(np.stack([ends - sum(parts), *parts[:-1]]), axis=0)
+    head = np.zeros(many, _HEAD)
+    for c, value in (("size", sum(parts) - 4), ("ref", reference("ref")), ("pos", low), ("l_name", n_name + 1), ("quality", 255), ("bin", np.where(low >= 0, place, 4680) & 0xFFFF), ("n_cigar", n_ops), ("flag", flag), ("l_seq", n_qual), ("mate", reference("mate_ref")), ("mate_pos", whole("mate_pos")), ("insert", whole("insert_size"))):
+        head[c] = value
+    out = np.full(int(ends[-1]) if many else 0, 255, np.uint8)
+
+    def put(at: np.ndarray, size: np.ndarray, data: np.ndarray) -> None:
+        """Pieces of data, one after another, to these places."""
+        out[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(len(data))] = data
+
+    def put_tag(at: np.ndarray, some: np.ndarray, name: bytes, value: np.ndarray) -> None:
+        raw = np.concatenate([np.tile(np.frombuffer(name + b"i", np.uint8), (int(some.sum()), 1)), value[some].astype("<i4").view(np.uint8).reshape(-1, 4)], axis=1)
+        out[at[some][:, None] + np.arange(7)] = raw
+
+    out[starts[0][:, None] + np.arange(36)] = head.view(np.uint8).reshape(many, 36)
+    put(starts[1], n_name, names)
+    out[starts[1] + n_name] = 0
+    put(starts[2], 4 * n_ops, (lengths << 4 | codes).astype("<u4").view(np.uint8))
+    put(starts[4], n_qual, quals - 33)
+    put_tag(starts[5], has_nh, b"NH", whole("nh"))
+    put_tag(starts[6], has_hi, b"HI", whole("hi"))
+    out[starts[7][has_md][:, None] + np.arange(3)] = np.frombuffer(b"MDZ", np.uint8)
+    put(starts[7] + 3, n_md, mds)
+    out[(starts[7] + 3 + n_md)[has_md]] = 0
+    return out, ends
+
+
 def write(alignments: DataFrame, path: str, references: list[tuple[str, int]], file_bytes: int = _FILE_BYTES) -> None:
     """Writes alignments in the order of the references and positions, as BAM files that are each complete and of at most about ``file_bytes`` before compression.
 
@@ -498,9 +621,14 @@ def write(alignments: DataFrame, path: str, references: list[tuple[str, int]], f
             return f"{part:07d}-{no:07d}.bam", compressed(head) + compressed(b"".join(held)) + END_BLOCK
 
         for batch in batches:
-            for row in batch.to_pylist():
-                held.append(encode(row, number))
-                size += len(held[-1])
+            data, ends = encode_all(batch, number)
+            begin = 0
+            while begin < len(data):
+                # A file ends with the record that fills it.
+                last = int(np.searchsorted(ends, begin + file_bytes - size))
+                end = int(ends[min(last, len(ends) - 1)])
+                held.append(data[begin:end].tobytes())
+                size, begin = size + end - begin, end
                 if size >= file_bytes:
                     yield file()
                     no, held, size = no + 1, [], 0

@@ -130,3 +130,36 @@ def test_a_failed_write_leaves_no_file(spark, tmp_path):
     blobs.write(some.repartition(3), path)
     blobs.write(some.limit(1), path)
     assert sorted(r["name"] for r in blobs.read(spark, path).collect()) == sorted([f"f{i}" for i in range(8)] + ["f0"])
+
+
+def test_records_of_a_batch_are_those_of_its_rows(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng, rows = random.Random(8), []
+    number = {"a": 0, "b": 1}
+    for i in range(300):
+        ops = [{"op": rng.choice("MIDNSHP=X"), "len": rng.randrange(1, 40_000)} for _ in range(rng.randrange(4))]
+        flags = {c: rng.random() < 0.5 for c in ("is_paired", "is_qcfail", "is_mapped", "is_primary", "mate_mapped", "is_rev", "mate_rev", "is_first")}
+        row = {"name": "n" * rng.randrange(1, 9) + str(i), "ref": rng.choice(["a", "b", None]), "pos": rng.choice([-1, 5, 16_380, 1 << 25]) + rng.randrange(2), "mate_ref": rng.choice(["a", "b", None]), "mate_pos": i, "insert_size": rng.choice([None, -7, 9]), "cigar": rng.choice([ops, ops, None]), "qual": "".join(chr(33 + rng.randrange(60)) for _ in range(rng.randrange(6))), "md": rng.choice([None, "", "5A4"]), "nh": rng.choice([None, 1, 3]), "hi": rng.choice([None, 0]), "arrival": i}
+        rows.append(row | flags)
+    kinds = pa.schema([(c, pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())])) if c == "cigar" else pa.string() if c in ("name", "ref", "mate_ref", "qual", "md") else pa.bool_() if c.startswith("is_") or c in ("mate_mapped", "mate_rev") else pa.int64() if c == "arrival" else pa.int32()) for c in rows[0]])
+    batch = pa.RecordBatch.from_pylist(rows, schema=kinds)
+    for lo, hi in ((0, 300), (17, 180), (299, 300), (5, 5)):
+        data, ends = bam.encode_all(batch.slice(lo, hi - lo), number)
+        want = [bam.encode(r, number) for r in rows[lo:hi]]
+        assert data.tobytes() == b"".join(want) and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+
+
+def test_files_are_indexed_by_one_pass(spark, tmp_path, monkeypatch):
+    rows = [(f"r{i}", "a", i * 30, "a", i * 30, 9, [{"op": "M", "len": 9}], "I" * 9, True, False, True, True, True, False, True, True, 1, None, "9", i) for i in range(3000)]
+    path = str(tmp_path / "many")
+    bam.write(spark.createDataFrame(rows, schema.ALIGNMENTS).coalesce(1), path, [("a", 100_000)], 1 << 15)
+    made, create = [], spark.createDataFrame
+    monkeypatch.setattr(spark, "createDataFrame", lambda *a, **b: made.append(a) or create(*a, **b))
+    bam.index(spark, path)
+    files = bam.files_of(path)
+    assert len(made) == 1 and len(files) > 3
+    found = spark.read.format("bam").load(path).filter("ref = 'a' AND pos >= 30000 AND pos < 60000")
+    assert sorted(r["pos"] for r in found.collect()) == list(range(30_000, 60_000, 30))
+    assert all(bam.read_index(open(f"{f}.bai", "rb").read()) for f in files)
