@@ -4,8 +4,8 @@ Event time is the place in the references laid end to end, a second a base, so t
 watermark is how far the stream has come: with ``delay`` bases of disorder allowed, all records left of
 it have arrived. A group holds the records whose pair begins in one bin of a reference
 and strand bucket: both mates know both places, so a pair and all its duplicates are in one group.
-It has two maps as state: mates that wait, by name and places, and the best pair so far, by what makes
-pairs duplicates. The frontier is the leftmost of the watermark and the mates that wait. No pair that
+Its state is mates that wait, by name and places, and the best pair so far, by what makes
+pairs duplicates: both as lists of packed pieces, as a step reads all of a group and a call for each entry costs far more. The frontier is the leftmost of the watermark and the mates that wait. No pair that
 begins before it can still come, so those are put out, sorted; a mate that waits goes when
 the watermark has passed where the other would be. What is put out later never begins further left.
 
@@ -16,6 +16,8 @@ records of one name and place those that are read one after another pair.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -59,29 +61,47 @@ def release(waiting: dict[tuple, tuple], kept: dict[tuple, tuple], now: int) ->
     return gone, free, min(following, default=None)
 
 
+#: Entries of a group in one piece of its state.
+PIECE = 4096
+
+
+def packed(entries: dict[tuple, tuple]) -> list[tuple[bytes]]:
+    """The entries in pieces of a bounded number."""
+    items = list(entries.items())
+    return [(zlib.compress(pickle.dumps(items[i : i + PIECE], pickle.HIGHEST_PROTOCOL), 1),) for i in range(0, len(items), PIECE)]
+
+
+def unpacked(pieces: Iterable[tuple[bytes]]) -> dict[tuple, tuple]:
+    return {k: v for piece, in pieces for k, v in pickle.loads(zlib.decompress(bytes(piece)))}
+
+
+def plain(column: pd.Series) -> list:
+    """The values of a column, None where there is none."""
+    return column.tolist() if not (none := column.isna()).any() else column.astype(object).where(~none, None).tolist()
+
+
 class Collapse(StatefulProcessor):
     """One group: (ref, bucket, offset of the reference, bin)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "name string, hi int, low int, high int", "arrival long, pos int, mate_pos int, insert int, nh int, shape string, mate string")
-        self.kept = handle.getMapState("kept", "pos1 int, pos2 int, insert int, shape1 string, shape2 string", "worse int, arrival long, name string, hi int, a string, b string")
+        self.waiting = handle.getListState("waiting", "piece binary")
+        self.kept = handle.getListState("kept", "piece binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows), ignore_index=True).sort_values("arrival", kind="stable")
-        columns = {c: [None if pd.isna(x) else x for x in frame[c]] for c in ("name", "hi", *_FIELDS)}
-        whole = lambda x: None if x is None else int(x)
-        new = []
-        for name, hi, arrival, pos, mate_pos, insert, nh, shape, mate in zip(*columns.values(), strict=True):
-            new.append(((name, int(hi), int(min(pos, mate_pos)), int(max(pos, mate_pos))), (int(arrival), int(pos), int(mate_pos), int(insert), whole(nh), shape, mate)))
+        columns = [plain(frame[c]) for c in ("name", "hi", *_FIELDS)]
+        new = [
+            ((name, int(hi), int(min(pos, mate_pos)), int(max(pos, mate_pos))), (int(arrival), int(pos), int(mate_pos), int(insert), None if nh is None else int(nh), shape, mate))
+            for name, hi, arrival, pos, mate_pos, insert, nh, shape, mate in zip(*columns, strict=True)
+        ]
         yield from self._step(key, new, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._step(key, [], timerValues)
 
     def _step(self, key, new, timers) -> Iterator[pd.DataFrame]:
-        held = [{tuple(k): tuple(v) for k, v in s.iterator()} for s in (self.waiting, self.kept)]
-        waiting, kept = (dict(h) for h in held)
+        waiting, kept = (unpacked(s.get()) if s.exists() else {} for s in (self.waiting, self.kept))
         add(waiting, kept, new)
         offset = int(key[2])
         gone, free, following = release(waiting, kept, timers.getCurrentWatermarkInMs() // 1000 - offset)
@@ -90,12 +110,11 @@ class Collapse(StatefulProcessor):
             del waiting[k]
         for p in free:
             del kept[p]
-        for state, before, after in ((self.waiting, held[0], waiting), (self.kept, held[1], kept)):
-            for k in before.keys() - after.keys():
-                state.removeKey(k)
-            for k, v in after.items():
-                if before.get(k) != v:
-                    state.updateValue(k, v)
+        for state, entries, changed in ((self.waiting, waiting, new or gone), (self.kept, kept, new or free)):
+            if changed and entries:
+                state.put(packed(entries))
+            elif changed and state.exists():
+                state.clear()
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(int(t[0]) if isinstance(t, tuple) else int(t))
         if following is not None:

@@ -60,3 +60,11 @@ def test_frontier_waits_for_the_leftmost_mate():
     duplicates.add(waiting, kept, [(("x", 0, 5, 90), row(0, 5, 90)), (("y", 0, 7, 20), row(1, 7, 20)), (("y", 0, 7, 20), row(2, 20, 7))])
     assert duplicates.release(waiting, kept, 50) == ([], [], 91)
     assert duplicates.release(waiting, kept, 91) == ([("x", 0, 5, 90)], [(7, 20, 10, "10M", "10M")], None)
+
+
+def test_state_is_kept_in_pieces():
+    """A group of many entries costs a few values of state, not a call for each."""
+    entries = {(i, i + 20, 30, "10M", "10M"): (int(i % 3 > 0), i, f"n{i}", 0, '{"x":1}', None) for i in range(10_000)}
+    pieces = duplicates.packed(entries)
+    assert len(pieces) == 3 and duplicates.unpacked(pieces) == entries and duplicates.packed({}) == []
+    assert duplicates.plain(duplicates.pd.Series([1, None, 3])) == [1, None, 3]
